@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, tokenfile
+from . import bpe, lm, packing, tokenfile
 from .shared import Workspace
 
 
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op2_kneser_ney_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.perplexity(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.write(table(spark, sf_dir, "documents"), Workspace(spark).path("ids"))
     return tokenfile.read(spark, folder, ids=False)
@@ -35,6 +39,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_kneser_ney_score": op2_kneser_ney_score,
         "op7_token_files": op7_token_files,
         "op8_bpe_round_trip": op8_bpe_round_trip,
     }
