@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, shared
-from .pieces import Pieces, cut, encode_pieces, patch_odd, tokenizer
+from .pieces import Pieces, cut, encode_pieces, gather, patch_odd, tokenizer
 from .shared import Workspace
 
 
@@ -27,8 +27,6 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _bytes_of(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    from .pieces import gather
-
     at = np.empty(2 * len(starts), np.int64)
     at[0::2], at[1::2] = starts, ends
     return gather(buf, at, np.arange(0, 2 * len(starts), 2))[0]
@@ -42,7 +40,7 @@ def _blocks(vocabulary: str, shards: int, most: int = 1_000_000):
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             buf, offsets = kernel.strings(batch.column(0))
-            for i, j in kernel.slices(offsets, 8 << 20):
+            for i, j in kernel.slices(offsets, 2 << 20):
                 own, ends_at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, _ = cut(own, ends_at, True)
                 distinct, where = np.unique(kernel.span_hashes(own, starts, ends), return_index=True)
@@ -167,16 +165,15 @@ def _table(folder: str) -> WordTable:
     return _tables[folder]
 
 
-def encode(docs: DataFrame, folder: str) -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit) of every row. A null text is empty and has no ids;
-    null and repeated doc_ids are kept; other columns are left out."""
+def _encoding(folder: str):
+    """Batches (doc_id, text) to batches (doc_id, ids)."""
 
     def run(batches):
         table = _table(folder)
         name = table.meta["vocabulary"]
         for batch in batches:
             buf, offsets = kernel.strings(batch.column(1))
-            for i, j in kernel.slices(offsets, 4 << 20):
+            for i, j in kernel.slices(offsets):
                 own, ends_at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, ends, first = cut(own, ends_at, True)
                 distinct, where, back = np.unique(kernel.span_hashes(own, starts, ends), return_index=True, return_inverse=True)
@@ -187,7 +184,17 @@ def encode(docs: DataFrame, folder: str) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(counts)]).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return run
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def encode(docs: DataFrame, folder: str) -> DataFrame:
+    """doc_id and ids (binary, little-endian unsigned 32-bit) of every row, by a written word table. A null text is
+    empty and has no ids; null and repeated doc_ids are kept; other columns are left out."""
+    return _rows(docs).mapInArrow(_encoding(folder), "doc_id long, ids binary")
 
 
 def _byte_chars() -> dict[str, int]:
@@ -207,18 +214,16 @@ def piece_table(vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces], dtype=np.int64)])
 
 
-def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """Add ``text``: the pieces of ``ids`` joined; bytes that are no UTF-8 become U+FFFD. Null ids give null."""
-    names = encoded.columns
+def _decoding(vocabulary: str, names: list[str]):
+    """Batches with ids to batches with ids and text."""
 
     def run(batches):
-        from .pieces import gather
-
         body, at = piece_table(vocabulary)
         for batch in batches:
-            raw, offsets = kernel.strings(batch.column(names.index("ids")))
-            nulls = batch.column(names.index("ids")).is_null().to_pylist()
-            for i, j in kernel.slices(offsets, 4 << 20):
+            column = batch.column(names.index("ids"))
+            raw, offsets = kernel.strings(column)
+            nulls = column.is_null().to_pylist()
+            for i, j in kernel.slices(offsets):
                 ids = raw[offsets[i] : offsets[j]].copy().view("<u4").astype(np.int64)
                 text, lens = gather(body, at, ids)
                 stops = np.concatenate([[0], np.cumsum(lens)])[(offsets[i : j + 1] - offsets[i]) // 4].tolist()
@@ -226,10 +231,17 @@ def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFra
                 out = [None if z else data[a:b].decode("utf-8", "replace") for a, b, z in zip(stops[:-1], stops[1:], nulls[i:j], strict=True)]
                 yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in batch.columns], pa.array(out, pa.string())], names=[*names, "text"])
 
-    return encoded.mapInArrow(run, encoded.select("*", F.lit("").alias("text")).schema)
+    return run
+
+
+def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    """Add ``text``: the pieces of ``ids`` joined; bytes that are no UTF-8 become U+FFFD. Null ids give null."""
+    return encoded.mapInArrow(_decoding(vocabulary, encoded.columns), encoded.select("*", F.lit("").alias("text")).schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """doc_id, ids and the decoded text of every row of ``docs`` (doc_id, text)."""
-    keep = Workspace(docs.sparkSession)
-    return decode(encode(docs, build_word_table(docs, keep, vocabulary)), vocabulary)
+    """doc_id, ids and the decoded text of every row of ``docs`` (doc_id, text): encode() and decode() in one pass
+    through Python."""
+    folder = build_word_table(docs, Workspace(docs.sparkSession), vocabulary)
+    there, back = _encoding(folder), _decoding(vocabulary, ["doc_id", "ids"])
+    return _rows(docs).mapInArrow(lambda batches: back(there(batches)), "doc_id long, ids binary, text string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, packing, tokenfile
+from . import bpe, jaccard, lm, packing, quality, tokenfile, topk, urlfilter
 from .shared import Workspace
 
 
@@ -21,6 +21,32 @@ def op2_kneser_ney_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.perplexity(table(spark, sf_dir, "documents"))
 
 
+def op3_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark, URL_RULES))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.write(table(spark, sf_dir, "documents"), Workspace(spark).path("ids"))
     return tokenfile.read(spark, folder, ids=False)
@@ -36,14 +62,67 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP3_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+runs AS (SELECT r, i, list_slice(w, i, i + 4) AS run FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM split)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, run) AS c FROM runs) WHERE c > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(0, 5)) AS k) GROUP BY r),
+measured AS (
+    SELECT s.r, s.doc_id, s.source, len(w)::BIGINT AS n_words,
+        length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+        (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+    FROM split s LEFT JOIN covered c ON s.r = c.r),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
+judged AS (
+    SELECT *, base_failed OR word_chars / greatest(n_words, 1) < 2 OR word_chars / greatest(n_words, 1) > 15
+        OR n_symbols > 0.1 * n_words OR n_dup_lines > 20 AS failed FROM based),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
+prior AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
+weighted AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS weight FROM prior),
+shrunk AS (SELECT source, (f + weight * m) / (n + weight) AS shrunk FROM hosts, weighted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed, round(shrunk, 9) AS shrunk,
+    NOT base_failed AND coalesce(shrunk <= 0.5, true) AS kept
+FROM judged LEFT JOIN shrunk USING (source)
+"""
+
+OP5_SQL = """
+WITH rules(verdict, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+cut AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+fits AS (
+    SELECT p.r, u.verdict, u.host || u.path AS rule,
+        row_number() OVER (PARTITION BY p.r ORDER BY length(u.host || u.path) DESC, length(u.host) DESC, u.verdict DESC) AS place
+    FROM parts p JOIN rules u ON (p.host = u.host OR ends_with(p.host, '.' || u.host)) AND starts_with(p.path, u.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM fits WHERE place = 1) f USING (r)
+"""
+
+OP6_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_kneser_ney_score": op2_kneser_ney_score,
+        "op3_host_quality_rules": op3_host_quality_rules,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_url_filters": op5_url_filters,
+        "op6_exact_top_k": op6_exact_top_k,
         "op7_token_files": op7_token_files,
         "op8_bpe_round_trip": op8_bpe_round_trip,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_host_quality_rules": OP3_SQL, "op5_url_filters": OP5_SQL, "op6_exact_top_k": OP6_SQL}

@@ -6,11 +6,27 @@ byte values modulo 2**64, mixed with the length; they agree on every machine.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+
+
+def _lean_memory() -> None:
+    """Have freed arrays go back to the system at once: workers live long, and their peaks would add up."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.util.find_library("c")
+    mallopt = getattr(ctypes.CDLL(libc), "mallopt", None) if libc else None
+    if mallopt:
+        mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        mallopt(-8, 2)  # M_ARENA_MAX
+
+
+_lean_memory()
+
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15

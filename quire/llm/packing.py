@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacit
         for batch in batches:
             buf, offsets = kernel.strings(batch.column(1))
             ids_in = batch.column(0).to_pylist()
-            for i, j in kernel.slices(offsets, 4 << 20):
+            for i, j in kernel.slices(offsets):
                 ids, counts = enc.encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at, rows = 0, []
                 for d, n in zip(ids_in[i:j], counts.tolist(), strict=True):
@@ -223,4 +223,5 @@ def pack(pieces: DataFrame, capacity: int = 2048, ranges: int | None = None, kee
 def best_fit_pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Encode and pack whole documents (doc_id, text). A null text is empty and packs its end id alone; a null
     doc_id is kept; repeated rows are packed each; other columns are ignored; an empty table gives no rows."""
-    return pack(token_pieces(docs, vocabulary, capacity, end_id), capacity)
+    keep = Workspace(docs.sparkSession)
+    return pack(token_pieces(docs, vocabulary, capacity, end_id), capacity, keep=keep)

@@ -29,11 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Workspace:
     """Names the tables and files of one operator run and removes them when they have served."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, shared_dir(spark), 0
+        # Batches of whole texts that a worker holds at once.
+        if int(spark.conf.get(BATCH)) > 1000:
+            spark.conf.set(BATCH, "1000")
 
     def path(self, name: str) -> str:
         self.n += 1

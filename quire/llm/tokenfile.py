@@ -112,7 +112,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", e
             if n_docs == 0 and ids_in:
                 first = ids_in[0]
             n_docs += len(ids_in)
-            for i, j in kernel.slices(offsets, 4 << 20):
+            for i, j in kernel.slices(offsets):
                 ids, counts = enc.encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 at = 0
                 for d, c in zip(ids_in[i:j], counts.tolist(), strict=True):
