@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lm, packing, quality, tokenfile, topk, urlfilter
+from . import bpe, jaccard, license, lm, packing, quality, tokenfile, topk, toxicity, urlfilter
 from .shared import Workspace
 
 
@@ -62,6 +62,14 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
 split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
@@ -121,6 +129,8 @@ def queries() -> dict:
         "op6_exact_top_k": op6_exact_top_k,
         "op7_token_files": op7_token_files,
         "op8_bpe_round_trip": op8_bpe_round_trip,
+        "op9_toxicity": op9_toxicity,
+        "op10_license_scan": op10_license_scan,
     }
 
 
