@@ -1,0 +1,360 @@
+"""Every operator against brute force on small tables with the awkward rows."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from quire.llm import bpe, catalog, components, jaccard, license, lm, packing, quality, tokenfile, topk, toxicity, urlfilter
+from quire.llm.pieces import tokenizer
+from quire.llm.shared import Workspace
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def corpus(seed: int = 3, n: int = 120) -> list[tuple]:
+    rng = random.Random(seed)
+    words = [a + b for a in ("ba", "ko", "li", "tu", "zé", "Qa") for b in ("", "n", "r", "st", "mo", "ß", "x,")]
+    text = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    rows = [(i, text(rng.choice([1, 3, 12, 60, 200])), f"h{i % 4}") for i in range(n)]
+    for i in range(n, n + 40):  # near copies of a few
+        own = rows[i % 5 + 10][1].split()
+        own[rng.randrange(len(own))] = "changed"
+        rows.append((i, " ".join(own), "h1"))
+    rows += [(900 + i, rows[20][1], "hot") for i in range(30)]
+    rows += [(1000, None, "h1"), (1001, "", None), (1002, " \n\t ", "h2"), (1003, "one", "h2"), (1004, "long " * 6000, "h2"), (1005, "same line\nsame line\n" * 20, "h3"), (None, "no id " * 20, "h3"), (None, None, None)]
+    rows += [rows[30], rows[30]]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    made = spark.createDataFrame(corpus(), "doc_id long, text string, source string")
+    return made.selectExpr("*", "1 as n", "'x' as score", "0 as part", "'y' as cls", "5 as length", "1 as _text").repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string")
+
+
+def test_packing(docs, empty):
+    for capacity in (64, 2048):
+        got = packing.best_fit_pack(docs, capacity=capacity).collect()
+        t = tokenizer("byte_bpe_50k.json")
+        want = Counter()
+        for doc, text, *_ in corpus():
+            ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+            begin, piece, lead = 0, 0, len(ids) % capacity or capacity
+            while begin < len(ids):
+                stop = lead if piece == 0 else begin + capacity
+                want[doc, piece, begin, stop - begin, zlib.crc32(np.array(ids[begin:stop], "<u4").tobytes())] += 1
+                begin, piece = stop, piece + 1
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+        spans = defaultdict(list)
+        for r in got:
+            spans[r.sequence_id].append((r.offset, r.length))
+        for s in spans.values():
+            s.sort()
+            assert all(o == sum(n for _, n in s[:k]) for k, (o, _) in enumerate(s))
+            assert sum(n for _, n in s) <= capacity
+        least = -(-sum(r.length for r in got) // capacity)
+        assert len(spans) <= least * 1.05 + 2
+    assert packing.best_fit_pack(empty).count() == 0
+
+
+def test_packing_many_rounds_of_small_pieces(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "0 as piece", "0L as start", "cast(1 + id % 7 as long) as length", "id as ids_crc32")
+    got = packing.pack(rows, capacity=50, ranges=6).groupBy("sequence_id").agg({"length": "sum"}).count()
+    assert got <= math.ceil(sum(1 + i % 7 for i in range(3000)) / 50) + 3
+    with pytest.raises(ValueError):
+        packing.pack(rows.selectExpr("doc_id", "piece", "start", "99L as length", "ids_crc32"), capacity=50)
+
+
+def brute_lm(rows):
+    tokens = lambda t: [*[w.lower() for w in re.findall(WORD.encode(), (t or "").encode())], None]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    train = [tokens(t) for d, t in rows if not held(d)]
+    uni = Counter(w for t in train for w in t)
+    pairs = Counter(p for t in train for p in zip(["<s>", *t], t, strict=False))
+    context, follow, cont = Counter(), defaultdict(Counter), Counter(w for _, w in pairs)
+    for (a, _), c in pairs.items():
+        context[a] += c
+        follow[a][min(c, 3)] += 1
+    levels = lambda x: [sum(1 for c in x.values() if c == k) for k in (1, 2, 3, 4)]
+    high, low = lm.discounts(*levels(pairs)), lm.discounts(*levels(cont))
+    n, v, total = sum(uni.values()), len(uni), len(pairs)
+    share = sum(low[min(c, 3)] for c in cont.values()) / total
+
+    def p(a, w):
+        base = max(cont[w] - low[min(cont[w], 3)], 0) / total + share / (v + 1)
+        if not context[a]:
+            return base
+        c = pairs[a, w]
+        return max(c - high[min(c, 3)], 0) / context[a] + sum(high[k] * follow[a][k] for k in (1, 2, 3)) / context[a] * base
+
+    assert abs(sum(p("<s>", w) for w in uni) + p("<s>", "unseen") - 1) < 1e-9
+    out = []
+    for d, t in rows:
+        own = tokens(t)
+        score = sum(math.log10(p(a, w)) for a, w in zip(["<s>", *own], own, strict=False))
+        out.append((d, held(d), len(own), sum(w in uni for w in own), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in own), score))
+    return out
+
+
+def test_language_model(docs, empty):
+    got = lm.perplexity(docs).collect()
+    want = brute_lm([(d, t) for d, t, _ in corpus()])
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[6], 6))
+    for r, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert tuple(r[:5]) == w[:5]
+        assert r.base_score == pytest.approx(w[5], rel=1e-9) and r.score == pytest.approx(w[6], rel=1e-9)
+    assert lm.perplexity(empty).count() == 0
+
+
+def brute_quality(text):
+    words = re.findall(WORD, text or "")
+    runs = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {j for i in range(len(words) - 4) if runs[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if re.search(WORD, x)]
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
+
+
+def test_quality(docs, empty):
+    got = quality.judge(docs).collect()
+    want = Counter((d, *brute_quality(t)) for d, t, _ in corpus())
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    for r in got:
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert not (r.base_failed and r.kept)
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == sum(r.kept for r in got)
+    assert quality.judge(empty).count() == 0
+
+
+def test_a_bad_host_takes_its_documents_along(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, good if i % 10 == 0 else "too short", "bad") for i in range(200)] + [(1000 + i, good, f"h{i % 9}") for i in range(300)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.kept for r in got if r.doc_id < 200} == {False}
+    assert {r.kept for r in got if r.doc_id >= 1000} == {True}
+
+
+def brute_components(rows, k, percent):
+    sets = []
+    for _, t in rows:
+        w = [x.lower() for x in re.findall(WORD.encode(), (t or "").encode())]
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][0] is None or rows[j][0] is None or not sets[i] or not sets[j]:
+                continue
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return Counter((d, len(sets[i]), None if d is None else least[find(i)]) for i, (d, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80), (1, 50)])
+def test_near_duplicates(docs, empty, k, percent):
+    got = jaccard.near_duplicates(docs, k, percent).collect()
+    assert Counter(map(tuple, got)) == brute_components([(d, t) for d, t, _ in corpus()], k, percent)
+    kept = jaccard.keep_one(docs, k, percent)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.doc_id == r.component_id} | {None}
+    assert jaccard.near_duplicates(empty).count() == 0
+
+
+def test_near_copies_that_no_pivot_links(spark):
+    """A chain of edits: each text links with the next alone."""
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(40):
+        rows.append((i, " ".join(words)))
+        words[(7 * i) % 60] = f"e{i}"
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 85).collect()
+    assert Counter(map(tuple, got)) == brute_components(rows, 2, 85)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, 7)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(500, 501 + i) for i in range(50)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark)).collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    assert got == {x: find(x) for a, b in edges for x in (a, b) if a != b}
+
+
+def test_url_filters(spark):
+    urls = ["http://a.example.com/en/1", "https://WWW.Example.com/en/x?q#f", "http://example.com", "http://x.net/fr/", "http://notexample.com/en/", "ftp://net/es/a#b", "http://net/es", "no scheme", None, "", "http://?x", "http://a.b.net/es/" + "y" * 5000, "http://com/", "x://deep.a.b.c.d.example.com/en/"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(3, urls[3], "h")], "page_id long, url string, html string")
+    got = urlfilter.judge(pages, urlfilter.rule_table(spark, catalog.URL_RULES)).collect()
+    for r in got:
+        u = urls[r.page_id] or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = host.lower()
+        fits = [(len(h + p), h + p, v) for v, h, p in catalog.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        _, rule, verdict = max(fits, default=(0, None, "allow"))
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict)
+    assert len(got) == len(urls) + 1
+    none = urlfilter.judge(pages, spark.createDataFrame([], "verdict string, host string, path string"))
+    assert {r.verdict for r in none.collect()} == {"allow"}
+    assert urlfilter.judge(pages.limit(0), urlfilter.rule_table(spark, catalog.URL_RULES)).count() == 0
+
+
+def brute_top(rows, k, every):
+    whole = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            whole[i] = [math.floor(64 * x) for x in v]
+    out = set()
+    for q, a in whole.items():
+        if q % every == 0:
+            near = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole.items() if i != q and len(a) == len(b))
+            out |= {(q, r, i, -s) for r, (s, i) in enumerate(near[:k], 1)}
+    return out
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(4, 8))
+    rows = [(i, (centre[i % 4] * (1 + i % 5) + 0.2 * rng.normal(size=8)).tolist()) for i in range(400)]
+    rows += [(1000 + i, rows[3][1]) for i in range(50)] + [(2000, None), (2020, [1.0, None]), (2040, [float("nan")] * 8), (2060, [0.0] * 8), (2080, [1.0, 2.0]), (2081, [3.0, -1.0]), (None, rows[0][1]), (2100, []), (2120, [1e30] * 3), (2121, [-1e30] * 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = {x for x in brute_top(rows, 20, 20) if x[0] != 2120}
+    for options in ({"bucket": 64, "block": 16}, {"bucket": 64, "steep": 0.0}, {"steep": 2.0}):
+        got = {tuple(r) for r in topk.top_k(frame, **options).collect()}
+        assert {x for x in got if x[0] != 2120} == want
+        assert (2120, 1, 2121, -(2**63)) in got
+    assert topk.top_k(frame.limit(0)).count() == 0
+
+
+def test_token_files(spark, docs, empty, tmp_path):
+    folder = tokenfile.write(docs, f"file://{tmp_path}/ids", frame_ids=500, files=3)
+    got = tokenfile.read(spark, folder).collect()
+    t, start = tokenizer("word_bpe_49k.json"), 0
+    rows = corpus()
+    want = {}
+    for d, text, _ in rows:
+        want.setdefault(d, []).append([*t.encode(text or "", add_special_tokens=False).ids, 1])
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == start
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert ids in want[r.doc_id] and r.n_tokens == len(ids) and r.ids_crc32 == zlib.crc32(r.ids)
+        start += len(ids)
+    assert Counter(r.doc_id for r in got) == Counter(d for d, *_ in rows)
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start) if r.doc_id is not None]
+    assert order == sorted(order)
+    assert {k: v.tolist() for k, v in tokenfile.lookup(folder, [5, 1004, 77777]).items()} == {5: want[5][0], 1004: want[1004][0]}
+    name = tokenfile.manifest(folder)["files"][0]["file"]
+    body = bytearray((tmp_path / "ids" / name).read_bytes())
+    body[40] ^= 255
+    (tmp_path / "ids" / name).write_bytes(body)
+    with pytest.raises(Exception):  # noqa: B017
+        [tokenfile.Reader(f"{folder}/{name}").frame(k) for k in range(1)]
+    assert tokenfile.read(spark, tokenfile.write(empty, f"file://{tmp_path}/none")).count() == 0
+
+
+def test_byte_pairs(docs, empty):
+    got = bpe.round_trip(docs).collect()
+    t = tokenizer("byte_bpe_50k.json")
+    want = Counter()
+    for d, text, _ in corpus():
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want[d, np.array(ids, "<u4").tobytes(), t.decode(ids, skip_special_tokens=False)] += 1
+    assert Counter((r.doc_id, bytes(r.ids), r.text) for r in got) == want
+    assert bpe.round_trip(empty).count() == 0
+
+
+def test_a_table_of_other_texts_still_encodes(spark, docs):
+    keep = Workspace(spark)
+    table = bpe.build_word_table(spark.createDataFrame([("a few words",)], "text string"), keep)
+    other = bpe.decode(bpe.encode(docs, table)).collect()
+    assert Counter((r.doc_id, r.text) for r in other) == Counter((d, t or "") for d, t, _ in corpus())
+
+
+def test_digests(spark, docs, tmp_path):
+    docs.select("doc_id", "text").where("doc_id < 5").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in catalog.op8_bpe_round_trip(spark, str(tmp_path)).collect():
+        text = next(t for d, t, _ in corpus() if d == r.doc_id)
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_toxicity(spark, empty):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(900):
+        words = ["".join(rng.choice("abdeiou") for _ in range(6)) for _ in range(40)]
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(3):
+                words[rng.randrange(40)] = rng.choice(["grumblex", "grumbleton", "idiot", "1d1ot"])
+        rows.append((i, " ".join(words)))
+        if i % 2 == 0:
+            labels.append((i, 1, int(toxic)))
+    rows += [(5000, None), (5001, ""), (None, "idiot " * 9), rows[0]]
+    labels += [(0, 1, None), (None, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, known).collect()
+    assert len(got) == len(rows)
+    unseen = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 900]
+    right = sum(r.predicted == int(r.doc_id % 5 == 0) for r in unseen) / len(unseen)
+    assert right > 0.95
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 3 == 1)
+    clean = toxicity.keep_clean(docs.selectExpr("*", "1 as _text", "'b' as toxicity"), known)
+    assert clean.columns == ["doc_id", "text", "_text", "toxicity"]
+    assert clean.count() == sum(r.predicted == 0 for r in got)
+    assert {r.score for r in toxicity.score(docs, known.limit(0)).collect()} == {0.0}
+    assert toxicity.score(empty, known).count() == 0
+
+
+def test_trees_and_calibration():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(800, 3))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    model = toxicity.fit_trees(x, y)
+    assert ((model.margin(x) > 0) == y).mean() > 0.9
+    knots = toxicity.isotonic(model.margin(x), y)
+    assert (np.diff(knots[1]) > 0).all() and (np.diff(knots[0]) > 0).all()
+
+
+def test_licenses(spark, docs):
+    rows = [(1, "text\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 3.0."), (3, "Licensed under the Apache License, Version 2.0."), (4, None), (5, ""), (6, "we need a permission slip"), (7, "This work is licensed under the GNU General Public License, version 3. And so on."), (None, "All rights reserved."), (8, license.TEMPLATES[2][1].replace("modify, ", ""))]
+    rows.append((9, "x " * 5000 + ". Licensed under CC BY-NC 4.0. " + "y " * 5000))
+    got = {(r.doc_id, r.license, r.exact): r for r in license.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, "MIT", True), (3, "Apache-2.0", True), (7, "GPL-3.0", True), (None, "Proprietary", True), (8, "MIT", False), (9, "CC-BY-NC-4.0", True)}
+    texts = dict(rows)
+    for (d, name, _), r in got.items():
+        assert texts[d][r.start : r.start + r.length].strip()
+        assert r.reduction > 0.2 and (d != 8 or r.words_missing == 1)
+    assert license.scan(docs).count() == 0
