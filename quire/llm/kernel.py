@@ -21,7 +21,7 @@ def _lean_memory() -> None:
     libc = ctypes.util.find_library("c")
     mallopt = getattr(ctypes.CDLL(libc), "mallopt", None) if libc else None
     if mallopt:
-        mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        mallopt(-3, 1 << 24)  # M_MMAP_THRESHOLD
         mallopt(-8, 2)  # M_ARENA_MAX
 
 
@@ -97,7 +97,7 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets, "left")
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 17) -> np.ndarray:
     """Hashes of the byte spans, which are in order of their starts; memory stays in proportion to ``block``
     or to the longest span."""
     out = np.empty(len(starts), np.uint64)

@@ -159,41 +159,61 @@ def odd_texts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.array([d for d in maybe.tolist() if _ODD.search(buf[offsets[d] : offsets[d + 1]].tobytes())], np.int64)
 
 
+def _no_pieces() -> Pieces:
+    return Pieces(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))
+
+
+def _merge(a: Pieces, b: Pieces) -> Pieces:
+    hashes = np.concatenate([a.hashes, b.hashes])
+    order = np.argsort(hashes, kind="stable")
+    both = Pieces(hashes, np.concatenate([a.ids, b.ids]), np.concatenate([a.lens, b.lens]))
+    return Pieces(hashes[order], both.gather(order)[0], both.lens[order])
+
+
+def _rows_in(held: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where hashes stand in a sorted array, and whether they do."""
+    if not len(held):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    row = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
+    return row, held[row] == hashes
+
+
 class Encoder:
-    """Encodes batches of texts; remembers the first ``most`` distinct pieces that this process meets."""
+    """Encodes batches of texts; remembers the first ``most`` distinct pieces that this process meets. New pieces
+    go to a small table first, which is merged into the large one when it has a quarter of its size."""
 
     def __init__(self, name: str, keep_space: bool, most: int = 1_000_000):
         self.name, self.keep_space, self.most = name, keep_space, most
-        self.known = Pieces(np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))
-
-    def table(self, distinct: np.ndarray, starts: np.ndarray, ends: np.ndarray, buf: np.ndarray) -> Pieces:
-        """A table that holds at least the distinct hashes, whose pieces lie at these bytes."""
-        old = self.known
-        if len(old.hashes):
-            row = np.searchsorted(old.hashes, distinct)
-            row[row == len(old.hashes)] = 0
-            new = old.hashes[row] != distinct
-        else:
-            new = np.ones(len(distinct), bool)
-        if not new.any():
-            return old
-        raw = buf.tobytes()
-        texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-        ids, lens = encode_pieces(self.name, texts)
-        every = np.concatenate([old.hashes, distinct[new]])
-        order = np.argsort(every, kind="stable")
-        both = Pieces(every, np.concatenate([old.ids, ids]), np.concatenate([old.lens, lens]))
-        out = Pieces(every[order], both.gather(order)[0], both.lens[order])
-        if len(every) <= self.most:
-            self.known = out
+        self.known, self.recent = _no_pieces(), _no_pieces()
+
+    def lookup(self, distinct: np.ndarray, starts: np.ndarray, ends: np.ndarray, buf: np.ndarray) -> Pieces:
+        """The ids of the sorted distinct hashes, whose pieces lie at these bytes."""
+        row, old = _rows_in(self.known.hashes, distinct)
+        late, fresh = _rows_in(self.recent.hashes, distinct)
+        new = np.flatnonzero(~(old | fresh))
+        added = _no_pieces()
+        if len(new):
+            raw = buf.tobytes()
+            texts = [raw[a:b].decode("utf-8") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            added = Pieces(distinct[new], *encode_pieces(self.name, texts))
+        # The three sources' ids one after another, then in the order of the hashes.
+        parts = [self.known.gather(row[old]), self.recent.gather(late[fresh]), (added.ids, added.lens)]
+        where = np.concatenate([np.flatnonzero(old), np.flatnonzero(fresh), new])
+        mixed = Pieces(where, np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts]))
+        back = np.empty(len(where), np.int64)
+        back[where] = np.arange(len(where))
+        out = Pieces(distinct, mixed.gather(back)[0], mixed.lens[back])
+        if len(new) and len(self.known.hashes) + len(self.recent.hashes) + len(new) <= self.most:
+            self.recent = _merge(self.recent, added)
+            if 4 * len(self.recent.hashes) > len(self.known.hashes):
+                self.known, self.recent = _merge(self.known, self.recent), _no_pieces()
         return out
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and each text's number of ids."""
         starts, ends, first = cut(buf, offsets, self.keep_space)
         distinct, where, back = np.unique(kernel.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        table = self.table(distinct, starts[where], ends[where], buf)
-        ids, lens = table.gather(np.searchsorted(table.hashes, distinct)[back])
+        ids, lens = self.lookup(distinct, starts[where], ends[where], buf).gather(back)
         total = np.concatenate([[0], np.cumsum(lens)])
         return patch_odd(self.name, buf, offsets, ids, total[first[1:]] - total[first[:-1]])
 
