@@ -1 +1 @@
-
+"""Column functions: geometry, text, identity."""

@@ -1,0 +1,232 @@
+"""Spatial joins, one-to-one assignment and fusion of pages."""
+
+from __future__ import annotations
+
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import geometry as g
+
+TEXT_KINDS = ("text", "title", "heading", "paragraph", "list_item", "caption", "header", "footer", "footnote", "page_number")
+
+
+def cells(rows: DataFrame, size: float) -> DataFrame:
+    """Explode boxes into the grid cells that they touch: columns cx, cy."""
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
+    return rows.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+
+
+def spatial_pairs(left: DataFrame, right: DataFrame, page: str, size: float = 64.0) -> DataFrame:
+    """Pairs of boxes of one page that share area: an equi-join on page and grid cell. A pair is made in one cell only,
+    the one with the greater of the two boxes' first cells, so nothing has to be made distinct afterwards. Columns of
+    ``right`` get the suffix 2."""
+    a = cells(left.withColumns({"fx": F.floor(F.col("x0") / size), "fy": F.floor(F.col("y0") / size)}), size)
+    b = cells(right.withColumns({"fx": F.floor(F.col("x0") / size), "fy": F.floor(F.col("y0") / size)}), size)
+    b = b.select(page, "cx", "cy", *[F.col(c).alias(f"{c}2") for c in b.columns if c not in (page, "cx", "cy")])
+    met = a.join(b, [page, "cx", "cy"]).where((F.col("cx") == F.greatest("fx", "fx2")) & (F.col("cy") == F.greatest("fy", "fy2")))
+    return met.where(g.overlap(g.box(), g.box(suffix="2")) > 0).drop("cx", "cy", "fx", "fy", "fx2", "fy2")
+
+
+def kinds_agree(a: str, b: str):
+    """Equal types, both of text, or one of them unknown."""
+    return (F.col(a) == F.col(b)) | (F.col(a).isin(*TEXT_KINDS) & F.col(b).isin(*TEXT_KINDS)) | (F.col(a) == "unknown") | (F.col(b) == "unknown")
+
+
+def correlated_pairs(rows: DataFrame, page: str = "page_id", least: float = 0.5) -> DataFrame:
+    """Pairs of observations of one page by different sources whose types agree and whose IoU reaches ``least``."""
+    met = spatial_pairs(rows, rows, page).where("source < source2").where(kinds_agree("kind", "kind2"))
+    return met.withColumn("iou", g.iou(g.box(), g.box(suffix="2"))).where(F.col("iou") >= least)
+
+
+def containing_block(lines: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
+    """For each line the smallest block that holds its centre (ties: the least block_id), else null."""
+    middle = lines.withColumns({"_cx": (F.col("x0") + F.col("x1")) / 2, "_cy": (F.col("y0") + F.col("y1")) / 2})
+    met = spatial_pairs(middle, blocks, page).where("_cx between x02 and x12 and _cy between y02 and y12")
+    best = met.groupBy(page, "line_id").agg(F.min_by("block_id2", F.struct(g.area(g.box(suffix="2")).alias("a"), F.col("block_id2"))).alias("block_id"))
+    return lines.join(best, [page, "line_id"], "left")
+
+
+def nearest_above(items: DataFrame, targets: DataFrame, page: str, least: float = 0.25) -> DataFrame:
+    """For each item (a caption) the nearest target of its page with enough horizontal overlap: an as-of join on page,
+    by vertical distance, then horizontal, then id. A page's items meet its targets only."""
+    met = items.join(targets.select(page, *[F.col(c).alias(f"{c}2") for c in targets.columns if c != page]), page)
+    met = met.where(g.horizontal_overlap(g.box(), g.box(suffix="2")) >= least)
+    gap = F.greatest(F.lit(0.0), F.col("y0") - F.col("y12"), F.col("y02") - F.col("y1"))
+    side = F.abs(F.col("x0") + F.col("x1") - F.col("x02") - F.col("x12")) / 2
+    best = met.groupBy(page, "item_id").agg(F.min_by("target_id2", F.struct(gap.alias("d"), side.alias("s"), F.col("target_id2"))).alias("target_id"))
+    return items.join(best, [page, "item_id"], "left")
+
+
+def bind_pages(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join the pages (doc_id, number) of two sources: by number where both have the same numbers, by place where both
+    have equally many without a gap, else by equal numbers only. Adds number2 and by_place."""
+    def shape(pages, name):
+        return pages.groupBy("doc_id").agg(F.array_sort(F.collect_list("number")).alias(name))
+
+    kinds = shape(left, "a").join(shape(right, "b"), "doc_id")
+    whole = lambda c: F.array_max(c) - F.array_min(c) + 1 == F.size(c)
+    kinds = kinds.select("doc_id", F.array_min("b").alias("to"), F.array_min("a").alias("of"), ((F.size("a") == F.size("b")) & whole("a") & whole("b") & (F.col("a") != F.col("b"))).alias("by_place"))
+    rows = left.join(kinds, "doc_id").withColumn("number2", F.when(F.col("by_place"), F.col("number") - F.col("of") + F.col("to")).otherwise(F.col("number")))
+    return rows.join(right.select("doc_id", F.col("number").alias("number2")), ["doc_id", "number2"]).select("doc_id", "number", "number2", "by_place")
+
+
+def hungarian(cost: list[list[float]]) -> list[int]:
+    """Least-cost assignment of rows to columns (at least as many); the column of each row. Potentials and shortest
+    augmenting paths."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        least, back, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while owner[at]:
+            done[at] = True
+            best, nxt = float("inf"), 0
+            for c in range(1, m + 1):
+                if done[c]:
+                    continue
+                d = cost[owner[at] - 1][c - 1] - u[owner[at]] - v[c]
+                if d < least[c]:
+                    least[c], back[c] = d, at
+                if least[c] < best:
+                    best, nxt = least[c], c
+            for c in range(m + 1):
+                if done[c]:
+                    u[owner[c]] += best
+                    v[c] -= best
+                else:
+                    least[c] -= best
+            at = nxt
+        while at:
+            owner[at], at = owner[back[at]], back[at]
+    out = [-1] * n
+    for c in range(1, m + 1):
+        if owner[c]:
+            out[owner[c] - 1] = c - 1
+    return out
+
+
+def assign(scores: dict[tuple[int, int], float], rows: int, columns: int) -> list[tuple[int, int]]:
+    """As many pairs as possible, and among those the greatest sum of scores (from 0 to 1); pairs without a score are
+    forbidden."""
+    if not scores:
+        return []
+    width = max(rows, columns)
+    # A forbidden or empty pair costs more than any difference in scores can win back.
+    cost = [[-scores[r, c] if (r, c) in scores else 4.0 * (width + 1) for c in range(columns)] + [4.0 * (width + 1)] * (width - columns) for r in range(rows)]
+    return [(r, c) for r, c in enumerate(hungarian(cost)) if c < columns and (r, c) in scores]
+
+
+def text_similarity(a: str | None, b: str | None, textual: bool) -> float:
+    """1 for equal keys; else the lesser of the matching-block ratios both ways; a missing text equals a missing one."""
+    if a is None or b is None:
+        return 1.0 if a is b or not textual else 0.0
+    if a == b:
+        return 1.0
+    return min(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio())
+
+
+def _iou(a, b) -> float:
+    w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
+    both = w * h if w > 0 and h > 0 else 0.0
+    joint = (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - both
+    return both / joint if joint > 0 else 0.0
+
+
+def _page_clusters(least_iou: float, least_text: float):
+    def score(a, b) -> float | None:
+        texts = a.kind in TEXT_KINDS, b.kind in TEXT_KINDS
+        if a.source == b.source or not (a.kind == b.kind or all(texts) or "unknown" in (a.kind, b.kind)):
+            return None
+        share = _iou(a, b)
+        alike = text_similarity(a.key, b.key, any(texts)) if share >= least_iou else 0.0
+        return 0.6 * share + 0.4 * alike if share >= least_iou and alike >= least_text else None
+
+    def clusters_of(rows: list) -> list[list]:
+        rows = sorted(rows, key=lambda r: (r.source, r.y0, r.x0, r.y1, r.x1, r.kind, r.key or "", r.element_id))
+        clusters: list[list] = []
+        for source in sorted({r.source for r in rows}):
+            own = [r for r in rows if r.source == source]
+            scores = {}
+            for i, r in enumerate(own):
+                for j, members in enumerate(clusters):
+                    found = [score(r, m) for m in members]
+                    if all(x is not None for x in found):
+                        scores[i, j] = min(found)
+            pairs = dict(assign(scores, len(own), len(clusters)))
+            fresh = []
+            for i, r in enumerate(own):
+                (clusters[pairs[i]] if i in pairs else fresh).append(r if i in pairs else [r])
+            clusters += fresh
+        return sorted(clusters, key=lambda c: (min(m.y0 for m in c), min(m.x0 for m in c), c[0].source, c[0].element_id))
+
+    def run(frames):
+        """Rows come sorted by page; a page is done when the next begins."""
+        held: list = []
+
+        def done(rows):
+            return [(m.page_id, m.element_id, m.source, k) for k, c in enumerate(clusters_of(rows)) for m in c]
+
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if held and held[0].page_id != r.page_id:
+                    out += done(held)
+                    held = []
+                held.append(r)
+            yield pd.DataFrame(out, columns=["page_id", "element_id", "source", "cluster"])
+        if held:
+            yield pd.DataFrame(done(held), columns=["page_id", "element_id", "source", "cluster"])
+
+    return run
+
+
+def fuse_pages(rows: DataFrame, least_iou: float = 0.5, least_text: float = 0.75) -> DataFrame:
+    """Cluster each page's observations (page_id, element_id, source, kind, box, text): sources join one after another,
+    each assigning its elements one to one to clusters all of whose members they match (IoU, type and text), as many
+    as possible and then best; the rest begin clusters. Result: page_id, element_id, source, cluster. Pages are small
+    and many: they are dealt out and sorted by Spark, and a task holds one page at a time. Rows without a page_id go."""
+    from ..functions.text import folded
+
+    out = rows.select("page_id", "element_id").schema.simpleString()[7:-1].replace(":", " ") + ", source string, cluster long"
+    keyed = rows.where("page_id is not null").withColumn("key", folded("text")).select("page_id", "element_id", "source", "kind", "x0", "y0", "x1", "y1", "key")
+    return keyed.repartition("page_id").sortWithinPartitions("page_id").mapInPandas(_page_clusters(least_iou, least_text), out)
+
+
+def match_elements(reference: DataFrame, candidate: DataFrame, unmatched: float = 0.4) -> DataFrame:
+    """One-to-one match of two readings of a page by cost (0.45 overlap, 0.25 text, 0.15 type, 0.10 size, 0.05 order);
+    pairs at twice ``unmatched`` or more stay apart. Result: page_id, reference_id, candidate_id, cost."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a = list(left.sort_values(["reading_order", "y0", "x0", "element_id"]).itertuples(index=False))
+        b = list(right.sort_values(["reading_order", "y0", "x0", "element_id"]).itertuples(index=False))
+        out = []
+        if a and b:
+            size = max(len(a), len(b))
+            cost = [[unmatched] * (len(a) + len(b)) for _ in range(len(a) + len(b))]
+            for i, r in enumerate(a):
+                for j, c in enumerate(b):
+                    texts = r.kind in TEXT_KINDS and c.kind in TEXT_KINDS
+                    if r.kind != c.kind and not texts:
+                        cost[i][j] = 4.0
+                        continue
+                    shape = lambda p, q: min(p, q) / max(p, q) if max(p, q) > 0 else 1.0
+                    sizes = (shape(r.x1 - r.x0, c.x1 - c.x0) + shape(r.y1 - r.y0, c.y1 - c.y0)) / 2
+                    words = SequenceMatcher(None, r.text or "", c.text or "", autojunk=False).ratio()
+                    cost[i][j] = 0.45 * (1 - _iou(r, c)) + 0.25 * (1 - words) + 0.15 * (0 if r.kind == c.kind else 0.35) + 0.10 * (1 - sizes) + 0.05 * abs(i - j) / size
+            for i in range(len(a), len(a) + len(b)):
+                for j in range(len(b), len(a) + len(b)):
+                    cost[i][j] = 0.0
+            for i, j in enumerate(hungarian(cost)[: len(a)]):
+                if j < len(b) and cost[i][j] < 2 * unmatched:
+                    out.append((a[i].page_id, a[i].element_id, b[j].element_id, cost[i][j]))
+        return pd.DataFrame(out, columns=["page_id", "reference_id", "candidate_id", "cost"])
+
+    ids = dict(reference.dtypes)
+    schema = f"page_id {ids['page_id']}, reference_id {ids['element_id']}, candidate_id {dict(candidate.dtypes)['element_id']}, cost double"
+    columns = ["page_id", "element_id", "kind", "x0", "y0", "x1", "y1", "text", "reading_order"]
+    # New names on both sides, so that a table can be matched with a part of itself.
+    left, right = (d.select(*[F.col(c).alias(c) for c in columns]) for d in (reference, candidate))
+    return left.groupBy("page_id").cogroup(right.groupBy("page_id")).applyInPandas(run, schema)
