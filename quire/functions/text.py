@@ -66,7 +66,7 @@ def sequence_distance(left: pd.Series, right: pd.Series) -> pd.Series:
 def coerced_confidence(c: Column) -> Column:
     """A share of one: percentages are divided by 100, the rest is held within 0 and 1, and what is no finite number is
     null."""
-    v = c.cast("double")
+    v = c.try_cast("double")
     v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
     v = F.when((v > 1) & (v <= 100), v / 100).otherwise(v)
     return F.when(v < 0, 0.0).when(v > 1, 1.0).otherwise(v)

@@ -76,9 +76,9 @@ def table_accuracy(reference: DataFrame, candidate: DataFrame, keys: list[str])
 
 def relationship_accuracy(pairs: DataFrame, keys: list[str], reference: str, candidate: str) -> DataFrame:
     """Mean equality of the keys that either of two maps has; 1 without any."""
-    both = pairs.select(*keys, reference, candidate, F.explode_outer(F.array_union(F.map_keys(reference), F.map_keys(candidate))).alias("k"))
-    same = F.col(reference)[F.col("k")].eqNullSafe(F.col(candidate)[F.col("k")])
-    return both.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("k").isNotNull(), same.cast("double"))), F.lit(1.0)).alias("relationship_accuracy"))
+    both = pairs.select(*keys, reference, candidate, F.explode_outer(F.array_union(F.map_keys(reference), F.map_keys(candidate))).alias("_key"))
+    same = F.col(reference)[F.col("_key")].eqNullSafe(F.col(candidate)[F.col("_key")])
+    return both.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("_key").isNotNull(), same.cast("double"))), F.lit(1.0)).alias("relationship_accuracy"))
 
 
 def editability(rows: DataFrame, keys: list[str]) -> DataFrame:
