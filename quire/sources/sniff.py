@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import element_type
+
 THRESHOLD, MARGIN = 0.60, 0.05
 
 
@@ -96,6 +98,72 @@ def page_texts(payloads: DataFrame, path: str, text: str) -> DataFrame:
     return rows.select("doc_id", (F.col("n") + 1).alias("page_number"), F.concat(F.lit("page-"), F.col("n") + 1).alias("element_id"), F.lit("text").alias("kind"), *[nothing.alias(c) for c in ("x0", "y0", "x1", "y1")], F.col(f"p.{text}").alias("text"), nothing.alias("confidence"))
 
 
+def _polygon(points, odd: int, pick):
+    return pick(F.filter(points, lambda x, i: i % 2 == odd))
+
+
+def azure_paragraphs(payloads: DataFrame) -> DataFrame:
+    """Paragraphs of a layout result: the role as type, the polygon's box; confidence is the mean of the words whose spans
+    meet the paragraph's (half-open intervals)."""
+    shape = "struct<paragraphs:array<struct<content:string,role:string,spans:array<struct<offset:int,length:int>>,boundingRegions:array<struct<pageNumber:int,polygon:array<double>>>>>,pages:array<struct<pageNumber:int,words:array<struct<confidence:double,span:struct<offset:int,length:int>>>>>>"
+    whole = F.coalesce(F.get_json_object("payload", "$.analyzeResult"), F.get_json_object("payload", "$.result.analyzeResult"), F.col("payload"))
+    rows = payloads.select("doc_id", F.from_json(whole, shape).alias("r"))
+    words = F.flatten(F.transform("r.pages", lambda p: p["words"]))
+    parts = rows.select("doc_id", words.alias("words"), F.posexplode("r.paragraphs").alias("n", "p"))
+    meets = lambda w, s: (w["span"]["offset"] < s["offset"] + s["length"]) & (s["offset"] < w["span"]["offset"] + w["span"]["length"])
+    known = F.transform(F.filter("words", lambda w: F.exists("p.spans", lambda s: meets(w, s))), lambda w: w["confidence"])
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+    region = F.get("p.boundingRegions", F.lit(0))
+    poly = region["polygon"]
+    kind = F.when(F.col("p.role").isNull(), "paragraph").otherwise(element_type(F.col("p.role"), "paragraph"))
+    return parts.select("doc_id", F.coalesce(region["pageNumber"], F.lit(1)).alias("page_number"), F.concat(F.lit("p"), F.col("n")).alias("element_id"), kind.alias("kind"), _polygon(poly, 0, F.array_min).alias("x0"), _polygon(poly, 1, F.array_min).alias("y0"), _polygon(poly, 0, F.array_max).alias("x1"), _polygon(poly, 1, F.array_max).alias("y1"), F.col("p.content").alias("text"), mean.alias("confidence"))
+
+
+def google_paragraphs(payloads: DataFrame) -> DataFrame:
+    """Paragraphs of a processed document: texts are slices [start, end) of the document's text, boxes normalised vertices times
+    the page's size."""
+    shape = "struct<text:string,pages:array<struct<pageNumber:int,dimension:struct<width:double,height:double>,paragraphs:array<struct<layout:struct<confidence:double,textAnchor:struct<content:string,textSegments:array<struct<startIndex:string,endIndex:string>>>,boundingPoly:struct<normalizedVertices:array<struct<x:double,y:double>>>>>>>>>"
+    whole = F.coalesce(F.get_json_object("payload", "$.document"), F.col("payload"))
+    pages = payloads.select("doc_id", F.from_json(whole, shape).alias("d")).select("doc_id", "d.text", F.posexplode("d.pages").alias("k", "g"))
+    rows = pages.select("doc_id", F.col("text").alias("whole"), F.coalesce("g.pageNumber", F.col("k") + 1).alias("page_number"), "g.dimension", F.posexplode("g.paragraphs").alias("n", "p"))
+    anchor, corners = F.col("p.layout.textAnchor"), F.col("p.layout.boundingPoly.normalizedVertices")
+    start = lambda s: F.coalesce(s["startIndex"].try_cast("int"), F.lit(0))
+    cut = F.array_join(F.transform(anchor["textSegments"], lambda s: F.substring(F.col("whole"), start(s) + 1, s["endIndex"].try_cast("int") - start(s))), "")
+    at = lambda c, pick, size: pick(F.transform(corners, lambda v: F.coalesce(v[c], F.lit(0.0)))) * F.col(f"dimension.{size}")
+    return rows.select("doc_id", "page_number", F.concat(F.lit("p"), F.col("page_number"), F.lit("-"), F.col("n")).alias("element_id"), F.lit("paragraph").alias("kind"), at("x", F.array_min, "width").alias("x0"), at("y", F.array_min, "height").alias("y0"), at("x", F.array_max, "width").alias("x1"), at("y", F.array_max, "height").alias("y1"), F.trim(F.coalesce(anchor["content"], cut)).alias("text"), F.col("p.layout.confidence").alias("confidence"))
+
+
+def contour_lines(payloads: DataFrame) -> DataFrame:
+    """Lines with contours (pages[].lines[].cnt) to elements."""
+    shape = "array<struct<page:int,lines:array<struct<id:string,type:string,text:string,text_display:string,confidence:double,cnt:array<array<double>>>>>>"
+    rows = payloads.select("doc_id", F.posexplode(F.from_json(F.get_json_object("payload", "$.pages"), shape)).alias("k", "g")).select("doc_id", F.coalesce("g.page", F.col("k") + 1).alias("page_number"), F.posexplode("g.lines").alias("n", "l"))
+    at = lambda i, pick: pick(F.transform("l.cnt", lambda v: v[i]))
+    return rows.select("doc_id", "page_number", F.coalesce("l.id", F.concat(F.lit("l"), F.col("page_number"), F.lit("-"), F.col("n"))).alias("element_id"), element_type(F.coalesce("l.type", F.lit("text"))).alias("kind"), at(0, F.array_min).alias("x0"), at(1, F.array_min).alias("y0"), at(0, F.array_max).alias("x1"), at(1, F.array_max).alias("y1"), F.coalesce("l.text", "l.text_display").alias("text"), F.col("l.confidence").alias("confidence"))
+
+
+def content_lists(payloads: DataFrame) -> DataFrame:
+    """Flat content lists (page_idx from 0, type, bbox, text) under pages[].content_list or at the top."""
+    shape = "array<struct<page_idx:int,type:string,text:string,text_level:int,bbox:array<double>>>"
+    flat = F.coalesce(F.from_json(F.get_json_object("payload", "$.content_list"), shape), F.flatten(F.transform(F.from_json(F.get_json_object("payload", "$.pages"), f"array<struct<content_list:{shape}>>"), lambda p: p["content_list"])))
+    rows = payloads.select("doc_id", F.posexplode(flat).alias("n", "c"))
+    kind = F.when(F.col("c.text_level").isNotNull(), "heading").otherwise(element_type(F.coalesce("c.type", F.lit("text"))))
+    box = F.col("c.bbox")
+    return rows.select("doc_id", (F.coalesce("c.page_idx", F.lit(0)) + 1).alias("page_number"), F.concat(F.lit("c"), F.col("n")).alias("element_id"), kind.alias("kind"), *[F.get(box, F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))], F.col("c.text").alias("text"), F.lit(None).cast("double").alias("confidence"))
+
+
+def natural_texts(payloads: DataFrame) -> DataFrame:
+    """One element for a record's whole text."""
+    nothing = F.lit(None).cast("double")
+    return payloads.select("doc_id", F.coalesce(F.get_json_object("payload", "$.page_number").try_cast("int"), F.lit(1)).alias("page_number"), F.lit("page").alias("element_id"), F.lit("text").alias("kind"), *[nothing.alias(c) for c in ("x0", "y0", "x1", "y1")], F.coalesce(F.get_json_object("payload", "$.natural_text"), F.get_json_object("payload", "$.completion")).alias("text"), nothing.alias("confidence"))
+
+
+def canonical(payloads: DataFrame) -> DataFrame:
+    """Documents of the element model itself."""
+    shape = "array<struct<number:int,elements:array<struct<id:string,type:string,text:string,confidence:double,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>>>"
+    rows = payloads.select("doc_id", F.explode(F.from_json(F.get_json_object("payload", "$.pages"), shape)).alias("g")).select("doc_id", F.col("g.number").alias("page_number"), F.explode("g.elements").alias("e"))
+    return rows.select("doc_id", "page_number", F.col("e.id").alias("element_id"), F.col("e.type").alias("kind"), *[F.col(f"e.bbox.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], F.col("e.text").alias("text"), F.col("e.confidence").alias("confidence"))
+
+
 def normalize(payloads: DataFrame) -> DataFrame:
     """Elements of all payloads (doc_id, payload) whose schema is known; the others give no rows."""
     rows = detect(payloads)
@@ -103,6 +171,12 @@ def normalize(payloads: DataFrame) -> DataFrame:
         textract(rows.where("provider = 'aws_textract'")),
         recognition_arrays(rows.where("provider = 'paddleocr'")),
         page_texts(rows.where("provider = 'mistral_ocr'"), "$.pages", "markdown"),
+        azure_paragraphs(rows.where("provider = 'azure_document_intelligence'")),
+        google_paragraphs(rows.where("provider = 'google_document_ai'")),
+        contour_lines(rows.where("provider = 'mathpix'")),
+        content_lists(rows.where("provider = 'mineru'")),
+        natural_texts(rows.where("provider = 'olmocr'")),
+        canonical(rows.where("provider = 'canonical'")),
     ]
     out = parts[0]
     for p in parts[1:]:
