@@ -59,31 +59,31 @@ def rule_failures() -> Column:
     return base_failed() | (mean < 2) | (mean > 15) | (F.col("n_symbols") > 0.1 * F.col("n_words")) | (F.col("n_dup_lines") > 20)
 
 
-def host_verdicts(judged: DataFrame, most: float = 0.5) -> DataFrame:
+def host_verdicts(judged: DataFrame, keep: Workspace, most: float = 0.5) -> DataFrame:
     """source, n, failed, shrunk and host_kept for every source that is not null.
 
     With host rates of mean m and variance v (hosts alike), the prior's weight is m(1-m)/v - 1, at least 1 and at
-    most 1000 (also where v is 0); a host's shrunk rate is (failed + weight*m) / (n + weight).
+    most 1000 (also where v is 0); a host's shrunk rate is (failed + weight*m) / (n + weight). The two numbers of
+    the prior come to the driver, the hosts do not.
     """
-    hosts = judged.where(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failed"))
+    hosts = keep.save(judged.where(F.col("source").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("failed")), "counts")
     rate = F.col("failed") / F.col("n")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
-    weight = F.when(F.col("v") > 0, F.least(F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)), F.lit(1000.0))).otherwise(1000.0)
-    prior = prior.select("m", weight.alias("weight"))
-    shrunk = (F.col("failed") + F.col("weight") * F.col("m")) / (F.col("n") + F.col("weight"))
-    # One row of prior; the join is with that single row.
-    return hosts.join(F.broadcast(prior)).select("source", "n", "failed", shrunk.alias("shrunk"), (shrunk <= most).alias("host_kept"))
+    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
+    m, v = m or 0.0, v or 0.0
+    weight = min(max(m * (1 - m) / v - 1, 1.0), 1000.0) if v > 0 else 1000.0
+    shrunk = (F.col("failed") + weight * m) / (F.col("n") + weight)
+    return hosts.select("source", "n", "failed", shrunk.alias("shrunk"), (shrunk <= most).alias("host_kept"))
 
 
 def judge(docs: DataFrame, most: float = 0.5, keep: Workspace | None = None) -> DataFrame:
     """doc_id, the measures, base_failed, failed, shrunk (the host's rate) and kept of every row of ``docs`` (doc_id,
     text, source). A null text is empty and fails; a null source has no host verdict; null and repeated doc_ids are
-    judged row by row; an empty table gives no rows. Host verdicts are written before they are joined back, so
+    judged row by row; an empty table gives no rows. Host counts are written before verdicts are joined back, so
     that the planner can split the rows of a hot host."""
     keep = keep or Workspace(docs.sparkSession)
     rows = measures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))).drop("text")
     rows = keep.save(rows.withColumns({"base_failed": base_failed(), "failed": rule_failures()}), "judged")
-    hosts = keep.save(host_verdicts(rows, most).select("source", "shrunk", "host_kept"), "hosts")
+    hosts = host_verdicts(rows, keep, most).select("source", "shrunk", "host_kept")
     out = rows.join(hosts, "source", "left")
     return out.withColumn("shrunk", F.round("shrunk", 9)).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_kept"), F.lit(True))).drop("source", "host_kept")
 
@@ -93,7 +93,9 @@ def keep_good(docs: DataFrame, most: float = 0.5, keep: Workspace | None = None)
     Measures are taken twice, for the hosts and for the rows, so that no text is shuffled by document."""
     keep = keep or Workspace(docs.sparkSession)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "text", F.col("source").cast("string").alias("source"))
-    rows = measures(whole).drop("text").withColumn("failed", rule_failures())
-    hosts = keep.save(host_verdicts(rows.select("source", "failed"), most).select("source", "host_kept"), "hosts")
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    # The inline keeps later filters above it: pushed down, they would take the measures once a word.
+    rows = measures(whole).select("_row", "source", F.inline(F.array(F.struct(*made)))).withColumn("failed", rule_failures())
+    hosts = host_verdicts(rows.select("source", "failed"), keep, most).select("source", "host_kept")
     good = rows.where(~base_failed()).select("_row", "source").join(hosts, "source", "left").where(F.coalesce("host_kept", F.lit(True)))
     return good.select("_row.*")
