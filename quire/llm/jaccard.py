@@ -3,20 +3,21 @@
 Documents with equal shingle sets are one class. In a common order of shingles (those known as frequent last,
 else by hash) a class's prefix is so long that two classes that link share a prefix shingle. Classes with
 the same prefix and size are one group; only group leaders are expanded into prefix shingles, and pairs of
-groups are kept where sizes and places in the order allow a link. Kept pairs are expanded to their classes
+groups are kept where sizes, places in the order and the number of shared prefix shingles allow a link. Kept pairs are expanded to their classes
 and verified on the whole sets.
 
 No list of a shingle is ever expanded into all its pairs at once. First each group in a list is paired
-with the list's pivot, and each class with its group's leader; links found so give components. Pairs are
-then made only in lists (and groups) that still hold several components, and only between these, so a
-large group of near copies costs about one pair a copy, and no link between components is lost.
+with the list's pivot, and each class with its group's leader; links found so give components. Large
+lists that still hold several components pair their members with a few hubs. Only then are pairs made in the lists (and
+groups) that hold several components even now, and only between these, so a large group of near copies costs
+a few pairs a copy, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel, shared
@@ -35,6 +36,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+LOOK_BACK = 6
+"""How many shingles before its own a row of a list carries."""
+LARGE = 64
+"""From what size on a list is given hubs."""
+HUBS = 16
+"""With how many members of a list all its members are paired before lists are joined with themselves."""
+
+
 def frequent_shingles(docs: DataFrame, k: int, most: int = 1 << 17, within: int = 3) -> np.ndarray:
     """Up to ``most`` shingles that several documents share within some batch of a task, rarest first. Only the
     order of shingles depends on this list, never the result."""
@@ -55,7 +64,8 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = 1 << 17, within: int
 
 
 def describe(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Per document: n (set size), cls (fingerprint of the set), grp (of prefix and size) and prefix."""
+    """Per document: n (set size), cls (fingerprint of the set), grp (of prefix and size), prefix and sketch (the set's
+    bits in a table of two to four bits a shingle)."""
     order = np.argsort(frequent)
     held, rank = frequent[order], order.astype(np.int64) + 1
 
@@ -63,12 +73,13 @@ def describe(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
         for batch in batches:
             buf, offsets = kernel.strings(batch.column(1))
             for i, j in kernel.slices(offsets, 2 << 20):
-                n, cls, grp, prefix = [], [], [], []
+                n, cls, grp, prefix, sketch = [], [], [], [], []
                 for s in _sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k):
                     n.append(len(s))
                     if not len(s):
                         cls.append(None)
                         grp.append(None)
+                        sketch.append(None)
                         prefix.append([])
                         continue
                     take = len(s) - -(-percent * len(s) // 100) + 1
@@ -84,11 +95,42 @@ def describe(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
                     cls.append(_print(s))
                     grp.append(_print(np.append(first, np.uint64(len(s)))))
                     prefix.append(first.view(np.int64))
+                    sketch.append(_sketch(s))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "grp", "prefix"]
+                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n", "cls", "grp", "prefix", "sketch"]
                 )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, cls long, grp long, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, cls long, grp long, prefix array<long>, sketch binary")
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    bits = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    table = np.zeros(bits, bool)
+    table[(s % np.uint64(bits)).astype(np.int64)] = True
+    return np.packbits(table).tobytes()
+
+
+def _sift(pairs: DataFrame, classes: DataFrame, percent: int, keep: Workspace) -> DataFrame:
+    """The pairs (a, b) that their sketches leave possible: a bit of one set that the other lacks is a shingle that it lacks,
+    so the intersection is at most each set's size less its bits of its own. Larger sketches are folded to the smaller's
+    size."""
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for n, x, n2, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                x, y = (np.bitwise_or.reduce(v.reshape(-1, size), 0) for v in (x, y))
+                both = min(n - int(np.bitwise_count(x & ~y).sum()), n2 - int(np.bitwise_count(y & ~x).sum()))
+                ok.append((100 + percent) * both >= percent * (n + n2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    few = F.broadcast(pairs) if pairs.count() <= 200_000 else pairs
+    one = classes.select(F.col("cls").alias("a"), "n", "sketch").join(few, "a")
+    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")).join(few, "b")
+    met = one.join(two, ["a", "b"]).select("a", "b", "n", "sketch", "n2", "sketch2")
+    return keep.save(met.mapInArrow(run, "a long, b long"), "sifted")
 
 
 def _print(values: np.ndarray) -> int:
@@ -154,8 +196,9 @@ def _load_sets(docs: DataFrame, needed: DataFrame, k: int, keep: Workspace) -> D
     return keep.save(rows.join(F.broadcast(needed) if count <= 100_000 else needed, ["doc_id", "cls"], "left_semi").select("cls", "shingles"), "sets")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, first: DataFrame, k: int, percent: int, keep: Workspace) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link."""
+def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, first: DataFrame, k: int, percent: int, keep: Workspace) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets link; sketches leave most others out first."""
+    pairs = _sift(pairs, classes, percent, keep)
     needed = keep.save(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(first, "cls").select("cls", "doc_id"), "needed")
     sets = _load_sets(docs, needed, k, keep)
 
@@ -185,53 +228,113 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     spark = docs.sparkSession
     keep = Workspace(spark)
     frequent = frequent_shingles(docs, k)
-    every = keep.save(describe(docs, k, percent, frequent), "described")
-    rows = every.where("n > 0 and doc_id is not null")
+    described = keep.save(describe(docs, k, percent, frequent), "described")
+    rows = described.where("n > 0 and doc_id is not null")
     first = keep.save(rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "first")
-    classes = keep.save(rows.select("cls", "n", "grp", "prefix").dropDuplicates(["cls"]), "classes")
+    classes = keep.save(rows.select("cls", "n", "grp", "prefix", "sketch").dropDuplicates(["cls"]), "classes")
+    every = keep.save(described.select("doc_id", "n", "cls"), "rows")
+    keep.drop(described)
     groups = keep.save(classes.groupBy("grp").agg(F.min("cls").alias("leader"), F.count(F.lit(1)).alias("members")), "groups")
-    leaders = classes.join(groups.select("grp", "leader", "members"), "grp").where("cls = leader")
-    lists = leaders.select("grp", "n", "leader", F.posexplode("prefix").alias("pos", "shingle"))
-    pivots = keep.save(lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("leader", "grp", "n", "pos")).alias("pivot")).where("size > 1"), "pivots")
-    met = keep.save(lists.join(pivots, "shingle").select("shingle", "grp", "n", "pos", "leader", F.col("pivot").alias("p")), "lists")
+    leaders = keep.save(classes.join(groups.select(F.col("leader").alias("cls")), "cls").select("grp", "n", "cls", "prefix"), "leaders")
+    lists = leaders.select("grp", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    pivots = keep.save(lists.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("pos", "grp", "n")).alias("p")).where("size > 1"), "pivots")
+    keep.tidy()
+    met = keep.save(lists.join(pivots.select("shingle", "p"), "shingle"), "lists")
+    large = keep.save(pivots.where(F.col("size") >= LARGE).select("shingle"), "large")
+    keep.drop(pivots)
+    keep.tidy()
+    # Each row knows the few shingles before it: a pair that has one of them in common was made in that list.
+    before = F.slice("prefix", F.greatest(F.lit(1), F.col("pos") - (LOOK_BACK - 1)), F.least(F.col("pos"), F.lit(LOOK_BACK)))
+    rows = keep.save(met.select("shingle", "grp", "n", "pos").join(leaders.select("grp", "prefix"), "grp").select("shingle", "grp", "n", "pos", before.alias("before")), "list-rows")
 
     def possible(n1, i, n2, j):
-        """A first common shingle at these places leaves room for a link."""
+        """A first common shingle at these places leaves room for a link; so no two sizes too far apart pass."""
         room = 1 + F.least(F.col(n1) - 1 - F.col(i), F.col(n2) - 1 - F.col(j))
         return (100 + percent) * room >= percent * (F.col(n1) + F.col(n2))
 
+    def lacking(n1, n2, shared):
+        """How many more prefix shingles than ``shared`` two sets need in common: what follows the prefix that ends
+        first can add no more than its own size."""
+        after = F.ceil(percent * F.greatest(n1, n2) / 100) - 1
+        return F.ceil(percent * (F.col(n1) + F.col(n2)) / (100 + percent)) - after - F.col(shared)
+
     def ordered(a, b):
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    stars = met.where("leader <> p.leader").where(possible("n", "pos", "p.n", "p.pos")).select(*ordered("leader", "p.leader"))
+    # Pivots only save work, so pairs that share little through one pivot are left to the later passes.
+    stars = met.where("grp <> p.grp").where(possible("n", "pos", "p.n", "p.pos")).groupBy("grp", "n", "p.grp", "p.n").agg(F.count(F.lit(1)).alias("shared"))
+    stars = stars.toDF("grp", "n1", "grp2", "n2", "shared").where(lacking("n1", "n2", "shared") <= F.col("shared")).select("grp", "grp2")
+    names = leaders.select("grp", F.col("cls").alias("c1"))
+    stars = stars.join(names, "grp").join(names.toDF("grp2", "c2"), "grp2").select(*ordered("c1", "c2"))
     inside = classes.join(groups.where("members > 1"), "grp").where("cls <> leader").select(*ordered("cls", "leader"))
     tried = keep.save(stars.union(inside).distinct(), "stars")
-    links = _verify(docs, tried, first, k, percent, keep)
+    keep.drop(met)
+    links = _verify(docs, tried, classes, first, k, percent, keep)
+    found = keep.save(components(links, keep), "components")
+    keep.tidy()
+
+    prefixes = leaders.select("grp", "n", "prefix")
+
+    def open_rows(found, rows):
+        """What is left open: classes with their components, groups with their least and greatest, and the rows of the
+        lists that hold several components."""
+        of = classes.select("cls", "n", "grp").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        of = keep.save(of, "classes-of")
+        spans = keep.save(of.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")), "spans")
+        spread = rows.join(spans, "grp")
+        mixed = keep.save(spread.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("shingle"), "mixed")
+        left = keep.save(spread.select("shingle", "grp", "n", "pos", "low", "high", "before").join(mixed, "shingle", "left_semi"), "open")
+        keep.drop(mixed)
+        return of, spans, left
+
+    def other(rows):
+        return rows.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("grp", "n", "pos", "low", "high", "before")])
+
+    def meet(left, right, which):
+        """Pairs of groups of one list. Places and sizes tell most apart; the rest must share enough of their prefixes."""
+        pairs = left.join(right, "shingle").where(which).where("not (low = high and low2 = high2 and low = low2)")
+        pairs = pairs.where(possible("n", "pos", "n2", "pos2")).where(~F.arrays_overlap("before", "before2")).select("grp", "grp2").distinct()
+        pairs = keep.save(pairs, "pairs")
+        # Up to 200,000 pairs of ids are broadcast, so that prefixes stay where they are; more are shuffled.
+        few = F.broadcast(pairs) if pairs.count() <= 200_000 else pairs
+        one, two = prefixes.join(few, "grp"), prefixes.toDF("grp2", "n2", "prefix2").join(few, "grp2")
+        both = one.join(two, ["grp", "grp2"]).withColumn("shared", F.size(F.array_intersect("prefix", "prefix2")))
+        return both.where(lacking("n", "n2", "shared") <= 0).select("grp", "grp2")
+
+    def expanded(pairs, of, tried):
+        """Pairs of classes of different components, for pairs of groups, that were not verified yet."""
+        one = of.select("grp", F.col("cls").alias("c1"), F.col("component").alias("k1"))
+        two = of.select(F.col("grp").alias("grp2"), F.col("cls").alias("c2"), F.col("component").alias("k2"))
+        return pairs.join(one, "grp").join(two, "grp2").where("k1 <> k2").select(*ordered("c1", "c2")).distinct().join(tried, ["a", "b"], "left_anti")
+
+    # A large group of near copies of which only some pairs link: each meets up to HUBS members of its lists, those
+    # with the fewest rare shingles before the shared one, which stand nearest to the original.
+    few = F.broadcast(large) if large.count() <= 200_000 else large
+    of, spans, left = open_rows(found, keep.save(rows.join(few, "shingle", "left_semi"), "large-rows"))
+    hubs = left.withColumn("_n", F.row_number().over(Window.partitionBy("shingle").orderBy("pos", F.xxhash64("grp"), "grp"))).where(F.col("_n") <= HUBS).drop("_n")
+    second = keep.save(expanded(meet(left, other(hubs), "grp <> grp2"), of, tried), "hubs")
+    links = keep.save(links.union(_verify(docs, second, classes, first, k, percent, keep)), "links")
+    tried = keep.save(tried.union(second), "tried")
+    keep.drop(of, spans, left, found, second)
     found = keep.save(components(links, keep), "components")
+    keep.tidy()
 
-    # What pivots and leaders left open: pairs of different components in one list or group.
-    of = classes.select("cls", "n", "grp").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    of = keep.save(of, "classes-of")
-    spans = keep.save(of.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")), "spans")
-    open_lists = met.select("shingle", "grp", "n", "pos").join(spans, "grp")
-    mixed = keep.save(open_lists.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("shingle"), "mixed")
-    left = keep.save(open_lists.join(mixed, "shingle", "left_semi"), "open")
-    right = left.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("grp", "n", "pos", "low", "high")])
-    across = left.join(right, "shingle").where("grp < grp2 and not (low = high and low2 = high2 and low = low2)").where(possible("n", "pos", "n2", "pos2")).select("grp", "grp2").distinct()
+    # Whatever is still open: all pairs of different components in one list or group. Of two sizes the smaller
+    # needs the shorter prefix.
+    of, spans, left = open_rows(found, rows)
+    short = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    across = meet(left, other(left.where(F.col("pos") <= short)), "(n > n2 or n = n2 and grp < grp2)")
     within = spans.where("low < high").select("grp", F.col("grp").alias("grp2"))
-    one = of.select("grp", F.col("cls").alias("c1"), F.col("component").alias("k1"))
-    two = of.select(F.col("grp").alias("grp2"), F.col("cls").alias("c2"), F.col("component").alias("k2"))
-    more = across.union(within).join(one, "grp").join(two, "grp2").where("k1 <> k2").select(*ordered("c1", "c2")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = keep.save(more, "rest")
+    more = keep.save(expanded(across.union(within), of, tried), "rest")
     if more.limit(1).count():
-        links = links.union(_verify(docs, more, first, k, percent, keep))
+        links = links.union(_verify(docs, more, classes, first, k, percent, keep))
         found = keep.save(components(links, keep), "components")
 
     of = first.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = keep.save(of.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     table = keep.save(of.join(least, "component").select("cls", "component_id"), "table")
     out = every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(table, "cls", "left")
-    keep.drop(classes, groups, pivots, met, left, spans, of)
+    keep.drop(classes, groups, leaders, rows, left, spans)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -6,6 +6,7 @@ Everything that outlives one Spark job goes to the folder that the cluster names
 
 from __future__ import annotations
 
+import gc
 import mmap
 import os
 import tempfile
@@ -60,6 +61,11 @@ class Workspace:
             if at:
                 self.delete(at)
 
+    def tidy(self) -> None:
+        """Have the driver collect its garbage: Spark then removes the shuffle files of steps whose results are written."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def delete(self, at: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
