@@ -358,3 +358,26 @@ def test_licenses(spark, docs):
         assert texts[d][r.start : r.start + r.length].strip()
         assert r.reduction > 0.2 and (d != 8 or r.words_missing == 1)
     assert license.scan(docs).count() == 0
+
+
+def found(spark, *texts):
+    """Of each text the licenses found in it."""
+    got = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [Counter((r.license, r.exact) for r in got if r.doc_id == i) for i in range(len(texts))]
+
+
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+
+
+def test_licenses_in_long_blocks(spark):
+    got = found(
+        spark, BSD, "Copyright 2021 by the authors, the editors, all translators and the readers, Licensed under CC BY 4.0.",
+        "Licensed under CC BY 4.0.\nAll rights reserved.", "ALL RIGHTS RESERVED.", "Copyright notes. " * 300 + "Released under the MIT License.",
+    )
+    assert got == [{("BSD-3-Clause", True): 1}, {("CC-BY-4.0", True): 1}, {("CC-BY-4.0", True): 1, ("Proprietary", True): 1}, {("Proprietary", True): 1}, {("MIT", True): 1}]
