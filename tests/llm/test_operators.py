@@ -381,3 +381,14 @@ def test_licenses_in_long_blocks(spark):
         "Licensed under CC BY 4.0.\nAll rights reserved.", "ALL RIGHTS RESERVED.", "Copyright notes. " * 300 + "Released under the MIT License.",
     )
     assert got == [{("BSD-3-Clause", True): 1}, {("CC-BY-4.0", True): 1}, {("CC-BY-4.0", True): 1, ("Proprietary", True): 1}, {("Proprietary", True): 1}, {("MIT", True): 1}]
+
+
+def test_all_licenses_of_a_block(spark):
+    got = found(
+        spark, "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.", "\n".join(x for _, x in license.TEMPLATES),
+        "Released under the MIT License.\nLicensed under the new Apache License, Version 2.0.", "This work is licensed under the GNU Lesser General Public License, version 3.",
+    )
+    assert got[0] == {(x, True): 1 for x in ("Apache-2.0", "MIT", "CC-BY-NC-4.0")}
+    assert got[1] == {(x, True): 1 for x, _ in license.TEMPLATES}
+    assert got[2] == {("MIT", True): 1, ("Apache-2.0", False): 1}
+    assert got[3] == {("LGPL-3.0", True): 1}
