@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -392,3 +393,31 @@ def test_all_licenses_of_a_block(spark):
     assert got[1] == {(x, True): 1 for x, _ in license.TEMPLATES}
     assert got[2] == {("MIT", True): 1, ("Apache-2.0", False): 1}
     assert got[3] == {("LGPL-3.0", True): 1}
+
+
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so."""
+
+
+def test_wrapped_licenses(spark):
+    narrow = lambda text, width: "\n".join(" * " + x for x in textwrap.wrap(text, width))
+    long = [(name, x) for name, x in license.TEMPLATES if len(x) > 140]
+    texts = [GPL, MIT, "\n".join("# " + x for x in GPL.split("\n")), *[narrow(x, w) for _, x in long for w in (16, 40, 72)]]
+    got = found(spark, *texts)
+    assert got[:3] == [{("GPL-3.0", True): 1}, {("MIT", True): 1}, {("GPL-3.0", True): 1}]
+    assert got[3:] == [{(name, True): 1} for name, _ in long for _ in range(3)]
+    rows = license.scan(spark.createDataFrame([(0, "intro\n\n" + GPL)], "doc_id long, text string")).collect()
+    assert [("intro\n\n" + GPL)[r.start : r.start + r.length].split()[-1] for r in rows] == ["version"]
