@@ -329,6 +329,12 @@ def document_numbers(spark, sf_dir):
     return docs.select("doc_id", F.size(t.numbers(F.col("text"))).cast("long").alias("n_numbers"))
 
 
+@query()
+def all_document_numbers(spark, sf_dir):
+    """Numbers of all texts; document_numbers holds those of them that its SQL can count against it."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(t.numbers(F.coalesce("text", F.lit("")))).cast("long").alias("n_numbers"))
+
+
 @query(f"""WITH {OBS_SQL}, r AS (SELECT page_id, kind, count(*) AS r FROM obs WHERE source = 'src0' GROUP BY 1, 2), c AS (SELECT page_id, kind, count(*) AS c FROM obs WHERE source = 'src1' GROUP BY 1, 2),
 b AS (SELECT page_id, sum(least(coalesce(r, 0), coalesce(c, 0)))::BIGINT AS matched, sum(coalesce(r, 0))::BIGINT AS reference, sum(coalesce(c, 0))::BIGINT AS candidate FROM r FULL JOIN c USING (page_id, kind) GROUP BY 1),
 p AS (SELECT *, CASE WHEN candidate > 0 THEN matched / candidate ELSE (reference = 0)::INT END AS p, CASE WHEN reference > 0 THEN matched / reference ELSE (candidate = 0)::INT END AS q FROM b)
