@@ -293,15 +293,16 @@ def text_spans(spark, sf_dir):
     return sequences.spans(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", 3)
 
 
+def _text_lines(d, of, to):
+    rows = d.select(F.col(of).alias(to), F.explode(F.split("text", "\n")).alias("line"))
+    return rows.select(to, F.lower(F.trim(F.regexp_replace("line", r"\s+", " "))).alias("key")).where("key <> ''")
+
+
 @query(r"""WITH l AS (SELECT doc_id, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g'))) AS key FROM documents), d AS (SELECT key, count(*) AS n, min(doc_id) AS doc_id FROM l WHERE key <> '' GROUP BY 1),
 b AS (SELECT key, count(*) AS n, min(block_id) AS block_id FROM (SELECT item_id AS block_id, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '\s+', ' ', 'g'))) AS key FROM benchmark) WHERE key <> '' GROUP BY 1)
 SELECT b.key, b.block_id, d.doc_id FROM b JOIN d USING (key) WHERE b.n = 1 AND d.n = 1""")
 def evidence_anchors(spark, sf_dir):
-    def lines(d, of, to):
-        rows = d.select(F.col(of).alias(to), F.explode(F.split("text", "\n")).alias("line"))
-        return rows.select(to, F.lower(F.trim(F.regexp_replace("line", r"\s+", " "))).alias("key")).where("key <> ''")
-
-    return sequences.anchors(lines(table(spark, sf_dir, "benchmark"), "item_id", "block_id"), lines(table(spark, sf_dir, "documents"), "doc_id", "doc_id"), "key", "doc_id")
+    return sequences.anchors(_text_lines(table(spark, sf_dir, "benchmark"), "item_id", "block_id"), _text_lines(table(spark, sf_dir, "documents"), "doc_id", "doc_id"), "key", "doc_id")
 
 
 # Metrics
@@ -315,9 +316,15 @@ def character_metrics(spark, sf_dir):
 
 @query()
 def text_metrics(spark, sf_dir):
-    """Benchmark passages against the documents whose whole lines they share; the distances have no SQL form."""
-    anchors = evidence_anchors(spark, sf_dir).select(F.col("block_id").alias("item_id"), "doc_id").distinct()
-    pairs = anchors.join(table(spark, sf_dir, "benchmark").withColumnRenamed("text", "reference"), "item_id").join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("candidate")), "doc_id")
+    """Benchmark passages against all documents whose whole lines they share; the distances have no SQL form. A line or a
+    passage may be in very many documents, so both joins with benchmark are salted by the document."""
+    salts = 32
+    salt = F.pmod(F.hash("doc_id"), F.lit(salts)).alias("salt")
+    salted = lambda d: d.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    benchmark, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    shared = _text_lines(docs, "doc_id", "doc_id").distinct().select("*", salt).join(salted(_text_lines(benchmark, "item_id", "item_id").distinct()), ["key", "salt"])
+    met = shared.select("item_id", "doc_id").distinct().join(docs.select("doc_id", F.col("text").alias("candidate")), "doc_id").select("*", salt)
+    pairs = met.join(salted(benchmark.select("item_id", F.col("text").alias("reference"))), ["item_id", "salt"]).drop("salt")
     out = metrics.text_metrics(pairs)
     return out.select("item_id", "doc_id", *[F.round(c, 9).alias(c) for c in ("character_accuracy", "word_accuracy", "numerical_accuracy", "text_score")])
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 from quire import catalog
 
@@ -17,3 +16,33 @@ def test_numbers_of_all_documents(spark, tmp_path):
     assert got == {i: len(NUMBER.findall(x or "")) for i, x in enumerate(texts)}
     assert got[0] == 3 and got[1] == 2
     assert catalog.queries()["document_numbers"](spark, str(tmp_path)).count() < len(texts)
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, u in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, v in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (u != v))
+    return row[-1]
+
+
+def _accuracy(a, b):
+    return max(0.0, 1 - _edits(a, b) / max(len(a), len(b), 1))
+
+
+def test_passages_meet_all_documents_that_share_a_line(spark, tmp_path):
+    items = ["The common line\nsecond line 12", "the  COMMON line \nother words", "only here 5", "shared with none", None]
+    docs = ["x\nThe common line\ny 1", "the common line\nthe common line", "second line 12\nother words", "The common line\nsecond line 12", "only here 5\nonly here 5", "", None, "common line"] + ["The common line"] * 40
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    keys = lambda x: {" ".join(y.split()).lower() for y in (x or "").split("\n")} - {""}
+    want = {}
+    for i, a in enumerate(items):
+        for d, b in enumerate(docs):
+            if keys(a) & keys(b):
+                c, w, n = _accuracy(a, b), _accuracy(a.split(), b.split()), _accuracy(NUMBER.findall(a), NUMBER.findall(b))
+                want[i, d] = tuple(round(x, 6) for x in (c, w, n, 0.45 * c + 0.35 * w + 0.10 * (a == b) + 0.10 * n))
+    got = catalog.queries()["text_metrics"](spark, str(tmp_path)).collect()
+    assert {(r.item_id, r.doc_id): tuple(round(x, 6) for x in r[2:]) for r in got} == want
+    assert len(got) == len(want) > 80
