@@ -1,7 +1,8 @@
 """Alignment of a reviewed text's blocks with the positioned units of a source.
 
-Candidates are runs of units (built by a window) that resemble a block. Exact texts meet in an equi-join; the others are
-scored where they share a word, again an equi-join. The monotone choice of candidates is a weighted-interval dynamic
+Candidates are runs of units (built by a window) that resemble a block. In a document of up to
+400 units of a source all runs are scored, in a longer one those that share a word with the block or whose first unit begins
+like it. The monotone choice of candidates is a weighted-interval dynamic
 program over one document and source, streamed by task.
 """
 
@@ -60,6 +61,30 @@ def likeness(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_alike(a, b) for a, b in zip(left, right, strict=True)])
 
 
+def _alike_from(a: str, b: str, least: float) -> float | None:
+    """_alike() where it is ``least`` at least; the bounds on the ratio leave the others out early."""
+    if a != b and not (min(len(a), len(b)) and (a in b or b in a)):
+        x, y = a.split(), b.split()
+        both = sum(min(x.count(w), y.count(w)) for w in set(x))
+        tokens = 2 * both / (len(x) + len(y)) if x or y else 0.0
+        need = min(least, (least - 0.32 * tokens) / 0.68) - 1e-9
+        m = SequenceMatcher(None, a, b, autojunk=False)
+        if m.real_quick_ratio() < need or m.quick_ratio() < need:
+            return None
+    like = _alike(a, b)
+    return like if like >= least else None
+
+
+@F.pandas_udf(T.DoubleType())
+def likeness_from(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
+    """likeness() where it is ``least`` at least, else null."""
+    return pd.Series([_alike_from(a, b, x) for a, b, x in zip(left, right, least, strict=True)], dtype="float64")
+
+
+#: Units of a document and source up to which all runs are scored; beginnings that admit a run beyond that.
+FEW, PREFIX, PREFIX_LEAST, PREFIX_LIKE = 400, 12, 3, 0.55
+
+
 def candidates(blocks: DataFrame, units: DataFrame, longest: int = 8, best: int = 256) -> DataFrame:
     """Candidates (doc_id, source, block_index, first, end, score) of blocks (doc_id, block_index, kind, text) among the
     units (doc_id, source, page, position, kind, text, confidence): runs of up to ``longest`` units of a page whose score
@@ -70,12 +95,25 @@ def candidates(blocks: DataFrame, units: DataFrame, longest: int = 8, best: int
     runs = ahead.select("doc_id", "source", "first", F.explode(F.sequence(F.lit(1), F.size("u"))).alias("size"), "u")
     runs = runs.withColumn("u", F.slice("u", 1, F.col("size"))).select("doc_id", "source", "first", (F.col("first") + F.col("size")).alias("end"), t.normalized(F.array_join(F.transform("u", lambda x: x["text"]), " ")).alias("key"), F.transform("u", lambda x: x["kind"]).alias("types"), (F.aggregate("u", F.lit(0.0), lambda a, x: a + x["c"]) / F.col("size")).alias("c"))
     keyed = blocks.select("doc_id", "block_index", F.col("kind").alias("block_kind"), t.normalized(F.col("text")).alias("target")).where("target <> ''")
+    few = units.groupBy("doc_id", "source").agg((F.count(F.lit(1)) <= FEW).alias("few"))
+    runs = runs.join(few, ["doc_id", "source"])
+    whole = runs.where("few").join(keyed.select("doc_id", "block_index", "target"), "doc_id")
+    # A run much longer or shorter than the block cannot be alike enough: of 0.56 the words give 0.32 at most.
+    near = lambda d: d.where(2 * F.least(F.length("key"), F.length("target")) >= 0.35 * (F.length("key") + F.length("target")))
+    place = ["doc_id", "block_index", "source", "first", "end"]
+    many = runs.where("not few")
     words = lambda d, c, cols: d.select(*cols, F.explode(F.array_distinct(F.split(c, " "))).alias("word"))
-    met = words(keyed, "target", ["doc_id", "block_index"]).join(words(runs, "key", ["doc_id", "source", "first", "end"]), ["doc_id", "word"]).select("doc_id", "block_index", "source", "first", "end").distinct()
-    rows = met.join(keyed, ["doc_id", "block_index"]).join(runs, ["doc_id", "source", "first", "end"])
-    # A run much longer or shorter than the block cannot be alike enough.
-    rows = rows.where(2 * F.least(F.length("key"), F.length("target")) >= 0.5 * (F.length("key") + F.length("target")))
-    rows = rows.withColumn("like", likeness("target", "key")).where(F.col("like") >= threshold(F.col("block_kind"), F.col("target")))
+    met = words(keyed, "target", ["doc_id", "block_index"]).join(words(many, "key", ["doc_id", "source", "first", "end"]), ["doc_id", "word"]).select(*place)
+    # Beginnings that agree: of each distinct pair of beginnings once.
+    starts = many.where("end = first + 1").select("doc_id", "source", "first", F.substring("key", 1, PREFIX).alias("begin"))
+    tops = keyed.select("doc_id", "block_index", F.substring("target", 1, PREFIX).alias("top"))
+    pairs = starts.select("doc_id", "begin").distinct().join(tops.select("doc_id", "top").distinct(), "doc_id")
+    n = F.least(F.length("begin"), F.length("top"))
+    pairs = pairs.where(n >= PREFIX_LEAST).where(likeness_from(F.substring("begin", F.lit(1), n), F.substring("top", F.lit(1), n), F.lit(PREFIX_LIKE)).isNotNull())
+    begun = starts.join(pairs, ["doc_id", "begin"]).join(tops, ["doc_id", "top"]).join(many.select("doc_id", "source", "first", "end"), ["doc_id", "source", "first"]).select(*place)
+    met = near(whole).select(*place).union(met).union(begun).distinct()
+    rows = near(met.join(keyed, ["doc_id", "block_index"]).join(runs.drop("few"), ["doc_id", "source", "first", "end"]))
+    rows = rows.withColumn("like", likeness_from("target", "key", threshold(F.col("block_kind"), F.col("target")))).where("like is not null")
     rows = rows.withColumn("score", F.least(F.lit(1.0), 0.82 * F.col("like") + 0.13 * type_score(F.col("block_kind"), F.col("types")) + 0.05 * F.col("c"))).where("score >= 0.62")
     order = Window.partitionBy("doc_id", "source", "block_index").orderBy(F.col("score").desc(), "first", "end")
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= best).select("doc_id", "source", "block_index", "first", "end", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from quire import catalog
+from quire.operators import alignment
 
 NUMBER = re.compile(r"(?<![\w.])[+\-−]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?", re.ASCII)
 
@@ -46,3 +47,24 @@ def test_passages_meet_all_documents_that_share_a_line(spark, tmp_path):
     got = catalog.queries()["text_metrics"](spark, str(tmp_path)).collect()
     assert {(r.item_id, r.doc_id): tuple(round(x, 6) for x in r[2:]) for r in got} == want
     assert len(got) == len(want) > 80
+
+
+def test_candidates_need_no_common_word(spark):
+    odd = ["introductlon", "hel lo", "日本語の文草を読む", "e=mc^3+x"]
+    want = ["introduction", "hello", "日本語の文章を読む", "e=mc^2+x"]
+    few = [("few", "s", 1, i, "text", x, 0.9) for i, x in enumerate(odd)]
+    many = [("many", "s", 1 + i // 100, i, "text", f"#{i:05d}#" if i % 150 else odd[i // 150], 0.9) for i in range(600)]
+    units = spark.createDataFrame(few + many, "doc_id string, source string, page int, position int, kind string, text string, confidence double")
+    blocks = spark.createDataFrame([(d, i, "paragraph", x) for d in ("few", "many") for i, x in enumerate(want)], "doc_id string, block_index int, kind string, text string")
+    got = {(r.doc_id, r.block_index, r.first, r.end) for r in alignment.candidates(blocks, units).collect()}
+    assert {("few", i, i, i + 1) for i in range(4)} | {("many", i, 150 * i, 150 * i + 1) for i in range(4)} <= got
+    # All runs of the short document, by brute force.
+    brute = set()
+    for i, a in enumerate(want):
+        for first in range(4):
+            for end in range(first + 1, 5):
+                like = alignment._alike(a, " ".join(odd[first:end]))
+                if like >= 0.62 and 0.82 * like + 0.13 * 0.62 + 0.05 * 0.9 >= 0.62:
+                    brute.add(("few", i, first, end))
+    missing = brute - got
+    assert not missing
