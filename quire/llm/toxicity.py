@@ -217,10 +217,12 @@ class Classifier:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, fold: int, folds: int, most: int) -> DataFrame:
-    """text, toxic and part (0 to 3, by hash) of up to ``most`` labelled rows outside the fold: those whose doc_id has
-    the least hashes. A doc_id labelled more than once counts as toxic if one label says so."""
+    """text, toxic and part (0 to 3, by hash) of up to ``most`` labelled rows of ``docs`` outside the fold: those whose doc_id
+    has the least hashes. A doc_id labelled more than once counts as toxic if one label says so."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(name.cast("binary")) % folds != fold).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    # Labels of other documents must not take places.
+    known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
     chosen = known.withColumn("order", F.xxhash64("doc_id", F.lit("fit"))).orderBy("order", "doc_id").limit(most).select("doc_id", "toxic", F.pmod("order", F.lit(4)).cast("int").alias("part"))
     # At most ``most`` rows are broadcast.
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "part")

@@ -421,3 +421,12 @@ def test_wrapped_licenses(spark):
     assert got[3:] == [{(name, True): 1} for name, _ in long for _ in range(3)]
     rows = license.scan(spark.createDataFrame([(0, "intro\n\n" + GPL)], "doc_id long, text string")).collect()
     assert [("intro\n\n" + GPL)[r.start : r.start + r.length].split()[-1] for r in rows] == ["version"]
+
+
+def test_labels_of_other_documents_take_no_places(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(0, 3000, 50)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")
+    own = [i for i in range(0, 3000, 50) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for most, want in ((30, 30), (1000, len(own))):
+        got = toxicity.labelled(docs, known, 1, 3, most).collect()
+        assert len(got) == want and {int(r.text.split()[1]) for r in got} <= set(own)
