@@ -1,9 +1,10 @@
 """Byte-pair encoding and decoding by a table of distinct words.
 
-Texts are split in Spark into the pieces between which the tokenizer always cuts; every task keeps each
+Spark tasks split the texts into the pieces between which the tokenizer always cuts; every task keeps each
 distinct piece once, pieces are dealt by hash into shards, and each shard encodes its distinct pieces once
-and is written as sorted hash arrays. Encoding maps these arrays into memory and joins ids back by position.
-Decoding joins ids with a table of pieces (its size is the vocabulary's) and puts the bytes together.
+and is written as sorted hash arrays. Encoding maps these arrays into memory and joins ids back by position (a
+join on the map side: hashes find rows, a second hash confirms them). Decoding joins ids with a table of pieces (its
+size is the vocabulary's) and puts the bytes together.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel, shared
-from .pieces import Pieces, cut, encode_pieces, gather, patch_odd, tokenizer
+from .pieces import Batch, Pieces, bounds, encode_pieces, encode_whole, gather, rows_in, tokenizer
 from .shared import Workspace
 
 
@@ -42,7 +43,7 @@ def _blocks(vocabulary: str, shards: int, most: int = 1_000_000):
             buf, offsets = kernel.strings(batch.column(0))
             for i, j in kernel.slices(offsets, 2 << 20):
                 own, ends_at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, ends, _ = cut(own, ends_at, True)
+                starts, ends, _ = bounds(vocabulary, own, ends_at)
                 distinct, where = np.unique(kernel.span_hashes(own, starts, ends), return_index=True)
                 if len(seen):
                     row = np.minimum(np.searchsorted(seen, distinct), len(seen) - 1)
@@ -51,9 +52,8 @@ def _blocks(vocabulary: str, shards: int, most: int = 1_000_000):
                 if not len(distinct):
                     continue
                 seen = distinct if len(seen) > most else np.sort(np.concatenate([seen, distinct]), kind="stable")
-                shard = _shard(distinct, shards)
-                cuts = np.searchsorted(shard, np.arange(shards + 1))
-                rows = [(s, a, b) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+                used, cuts = np.unique(_shard(distinct, shards), return_index=True)
+                rows = list(zip(used.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(distinct)], strict=True))
                 data = []
                 for _, a, b in rows:
                     w = where[a:b]
@@ -65,49 +65,50 @@ def _blocks(vocabulary: str, shards: int, most: int = 1_000_000):
 
 
 def build_word_table(docs: DataFrame, keep: Workspace, vocabulary: str = "byte_bpe_50k.json", shards: int | None = None) -> str:
-    """Write the table of all distinct pieces of ``docs.text``; returns its folder."""
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Write the table of all distinct pieces of ``docs.text``; returns its folder. A task holds one shard at a time,
+    and the number of shards grows with the input."""
+    shards = shards or shared.shards(docs)
     folder = keep.path("words")
 
+    def settled(loose):
+        """One of each piece: bytes, starts, ends, hashes."""
+        own, lens = np.concatenate([x for x, _ in loose]), np.concatenate([n for _, n in loose])
+        e = np.cumsum(lens)
+        s = e - lens
+        hashes, where = np.unique(kernel.span_hashes(own, s, e), return_index=True)
+        body, lens = _bytes_of(own, s[where], e[where]), lens[where]
+        return body, np.cumsum(lens) - lens, np.cumsum(lens), hashes
+
+    def write(number, loose):
+        body, starts, ends, hashes = settled(loose)
+        raw = body.tobytes()
+        ids, lens = encode_pieces(vocabulary, [raw[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        at = np.concatenate([[0], np.cumsum(lens)])
+        columns = [np.array([len(hashes)], "<i8"), hashes.astype("<u8"), kernel.span_checks(body, starts, ends).astype("<u8"), at.astype("<i8"), ids.astype("<u4")]
+        shared.put(f"{folder}/shard-{number:06d}", b"".join(c.tobytes() for c in columns))
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(hashes)], pa.int64())], names=["shard", "n"])
+
     def merge(batches):
         expand = zstandard.ZstdDecompressor()
-        body, starts, ends, hashes = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-        loose, waiting, number = [], 0, None
-
-        def settle():
-            """One of each piece among those kept and those that wait."""
-            nonlocal body, starts, ends, hashes, loose, waiting
-            parts = [body, *[x for x, _ in loose]]
-            lens = [ends - starts, *[n for _, n in loose]]
-            own = np.concatenate(parts)
-            e = np.cumsum(np.concatenate(lens))
-            s = e - np.concatenate(lens)
-            hashes, where = np.unique(kernel.span_hashes(own, s, e), return_index=True)
-            body = _bytes_of(own, s[where], e[where])
-            ends = np.cumsum((e - s)[where])
-            starts = ends - (e - s)[where]
-            loose, waiting = [], 0
-
+        held, loose, waiting, kept = None, [], 0, 0
         for batch in batches:
             for number, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if number != held and loose:
+                    yield write(held, loose)
+                    loose, waiting, kept = [], 0, 0
+                held = number
                 raw = expand.decompress(block)
                 n = int(np.frombuffer(raw, "<u4", 1)[0])
                 loose.append((np.frombuffer(raw, np.uint8, offset=4 + 4 * n), np.frombuffer(raw, "<u4", n, 4).astype(np.int64)))
                 waiting += len(raw)
-                if waiting > max(16 << 20, len(body)):
-                    settle()
-        if number is None:
-            return
-        settle()
-        raw = body.tobytes()
-        ids, lens = encode_pieces(vocabulary, [raw[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        at = np.concatenate([[0], np.cumsum(lens)]).astype("<i8")
-        shared.put(f"{folder}/shard-{number:06d}", np.array([len(hashes)], "<i8").tobytes() + hashes.astype("<u8").tobytes() + at.tobytes() + ids.astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(hashes)], pa.int64())], names=["shard", "n"])
+                if waiting > max(16 << 20, kept):
+                    body, starts, ends, _ = settled(loose)
+                    loose, waiting, kept = [(body, ends - starts)], 0, len(body)
+        if loose:
+            yield write(held, loose)
 
     blocks = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_blocks(vocabulary, shards), "shard int, block binary")
-    made = blocks.repartitionById(shards, F.col("shard")).mapInArrow(merge, "shard int, n long").collect()  # a row a shard
+    made = shared.deal(blocks, shards).mapInArrow(merge, "shard int, n long").collect()  # a row a shard
     shared.put(f"{folder}/manifest.json", json.dumps({"vocabulary": vocabulary, "shards": shards, "words": {int(r.shard): r.n for r in made}}).encode())
     return folder
 
@@ -127,32 +128,33 @@ class WordTable:
                 raw = shared.mapped(f"{self.folder}/shard-{k:06d}")
                 n = int(raw[:8].view("<i8")[0])
                 p = Pieces.__new__(Pieces)
-                p.hashes, p.at, p.ids = raw[8 : 8 + 8 * n].view("<u8"), raw[8 + 8 * n : 16 + 16 * n].view("<i8"), raw[16 + 16 * n :].view("<u4")
+                p.hashes, p.checks, p.at, p.ids = raw[8 : 8 + 8 * n].view("<u8"), raw[8 + 8 * n : 8 + 16 * n].view("<u8"), raw[8 + 16 * n : 16 + 24 * n].view("<i8"), raw[16 + 24 * n :].view("<u4")
                 self.open[k] = p
         return self.open[k]
 
-    def find(self, distinct: np.ndarray, texts) -> Pieces:
-        """Ids of the sorted distinct hashes; ``texts(rows)`` gives the pieces of those not in the table."""
+    def find(self, batch: Batch) -> Pieces:
+        """Ids of the batch's distinct pieces; those that are not in the table are encoded here."""
         shards = self.meta["shards"]
-        cuts = np.searchsorted(_shard(distinct, shards), np.arange(shards + 1))
-        ids, lens, missing = [], np.zeros(len(distinct), np.int64), []
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = int(cuts[k]), int(cuts[k + 1])
+        shard = _shard(batch.hashes, shards)
+        used, cuts = np.unique(shard, return_index=True)
+        cuts = [*cuts.tolist(), len(shard)]
+        ids, lens = [], np.zeros(len(batch.hashes), np.int64)
+        for i, k in enumerate(used.tolist()):
+            a, b = cuts[i], cuts[i + 1]
             p = self.shard(k)
-            row = np.minimum(np.searchsorted(p.hashes, distinct[a:b]), len(p.hashes) - 1) if p is not None else np.zeros(b - a, np.int64)
-            ok = p.hashes[row] == distinct[a:b] if p is not None else np.zeros(b - a, bool)
+            row, ok, _ = rows_in(p.hashes, p.checks, batch.hashes[a:b], batch.checks[a:b]) if p is not None else (np.zeros(b - a, np.int64), np.zeros(b - a, bool), None)
             if ok.all():
                 got, n = p.gather(row)
             else:
                 lost = np.flatnonzero(~ok)
-                extra, n_extra = encode_pieces(self.meta["vocabulary"], texts(lost + a))
+                extra, n_extra = encode_pieces(self.meta["vocabulary"], batch.texts(lost + a))
                 known, n_known = p.gather(row[ok]) if p is not None else (np.empty(0, np.uint32), np.empty(0, np.int64))
                 where = np.concatenate([np.flatnonzero(ok), lost])
-                mixed = Pieces(np.empty(0, np.uint64), np.concatenate([known, extra]), np.concatenate([n_known, n_extra]))
-                got, n = mixed.gather(np.argsort(where))
+                n = np.concatenate([n_known, n_extra])
+                got, n = gather(np.concatenate([known, extra]), np.concatenate([[0], np.cumsum(n)]), np.argsort(where))
             ids.append(got)
             lens[a:b] = n
-        return Pieces(distinct, np.concatenate(ids) if ids else np.empty(0, np.uint32), lens)
+        return Pieces(batch.hashes, batch.checks, np.concatenate(ids) if ids else np.empty(0, np.uint32), lens)
 
 
 _tables: dict[str, WordTable] = {}
@@ -175,12 +177,9 @@ def _encoding(folder: str):
             buf, offsets = kernel.strings(batch.column(1))
             for i, j in kernel.slices(offsets):
                 own, ends_at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, ends, first = cut(own, ends_at, True)
-                distinct, where, back = np.unique(kernel.span_hashes(own, starts, ends), return_index=True, return_inverse=True)
-                found = table.find(distinct, lambda rows, own=own, where=where, starts=starts, ends=ends: [own[starts[w] : ends[w]].tobytes().decode() for w in where[rows].tolist()])
-                ids, lens = found.gather(back)
-                total = np.concatenate([[0], np.cumsum(lens)])
-                ids, counts = patch_odd(name, own, ends_at, ids, total[first[1:]] - total[first[:-1]])
+                pieces = Batch(name, own, ends_at, True)
+                ids, counts = pieces.joined(table.find(pieces))
+                ids, counts = encode_whole(name, own, ends_at, ids, counts, pieces.strays)
                 at = np.concatenate([[0], np.cumsum(counts)]).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "ids"])
 
@@ -241,7 +240,8 @@ def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFra
 
 def round_trip(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, ids and the decoded text of every row of ``docs`` (doc_id, text): encode() and decode() in one pass
-    through Python."""
+    through Python. A null or empty text has no ids and decodes to an empty one; null and repeated doc_ids are kept;
+    other columns are left out; an empty table gives no rows; a word may be as long as a text."""
     folder = build_word_table(docs, Workspace(docs.sparkSession), vocabulary)
     there, back = _encoding(folder), _decoding(vocabulary, ["doc_id", "ids"])
     return _rows(docs).mapInArrow(lambda batches: back(there(batches)), "doc_id long, ids binary, text string")

@@ -1,7 +1,9 @@
 """Vectorised text kernels over Arrow string buffers: words, 64-bit hashes, lower case.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes are polynomial over a table of random
-byte values modulo 2**64, mixed with the length; they agree on every machine.
+A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes take eight bytes a round through multiplications
+and shifts under a key, beginning with the length; long spans go through XXH3. They agree on every machine. Two
+different spans of one length up to eight bytes never agree, other ones with a probability of 2**-64; ``span_checks``
+gives a second hash under another key, by which a match is confirmed.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 
 
@@ -27,28 +30,15 @@ def _lean_memory() -> None:
 
 _lean_memory()
 
-_rng = np.random.Generator(np.random.PCG64(20240611))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = 0x9E3779B97F4A7C15
-_PINV = pow(_P, -1, 2**64)
+_KEYS = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+_MASK = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
+LONG = 128
+"""Spans of more bytes are hashed one by one."""
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        up, down = (np.full(size, x, np.uint64) for x in (_P, _PINV))
-        up[0] = down[0] = 1
-        _powers = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes."""
     x = np.asarray(x, np.uint64)
@@ -97,21 +87,45 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets, "left")
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 17) -> np.ndarray:
-    """Hashes of the byte spans, which are in order of their starts; memory stays in proportion to ``block``
-    or to the longest span."""
+def _hashes(buf: np.ndarray, starts: np.ndarray, size: np.ndarray, key: tuple[int, int], block: int = 1 << 16) -> np.ndarray:
     out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + block, "left")))
-        lo, hi = int(starts[i]), int(ends[i:j].max())
-        up, down = _power_tables(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[buf[lo:hi]] * up[: hi - lo], out=total[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        i = j
-    return mix(out)
+    if not len(starts):
+        return out
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    step, seed = np.uint64(key[0]), np.uint64(key[1])
+    for i in range(0, len(starts), block):
+        at, left = starts[i : i + block], size[i : i + block]
+        h = (left.astype(np.uint64) + seed) * step
+        rows = np.flatnonzero(left <= LONG)
+        done = 0
+        while len(rows):
+            x = eight[at[rows] + done] & _MASK[np.minimum(left[rows] - done, 8)]
+            y = (h[rows] ^ x) * step
+            y = (y ^ (y >> np.uint64(29))) * seed
+            h[rows] = y ^ (y >> np.uint64(32))
+            done += 8
+            rows = rows[left[rows] > done]
+        for k in np.flatnonzero(left > LONG).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(buf[at[k] : at[k] + left[k]], key[1])
+        out[i : i + block] = mix(h)
+    return out
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans; memory stays in proportion to the buffer and the number of spans."""
+    return _hashes(buf, starts, ends - starts, _KEYS[0])
+
+
+def span_checks(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A second value of each span: with the hash and this, spans up to eight bytes are told apart for certain (it is
+    their length) and others by 128 bits."""
+    size = ends - starts
+    out = size.astype(np.uint64)
+    more = np.flatnonzero(size > 8)
+    out[more] = _hashes(buf, starts[more], size[more], _KEYS[1])
+    return out
 
 
 def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,8 @@ gap back. Pieces that found no gap in their range and the gaps that found no pie
 (no more than ``capacity`` sizes and one more per range), the counts are matched across ranges from the
 largest size down, and the k-th piece of a size takes the k-th place in the gaps of the matched size:
 conflicts are resolved by rank. Gaps are updated, the largest pieces without any gap open new
-sequences, and the next round begins. Only counts by size reach the driver.
+sequences, and the next round begins. Only counts by size reach the driver. The result is the union of what each
+round placed, so the rounds' tables stay until it is read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -107,16 +108,12 @@ def _sweep(capacity: int):
     return run
 
 
-def _plan(counts: list, capacity: int) -> tuple[list, dict]:
+def _plan(total: dict, capacity: int) -> list:
     """Match sizes of pieces, largest first, with the smallest size of gap that still has unused gaps.
 
-    ``counts``: rows (kind, size, part, n). Returns the matches (size, first rank, end rank, gap size, first gap
-    rank, pieces a gap) with gap size 0 for a new sequence, and the rank at which each (kind, size, part) begins.
+    ``total``: numbers of rows by (kind, size). Returns the matches (size, first rank, end rank, gap size, first gap
+    rank, pieces a gap) with gap size 0 for a new sequence.
     """
-    base, total = {}, defaultdict(int)
-    for kind, size, part, n in sorted(counts):
-        base[kind, size, part] = total[kind, size]
-        total[kind, size] += n
     gaps = {s: n for (k, s), n in total.items() if k == 0}
     used: dict[int, int] = defaultdict(int)
     matches, lost = [], []
@@ -144,7 +141,23 @@ def _plan(counts: list, capacity: int) -> tuple[list, dict]:
             if take > 0:
                 matches.append((size, rank, rank + take, 0, opened, 1))
                 opened += take
-    return matches, base
+    return matches
+
+
+def _matched(pdf, matches: list):
+    """Gap size (0: a new sequence, -1: none), place among these gaps and offset in the gap of pieces with their ranks."""
+    size, rank = pdf["size"].to_numpy(), pdf["rank"].to_numpy()
+    gap, slot, where = np.full(len(pdf), -1, np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+    table = np.array(sorted(matches), np.int64).reshape(-1, 6)
+    # Matches of one size hold consecutive ranks: the last that begins at or before a rank is the only candidate.
+    for s in np.unique(size).tolist():
+        own, rows = table[table[:, 0] == s], np.flatnonzero(size == s)
+        at = np.searchsorted(own[:, 1], rank[rows], "right") - 1
+        ok = (at >= 0) & (rank[rows] < own[np.maximum(at, 0), 2]) if len(own) else np.zeros(len(rows), bool)
+        rows, m = rows[ok], own[at[ok]]
+        past = rank[rows] - m[:, 1]
+        gap[rows], slot[rows], where[rows] = m[:, 3], m[:, 4] + past // m[:, 5], past % m[:, 5] * s
+    return gap, slot, where
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, ranges: int | None = None, keep: Workspace | None = None) -> DataFrame:
@@ -164,48 +177,38 @@ def pack(pieces: DataFrame, capacity: int = 2048, ranges: int | None = None, kee
     names = [c.split()[0] for c in _ROWS.split(", ")]
     state = source.select(F.lit(1).alias("kind"), F.col("length").cast("int").alias("size"), zero.alias("seq"), "doc_id", "piece", "start", "length", "ids_crc32", zero.alias("offset"), zero.alias("place"))
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    done, serial, smallest, previous = [], 0, 1, None
+    done, serial, smallest = [], 0, 1
     while True:
         order = [F.col("size").desc(), F.col("kind"), F.col("seq"), F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")]
         swept = keep.save(state.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(_sweep(capacity), _ROWS + ", part int"), "swept")
-        counts = [tuple(r) for r in swept.where("kind < 2").groupBy("kind", "size", "part").agg(F.count(F.lit(1)).alias("n")).collect()]
         done.append(swept.where("kind = 2").select("doc_id", "piece", "start", "length", "ids_crc32", "seq", "offset"))
-        if previous is not None:
-            keep.drop(previous)
-        if not any(k == 1 for k, *_ in counts):
+        counts = keep.save(swept.where("kind < 2").groupBy("kind", "size", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
+        # At most two rows a size reach the driver.
+        total = defaultdict(int, {(r.kind, r["size"]): r.n for r in counts.groupBy("kind", "size").agg(F.sum("n").alias("n")).collect()})
+        if not any(k == 1 for k, _ in total):
             break
-        smallest = min(s for k, s, *_ in counts if k == 1)
-        matches, base = _plan(counts, capacity)
-        by_size: dict[int, list] = defaultdict(list)
-        for m in matches:
-            by_size[m[0]].append(m[1:])
-
-        def to_gaps(frames, by_size=by_size, base=base, serial=serial):
+        smallest = min(s for k, s in total if k == 1)
+        matches = _plan(total, capacity)
+        # A row's rank among all of its kind and size: its place in its range, after those of the ranges before.
+        before = Window.partitionBy("kind", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        firsts = counts.select("kind", "size", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+        firsts = F.broadcast(firsts) if counts.count() <= 200_000 else firsts
+        left = swept.where(f"kind = 1 or kind = 0 and size >= {smallest}").join(firsts, ["kind", "size", "part"]).withColumn("rank", F.col("place") + F.col("first")).select(*names, "rank")
+
+        def to_gaps(frames, matches=matches, serial=serial):
             """Pieces get the gap (size, rank) they were matched with; new sequences get their number."""
             for pdf in frames:
-                rank = pdf["place"].to_numpy() + np.array([base[1, s, p] for s, p in zip(pdf["size"].tolist(), pdf["part"].tolist(), strict=True)], np.int64)
-                gap, slot, where, kind = (np.zeros(len(pdf), np.int64) for _ in range(4))
-                for k, (s, r) in enumerate(zip(pdf["size"].tolist(), rank.tolist(), strict=True)):
-                    gap[k], kind[k] = -1, 1
-                    for lo, hi, free, first, each in by_size.get(s, ()):
-                        if lo <= r < hi:
-                            gap[k], slot[k], where[k] = free, first + (r - lo) // each, (r - lo) % each * s
-                            kind[k] = 2 if free == 0 else 3
-                            break
-                seq = np.where(kind == 2, serial + slot, 0)
-                yield pdf.assign(kind=kind.astype(np.int32), seq=seq, offset=np.where(kind == 2, 0, where), gap=gap, slot=slot)[[*names, "gap", "slot"]]
-
-        def ranked(frames, base=base):
-            for pdf in frames:
-                rank = pdf["place"].to_numpy() + np.array([base[0, s, p] for s, p in zip(pdf["size"].tolist(), pdf["part"].tolist(), strict=True)], np.int64)
-                yield pdf.assign(gap=pdf["size"].astype("int64"), slot=rank)[["gap", "slot", "seq"]]
+                gap, slot, where = _matched(pdf, matches)
+                kind = np.where(gap < 0, 1, np.where(gap == 0, 2, 3)).astype(np.int32)
+                yield pdf.assign(kind=kind, seq=np.where(kind == 2, serial + slot, 0), offset=np.where(kind == 2, 0, where), gap=gap, slot=slot)[[*names, "gap", "slot"]]
 
         serial += sum(hi - lo for _, lo, hi, free, _, _ in matches if free == 0)
-        items = swept.where("kind = 1").mapInPandas(to_gaps, _ROWS + ", gap long, slot long")
-        gaps = swept.where(f"kind = 0 and size >= {smallest}").mapInPandas(ranked, "gap long, slot long, seq long")
-        met = items.join(gaps.select("gap", "slot", F.col("seq").alias("into")), ["gap", "slot"], "left")
+        items = left.where("kind = 1").mapInPandas(to_gaps, _ROWS + ", gap long, slot long")
+        gaps = left.where("kind = 0").select(F.col("size").cast("long").alias("gap"), F.col("rank").alias("slot"), F.col("seq").alias("into"))
+        met = items.join(gaps, ["gap", "slot"], "left")
         met = met.select(*[c for c in names if c not in ("seq", "offset")], F.coalesce("into", "seq").alias("seq"), F.when(F.col("kind") == 3, capacity - F.col("gap") + F.col("offset")).otherwise(F.col("offset")).alias("offset"))
         met = keep.save(met.withColumn("kind", F.least(F.col("kind"), F.lit(2))), "met")
+        keep.drop(counts)
         placed = met.where("kind = 2")
         done.append(placed.select("doc_id", "piece", "start", "length", "ids_crc32", "seq", "offset"))
         filled = placed.groupBy("seq").agg(F.max(F.col("offset") + F.col("length")).alias("used"))
@@ -213,7 +216,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, ranges: int | None = None, kee
         open_ = filled.union(old).groupBy("seq").agg(F.max("used").alias("used")).where(F.col("used") <= capacity - smallest)
         gap_rows = open_.select(F.lit(0).alias("kind"), (F.lit(capacity) - F.col("used")).cast("int").alias("size"), "seq", *[F.lit(0).cast("int" if c == "piece" else "long").alias(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "offset", "place")])
         rest = met.where("kind = 1").select(*names).withColumn("seq", zero).withColumn("offset", zero).withColumn("place", zero)
-        state, previous = rest.unionByName(gap_rows), None
+        state = rest.unionByName(gap_rows)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -222,6 +225,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, ranges: int | None = None, kee
 
 def best_fit_pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Encode and pack whole documents (doc_id, text). A null text is empty and packs its end id alone; a null
-    doc_id is kept; repeated rows are packed each; other columns are ignored; an empty table gives no rows."""
+    doc_id is kept; repeated rows are packed each; other columns are ignored; an empty table gives no rows; a word
+    may be as long as a text."""
     keep = Workspace(docs.sparkSession)
     return pack(token_pieces(docs, vocabulary, capacity, end_id), capacity, keep=keep)

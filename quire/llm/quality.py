@@ -90,12 +90,11 @@ def judge(docs: DataFrame, most: float = 0.5, keep: Workspace | None = None) ->
 
 def keep_good(docs: DataFrame, most: float = 0.5, keep: Workspace | None = None) -> DataFrame:
     """The rows of ``docs`` that the rules keep, each judged for itself, with the columns of ``docs`` as they are.
-    Measures are taken twice, for the hosts and for the rows, so that no text is shuffled by document."""
+    Measures are taken once and written with the rows; nulls, empty tables and repeated rows as in judge()."""
     keep = keep or Workspace(docs.sparkSession)
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "text", F.col("source").cast("string").alias("source"))
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    # The inline keeps later filters above it: pushed down, they would take the measures once a word.
-    rows = measures(whole).select("_row", "source", F.inline(F.array(F.struct(*made)))).withColumn("failed", rule_failures())
+    rows = measures(whole).select("_row", "source", (~base_failed()).alias("passed"), rule_failures().alias("failed"))
+    rows = keep.save(rows, "judged")
     hosts = host_verdicts(rows.select("source", "failed"), keep, most).select("source", "host_kept")
-    good = rows.where(~base_failed()).select("_row", "source").join(hosts, "source", "left").where(F.coalesce("host_kept", F.lit(True)))
+    good = rows.where("passed").select("_row", "source").join(hosts, "source", "left").where(F.coalesce("host_kept", F.lit(True)))
     return good.select("_row.*")

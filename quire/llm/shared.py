@@ -6,41 +6,72 @@ Everything that outlives one Spark job goes to the folder that the cluster names
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import mmap
 import os
+import shutil
 import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder (URI) that the driver and all executors can reach."""
+    """A new folder (URI) that the driver and all executors can reach: below ``spark.checkpoint.dir``, or in a local session
+    without that setting a folder of this process. On a cluster the setting must be there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            root = "file://" + os.path.join(tempfile.gettempdir(), "quire-shared")
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quire_shared"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + _own_folder()
     if "://" not in root and not root.startswith("file:"):
         default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
         root = default.rstrip("/") + root if not default.startswith("file:") else "file://" + root
     return f"{root.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
+_own: list[str] = []
+
+
+def _own_folder() -> str:
+    """One folder a process for local sessions, removed when the process ends."""
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="quire-shared-"))
+        atexit.register(shutil.rmtree, _own[0], True)
+    return _own[0]
+
+
+def shards(df: DataFrame, each: int = 64 << 20) -> int:
+    """In how many shards to deal what is counted over ``df``: as many as a shuffle has partitions, and more for large
+    inputs, so that a task holds the counts of about ``each`` bytes of input at once."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, -(-size // each)) if size < 1 << 60 else least
+
+
+def deal(blocks: DataFrame, shards: int) -> DataFrame:
+    """Rows with a column ``shard``: consecutive shards go to one partition, where they come one after another."""
+    parts = min(shards, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    at = F.floor(F.col("shard").cast("long") * parts / shards).cast("int")
+    return blocks.repartitionById(parts, at).sortWithinPartitions("shard")
+
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Workspace:
-    """Names the tables and files of one operator run and removes them when they have served."""
+    """Names the tables and files of one operator run. What has served is dropped on the way; what the result still
+    reads goes when the driver's process ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = spark, shared_dir(spark), 0
-        # Batches of whole texts that a worker holds at once.
-        if int(spark.conf.get(BATCH)) > 1000:
-            spark.conf.set(BATCH, "1000")
+        _open.add(self.root)
+        _closing(spark)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -71,6 +102,37 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_open: set[str] = set()
+_watched: set[str] = set()
+
+
+def _closing(spark: SparkSession) -> None:
+    """Once an application: remove the folders of all runs before the session stops."""
+    app = spark.sparkContext.applicationId
+    if app in _watched:
+        return
+    _watched.add(app)
+    context = spark.sparkContext
+    stop = context.stop
+
+    def cleared():
+        sweep(spark)
+        stop()
+
+    context.stop = cleared
+    atexit.register(sweep, spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove the folders of all runs of this process."""
+    if spark.sparkContext._jsc is None:
+        return
+    for root in list(_open):
+        _open.discard(root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -86,19 +148,30 @@ def local_path(uri: str) -> str | None:
 
 def put(uri: str, data: bytes) -> None:
     """Write a whole file under its final name at once, so a retried or doubled task does no harm."""
+    with writing(uri) as f:
+        f.write(data)
+
+
+@contextlib.contextmanager
+def writing(uri: str):
+    """A stream whose file appears under its final name when all is written; after an error nothing is left."""
     at = local_path(uri)
     if at is not None:
         os.makedirs(os.path.dirname(at), exist_ok=True)
         half = f"{at}.{uuid.uuid4().hex}.part"
-        with open(half, "wb") as f:
-            f.write(data)
-        os.replace(half, at)
+        try:
+            with open(half, "wb") as f:
+                yield f
+            os.replace(half, at)
+        finally:
+            if os.path.exists(half):
+                os.remove(half)
         return
     store, path = _filesystem(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     half = f"{path}.{uuid.uuid4().hex}.part"
     with store.open_output_stream(half) as f:
-        f.write(data)
+        yield f
     store.move(half, path)
 
 
@@ -120,7 +193,10 @@ def length(uri: str) -> int:
     if at is not None:
         return os.path.getsize(at)
     store, path = _filesystem(uri)
-    return store.get_file_info(path).size
+    size = store.get_file_info(path).size
+    if size is None:
+        raise FileNotFoundError(uri)
+    return size
 
 
 def mapped(uri: str) -> np.ndarray:

@@ -31,11 +31,11 @@ NONE = -(2**63)
 
 
 class Writer:
-    """Collects documents, and makes a frame whenever ``frame_ids`` ids are together."""
+    """Collects documents, and writes a frame to ``out`` whenever ``frame_ids`` ids are together."""
 
-    def __init__(self, frame_ids: int = 1 << 18, level: int = 3):
-        self.frame_ids, self.pack = frame_ids, zstandard.ZstdCompressor(level=level)
-        self.out, self.seek, self.index = [], [], []
+    def __init__(self, out, frame_ids: int = 1 << 18, level: int = 3):
+        self.out, self.frame_ids, self.pack = out, frame_ids, zstandard.ZstdCompressor(level=level)
+        self.seek, self.index = [], []
         self.docs, self.ids, self.held, self.total = [], [], 0, 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -53,15 +53,16 @@ class Writer:
         packed = self.pack.compress(raw)
         self.seek.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
         self.index.append((self.docs[0], self.docs[-1], self.total))
-        self.out.append(packed)
+        self.out.write(packed)
         self.total += self.held
         self.docs, self.ids, self.held = [], [], 0
 
-    def close(self) -> bytes:
+    def close(self) -> None:
+        """Write the last frame, the index and the seek table."""
         self.frame()
         index = b"".join(struct.pack("<qqq", *x) for x in self.index)
         table = b"".join(struct.pack("<III", *x) for x in self.seek) + struct.pack("<IBI", len(self.seek), 1 << 7, SEEKABLE)
-        return b"".join([*self.out, struct.pack("<II", INDEX, len(index)), index, struct.pack("<II", SKIPPABLE, len(table)), table])
+        self.out.write(struct.pack("<II", INDEX, len(index)) + index + struct.pack("<II", SKIPPABLE, len(table)) + table)
 
 
 class Reader:
@@ -96,7 +97,7 @@ class Reader:
 
 def write(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, frame_ids: int = 1 << 18, files: int | None = None) -> str:
     """Encode ``docs`` (doc_id, text), append ``end_id`` to each and write the set into ``folder`` in ascending
-    doc_id order. Returns the folder. A null text is empty; null doc_ids come first; repeated doc_ids stand
+    doc_id order, frame by frame. Returns the folder. A null text is empty; null doc_ids come first; repeated doc_ids stand
     side by side in order of their texts; an empty table gives a manifest without files."""
     spark = docs.sparkSession
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -104,24 +105,29 @@ def write(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", e
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def run(batches):
-        enc, out, n_docs, first = encoder(vocabulary, False), Writer(frame_ids), 0, None
+        enc, n_docs, first = encoder(vocabulary, False), 0, None
         part = TaskContext.get().partitionId()
-        for batch in batches:
-            buf, offsets = kernel.strings(batch.column(1))
-            ids_in = batch.column(0).to_pylist()
-            if n_docs == 0 and ids_in:
-                first = ids_in[0]
-            n_docs += len(ids_in)
-            for i, j in kernel.slices(offsets):
-                ids, counts = enc.encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                at = 0
-                for d, c in zip(ids_in[i:j], counts.tolist(), strict=True):
-                    out.add(d, np.append(ids[at : at + c], np.uint32(end_id)))
-                    at += c
-        if n_docs:
-            name = f"part-{part:06d}.ids.zst"
-            shared.put(f"{folder}/{name}", out.close())
-            yield pa.RecordBatch.from_pylist([{"part": part, "file": name, "first": first, "docs": n_docs, "ids": out.total}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("first", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
+        name = f"part-{part:06d}.ids.zst"
+        batches = (b for b in batches if b.num_rows)
+        batch = next(batches, None)
+        if batch is None:
+            return
+        first = batch.column(0)[0].as_py()
+        with shared.writing(f"{folder}/{name}") as stream:
+            out = Writer(stream, frame_ids)
+            while batch is not None:
+                buf, offsets = kernel.strings(batch.column(1))
+                ids_in = batch.column(0).to_pylist()
+                n_docs += len(ids_in)
+                for i, j in kernel.slices(offsets):
+                    ids, counts = enc.encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    at = 0
+                    for d, c in zip(ids_in[i:j], counts.tolist(), strict=True):
+                        out.add(d, np.append(ids[at : at + c], np.uint32(end_id)))
+                        at += c
+                batch = next(batches, None)
+            out.close()
+        yield pa.RecordBatch.from_pylist([{"part": part, "file": name, "first": first, "docs": n_docs, "ids": out.total}], pa.schema([("part", pa.int32()), ("file", pa.string()), ("first", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
     made = rows.repartitionByRange(n, *order[:2]).sortWithinPartitions(*order).mapInArrow(run, "part int, file string, first long, docs long, ids long").collect()
     start, listed = 0, []

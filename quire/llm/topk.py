@@ -38,6 +38,10 @@ def _integers(batches, scale: float):
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(norms, pa.float64()), pa.array(rows, pa.binary())], names=["vec_id", "norm", "vector"])
 
 
+WHO = ("vec_id", "variant", "copies")
+"""What names a distinct row in a block: its id, a hash of its vector, and how many equal rows there are."""
+
+
 def _pack(size: int, kind: str):
     """Blocks of up to ``size`` vectors of one dimension, in the order in which they come."""
 
@@ -59,7 +63,7 @@ def _pack(size: int, kind: str):
             return pa.RecordBatch.from_arrays([pa.array([b[c] for b in done], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "number", "dim", "ids", "vectors"])
 
         for batch in batches:
-            for i, row in zip(batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist(), strict=True):
+            for *i, row in zip(*[batch.column(c).to_pylist() for c in (*WHO, "vector")], strict=True):
                 dim = len(row) // 8
                 ids, rows = held.setdefault(dim, ([], []))
                 ids.append(i)
@@ -96,6 +100,38 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+class Fold:
+    """The best k candidates of each query that a task has met; what would grow beyond ``most`` rows goes on at once."""
+
+    def __init__(self, k: int, most: int = 500_000):
+        self.k, self.most, self.parts, self.size = k, most, [], 0
+
+    def add(self, rows: np.ndarray) -> pa.RecordBatch | None:
+        self.parts.append(rows)
+        self.size += len(rows)
+        if self.size <= 2 * self.most:
+            return None
+        self.settle()
+        return self.out() if self.size > self.most else None
+
+    def settle(self) -> None:
+        rows = np.concatenate(self.parts) if self.parts else np.empty((0, len(_FOUND)), np.int64)
+        # A query whose id has several vectors meets a candidate several times: its best score counts.
+        rows = rows[np.lexsort((-rows[:, 4], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        first = np.ones(len(rows), bool)
+        first[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
+        rows = rows[first]
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], -rows[:, 4], rows[:, 0]))]
+        heads = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.empty(0, np.int64)
+        place = np.arange(len(rows)) - np.repeat(heads, np.diff([*heads.tolist(), len(rows)]))
+        self.parts = [rows[place < self.k]]
+        self.size = len(self.parts[0])
+
+    def out(self) -> pa.RecordBatch:
+        every, self.parts, self.size = np.concatenate(self.parts), [], 0
+        return pa.RecordBatch.from_arrays([pa.array(every[:, c]) for c in range(len(_FOUND))], names=[c for c, _ in _FOUND])
+
+
 class Bucket:
     """A packed bucket with its unit vectors and, when first needed, sorted coordinates."""
 
@@ -137,21 +173,21 @@ class Bucket:
         return np.flatnonzero(found == min(focus, len(u)))
 
 
-_FOUND = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
+_FOUND = [(c, pa.int64()) for c in ("query_id", *WHO, "score")]
 
 
 def _search(k: int, steep: float, focus: int, bounded: bool):
     """Blocks of queries against buckets: each query's best k within the bucket (all that could be among its best)."""
 
     def run(batches):
-        last, bucket = None, None
+        last, bucket, fold = None, None, Fold(k)
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
                 if last != (row["number"], dim):
-                    ids = np.frombuffer(row["ids"], "<i8")
+                    ids = np.frombuffer(row["ids"], "<i8").reshape(-1, len(WHO))
                     bucket, last = Bucket(ids, np.frombuffer(row["vectors"], "<f8").reshape(len(ids), dim)), (row["number"], dim)
-                q_ids = np.frombuffer(row["q_ids"], "<i8")
+                q_ids = np.frombuffer(row["q_ids"], "<i8").reshape(-1, len(WHO))[:, 0]
                 q = np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), dim)
                 norms = np.sqrt((q * q).sum(1))
                 bounds = np.frombuffer(row["bounds"], "<i8") if bounded else np.full(len(q_ids), -(2**63), np.int64)
@@ -174,17 +210,18 @@ def _search(k: int, steep: float, focus: int, bounded: bool):
                     rows = plain[a : a + 64]
                     for j, scores in zip(rows, _exact(q[rows], bucket.p), strict=True):
                         out.append(_kept(q_ids[j], scores, bucket.ids, bounds[j], k))
-                if out:
-                    every = np.concatenate(out)
-                    yield pa.RecordBatch.from_arrays([pa.array(every[:, c]) for c in range(3)], names=[c for c, _ in _FOUND])
+                if out and (full := fold.add(np.concatenate(out))):
+                    yield full
+        fold.settle()
+        yield fold.out()
 
     return run
 
 
 def _kept(query: int, scores: np.ndarray, ids: np.ndarray, bound: int, k: int) -> np.ndarray:
-    ok = np.flatnonzero((ids != query) & (scores >= bound))
-    best = ok[_best(scores[ok], ids[ok], k)]
-    return np.stack([np.full(len(best), query), ids[best], scores[best]], 1)
+    ok = np.flatnonzero((ids[:, 0] != query) & (scores >= bound))
+    best = ok[_best(scores[ok], ids[ok, 0], k)]
+    return np.column_stack([np.full(len(best), query), ids[best], scores[best]])
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = SCALE, bucket: int = 2048, block: int = 512, steep: float = 0.6, focus: int = 3) -> DataFrame:
@@ -193,22 +230,26 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = SCALE
     ``vectors`` (vec_id, embedding): each component x counts as floor(scale * x). Queries are the rows whose vec_id
     is divisible by ``every``, candidates all rows with another vec_id and the query's dimension. Ties go to the
     smaller vec_id. Rows with a null vec_id, a null vector or null or non-finite components take no part. Rows that
-    share a vec_id are each a candidate, and as queries count once each and are merged; an empty table gives no rows.
+    share a vec_id are one query, for which a candidate counts with its best score, and no candidates of it; of any
+    other query each of them is a candidate, equal ones too. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     keep = Workspace(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = keep.save(rows.mapInArrow(lambda b: _integers(b, scale), "vec_id long, norm double, vector binary"), "integers")
-    order = [F.col("norm").desc(), F.col("vec_id")]
+    rows = rows.mapInArrow(lambda b: _integers(b, scale), "vec_id long, norm double, vector binary")
+    rows = keep.save(rows.groupBy("vec_id", "vector").agg(F.first("norm").alias("norm"), F.count(F.lit(1)).alias("copies")).withColumn("variant", F.xxhash64("vector")), "integers")
+    order = [F.col("norm").desc(), F.col("vec_id"), F.col("variant")]
     buckets = keep.save(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pack(bucket, "bucket"), _BLOCK), "buckets")
     asked = rows.where(F.col("vec_id") % every == 0)
     blocks = keep.save(asked.repartitionByRange(max(1, parts // 4), "vec_id").sortWithinPartitions("vec_id").mapInArrow(_pack(block, "queries"), _BLOCK), "queries")
     blocks = blocks.select(F.col("number").alias("q_number"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
     def ranked(found: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        best = found.groupBy("query_id", "vec_id", "variant").agg(F.max("copies").alias("copies"), F.max("score").alias("score"))
+        each = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k)))))
+        w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "variant", "copy")
+        return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     def meet(own: DataFrame, spread: DataFrame, number: str) -> DataFrame:
         """Every row of ``own`` with every row of ``spread`` of its dimension: ``own`` is dealt out by its number, and
@@ -218,13 +259,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = SCALE
         each = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
         return dealt.join(each, ["dim", "part"])
 
-    columns = "query_id long, vec_id long, score long"
+    columns = ", ".join(f"{c} long" for c, _ in _FOUND)
     # The longest bucket of each dimension bounds every query's k-th score from below.
     heads = buckets.groupBy("dim").agg(F.min("number").alias("number"))
     head = keep.save(buckets.join(heads, ["dim", "number"]), "head")
     first = keep.save(meet(blocks, head, "q_number").mapInArrow(_search(k, steep, focus, False), columns), "first")
     bounds = ranked(first).where(F.col("rank") == k).select("query_id", "score")
-    lows = blocks.mapInArrow(_members, "q_number int, dim int, query_id long").join(bounds, "query_id")
+    lows = blocks.mapInArrow(_members, "q_number int, dim int, query_id long").distinct().join(bounds, "query_id")
     lows = lows.groupBy("q_number", "dim").agg(F.collect_list("query_id").alias("of"), F.collect_list("score").alias("low"))
     ready = keep.save(blocks.join(lows, ["q_number", "dim"], "left").mapInArrow(_with_bounds, "q_number int, dim int, q_ids binary, q_vectors binary, bounds binary"), "bounded")
     found = keep.save(meet(buckets, ready, "number").mapInArrow(_search(k, steep, focus, True), columns), "found")
@@ -235,7 +276,7 @@ def _with_bounds(batches):
     for batch in batches:
         for row in batch.to_pylist():
             has = dict(zip(row["of"] or [], row["low"] or [], strict=True))
-            low = np.array([has.get(i, -(2**63)) for i in np.frombuffer(row["q_ids"], "<i8").tolist()], "<i8")
+            low = np.array([has.get(i, -(2**63)) for i in np.frombuffer(row["q_ids"], "<i8").reshape(-1, len(WHO))[:, 0].tolist()], "<i8")
             cols = [row["q_number"], row["dim"], row["q_ids"], row["q_vectors"], low.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["q_number", "dim", "q_ids", "q_vectors", "bounds"])
 
@@ -243,5 +284,5 @@ def _with_bounds(batches):
 def _members(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            ids = np.frombuffer(row["q_ids"], "<i8")
+            ids = np.frombuffer(row["q_ids"], "<i8").reshape(-1, len(WHO))[:, 0]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["q_number"], np.int32)), pa.array(np.full(len(ids), row["dim"], np.int32)), pa.array(ids)], names=["q_number", "dim", "query_id"])

@@ -1,7 +1,8 @@
 """URL filters in DataFrame expressions only.
 
 Every distinct URL is expanded into host suffixes times path prefixes; expressions and rules meet in an equi-join
-on the first 32 bits of their SHA-256, full digests confirm, and the longest rule wins.
+on the first 32 bits of their SHA-256, full digests confirm, and the longest rule wins. A rule as common as a top-level
+domain would be one hot key: rules are repeated for a few salts, and expressions take the salt of their URL.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .shared import Workspace
 
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,7 +37,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", keep: Work
     ``rules`` (verdict, host, path): a rule fits its host and all subdomains if the URL's path starts with the rule's
     path. The longest rule (host and path together) wins; at equal length the longer host, then block before allow.
     Where no rule fits, rule is null and the verdict is ``default``. Null and repeated rows are judged row by row; rules
-    with a null part are left out; an empty rule table leaves the default.
+    with a null part are left out; an empty rule table leaves the default; empty pages give no rows.
     """
     keep = keep or Workspace(pages.sparkSession)
     rules = rules.dropna().select("verdict", F.translate("host", UPPER, LOWER).alias("host"), "path").distinct()
@@ -53,8 +55,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", keep: Work
     suffixes = F.expr(f"transform(sequence(1, least(size(split(host, '[.]')), {max(labels, 1)})), k -> substring_index(host, '.', -k))")
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
     expressions = urls.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
-    digests = expressions.select("host", "path", F.sha2(F.concat_ws(" ", "suffix", "prefix"), 256).alias("full"))
-    met = digests.join(rules, F.substring("full", 1, 8) == F.col("short")).where("full = digest")
+    digests = expressions.select("host", "path", F.sha2(F.concat_ws(" ", "suffix", "prefix"), 256).alias("full"), F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int").alias("salt"))
+    digests = digests.withColumn("short", F.substring("full", 1, 8))
+    salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = digests.join(salted, ["short", "salt"]).where("full = digest")
     best = met.groupBy("host", "path").agg(F.max(F.struct((F.col("h") + F.col("p")).alias("size"), "h", (F.col("verdict") == "block").alias("blocks"), "rule", "verdict")).alias("best"))
     best = keep.save(best.select("host", "path", "best.rule", "best.verdict"), "verdicts")
     out = rows.join(best, ["host", "path"], "left")

@@ -24,11 +24,56 @@ def test_equal_spans_have_equal_hashes_across_blocks():
     words = ["x" * (k % 7 + 1) + str(k % 50) for k in range(5000)]
     buf, offsets = kernel.strings(pa.array([" ".join(words)]))
     starts, ends, _ = kernel.word_bounds(buf, offsets)
-    whole, small = kernel.span_hashes(buf, starts, ends), kernel.span_hashes(buf, starts, ends, block=100)
+    whole = kernel.span_hashes(buf, starts, ends)
+    small = np.concatenate([kernel.span_hashes(buf, starts[i : i + 99], ends[i : i + 99]) for i in range(0, 5000, 99)])
     assert (whole == small).all()
     assert len(set(whole.tolist())) == len(set(words))
 
 
+def thue_morse(n, a="a", b="b"):
+    """A word of 2**n letters and its complement: polynomial hashes modulo 2**64 take them for one."""
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomial_hashes_confuse():
+    for n in (3, 4, 6, 7, 8, 10, 12):
+        pair = list(thue_morse(n))
+        buf, offsets = kernel.strings(pa.array([" ".join(pair * 2)]))
+        starts, ends, _ = kernel.word_bounds(buf, offsets)
+        for f in (kernel.span_hashes, kernel.span_checks):
+            got = f(buf, starts, ends).tolist()
+            assert got[:2] == got[2:] and (n == 3 or got[0] != got[1] or f is kernel.span_checks and n <= 3)
+        for name, keep in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+            ids = pieces.Encoder(name, keep).encode(*kernel.strings(pa.array(pair)))[0].tolist()
+            assert ids == [i for x in pair for i in pieces.tokenizer(name).encode(x, add_special_tokens=False).ids]
+        tokens, _ = lm.tokens_of(*kernel.strings(pa.array(pair)))
+        assert len(set(tokens.tolist())) == 3
+
+
+def test_equal_hashes_of_different_pieces_are_told_apart(monkeypatch):
+    """With a hash that keeps four bits most pieces collide; checks send them to the library."""
+    real = kernel.span_hashes
+    monkeypatch.setattr(kernel, "span_hashes", lambda *a: real(*a) & np.uint64(15))
+    texts = ["one two three four five", "six seven eight nine ten internationalization one", "ten nine"]
+    e = pieces.Encoder("byte_bpe_50k.json", True)
+    for _ in range(2):
+        for t in texts:
+            assert e.encode(*kernel.strings(pa.array([t])))[0].tolist() == pieces.tokenizer("byte_bpe_50k.json").encode(t).ids
+
+
+def test_a_very_long_word_costs_its_own_size():
+    import tracemalloc
+
+    buf = np.full(64 << 20, ord("x"), np.uint8)
+    at = np.array([0]), np.array([len(buf)])
+    tracemalloc.start()
+    kernel.span_hashes(buf, *at)
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
+
+
 @settings(max_examples=60, deadline=None)
 @given(TEXTS)
 def test_pieces_encode_as_the_library_does(texts):

@@ -231,15 +231,19 @@ def test_url_filters(spark):
 
 
 def brute_top(rows, k, every):
-    whole = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            whole[i] = [math.floor(64 * x) for x in v]
-    out = set()
-    for q, a in whole.items():
-        if q % every == 0:
-            near = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in whole.items() if i != q and len(a) == len(b))
-            out |= {(q, r, i, -s) for r, (s, i) in enumerate(near[:k], 1)}
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    queries = defaultdict(list)
+    for i, v in whole:
+        if i % every == 0:
+            queries[i].append(v)
+    out = Counter()
+    for q, own in queries.items():
+        near = []
+        for i, b in whole:
+            scores = [sum(x * y for x, y in zip(a, b, strict=True)) for a in own if len(a) == len(b)]
+            if i != q and scores:
+                near.append((-max(scores), i))
+        out.update((q, r, i, -s) for r, (s, i) in enumerate(sorted(near)[:k], 1))
     return out
 
 
@@ -248,15 +252,41 @@ def test_top_k(spark):
     centre = rng.normal(size=(4, 8))
     rows = [(i, (centre[i % 4] * (1 + i % 5) + 0.2 * rng.normal(size=8)).tolist()) for i in range(400)]
     rows += [(1000 + i, rows[3][1]) for i in range(50)] + [(2000, None), (2020, [1.0, None]), (2040, [float("nan")] * 8), (2060, [0.0] * 8), (2080, [1.0, 2.0]), (2081, [3.0, -1.0]), (None, rows[0][1]), (2100, []), (2120, [1e30] * 3), (2121, [-1e30] * 3)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    want = {x for x in brute_top(rows, 20, 20) if x[0] != 2120}
+    rows += [rows[20], rows[20], rows[11], rows[11], (40, rows[60][1]), (41, rows[61][1])]  # repeated, equal and not
+    frame = spark.createDataFrame([(*r, 1, "q", 2) for r in rows], "vec_id long, embedding array<double>, rank int, query_id string, score int").repartition(4)
+    want = Counter({x: n for x, n in brute_top(rows, 20, 20).items() if x[0] != 2120})
     for options in ({"bucket": 64, "block": 16}, {"bucket": 64, "steep": 0.0}, {"steep": 2.0}):
-        got = {tuple(r) for r in topk.top_k(frame, **options).collect()}
-        assert {x for x in got if x[0] != 2120} == want
-        assert (2120, 1, 2121, -(2**63)) in got
+        got = Counter(tuple(r) for r in topk.top_k(frame, **options).collect())
+        assert Counter({x: n for x, n in got.items() if x[0] != 2120}) == want
+        assert got[2120, 1, 2121, -(2**63)] == 1
     assert topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_query(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (11, [0.5, 1.0]), (10, [0.25, 0.0]), (10, [0.25, 0.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=4).collect()
+    assert sorted(map(tuple, got)) == [(20, 1, 11, 2048), (20, 2, 10, 1024), (20, 3, 10, 1024)]
+
+
+def test_the_fold_of_a_task_keeps_what_counts():
+    rng = np.random.default_rng(1)
+    rows = np.column_stack([rng.integers(0, 5, 3000), rng.integers(0, 200, 3000), rng.integers(0, 2, 3000), np.ones(3000, np.int64), rng.integers(0, 90, 3000)]).astype(np.int64)
+    fold, out = topk.Fold(7, most=40), []
+    for i in range(0, 3000, 13):
+        if full := fold.add(rows[i : i + 13]):
+            out.append(full)
+    fold.settle()
+    got = np.concatenate([np.column_stack([c.to_numpy() for c in b.columns]) for b in [*out, fold.out()]])
+
+    def top(some):
+        best = {}
+        for q, v, w, _, x in some.tolist():
+            best[q, v, w] = max(best.get((q, v, w), -1), x)
+        return {q: sorted((-x, v, w) for (p, v, w), x in best.items() if p == q)[:7] for q in range(5)}
+
+    assert len(got) < 3000 and top(got) == top(rows)
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     folder = tokenfile.write(docs, f"file://{tmp_path}/ids", frame_ids=500, files=3)
     got = tokenfile.read(spark, folder).collect()
