@@ -1,9 +1,10 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-A lexicon of words and word beginnings is learned from labelled rows by smoothed log-odds, and every text is
-described by lexicon densities, how near hits stand to the second person, capitals, punctuation and
-obfuscation. Trees are fitted on rows that the lexicon has not seen, and the calibration on rows that neither
-has seen. Labelled rows are taken up to a stated number in the order of a hash; all texts are scored whole.
+A lexicon of words and word beginnings is learned from one half of the labelled rows by smoothed log-odds, and every
+text is described by lexicon densities, how near hits stand to the second person, capitals, punctuation and
+obfuscation. Trees are fitted on the other half. The calibration is cross-fitted: each quarter of that half is judged by
+trees of the other three quarters, and one isotonic map is fitted to all these margins. All this is the same at every
+size. Labelled rows are taken up to a stated number in the order of a hash; all texts are scored whole.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .shared import Workspace
 
 FIT_ROWS = 20_000
 """The most labelled rows that a classifier is fitted on."""
-LEXICON = 4_000
-"""The most entries of the lexicon."""
+FOLDS = 4
+"""Of how many parts the calibration is cross-fitted."""
 # Insults known from the start, second-person words, and look-alikes of letters.
 SEED = "idiot moron stupid loser pathetic worthless trash scum clown disgusting dumb garbage ugly fool jerk filth vermin".split()
 YOU = set("you your yours yourself u ur ya du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos ti tú tus usted ustedes vosotros".split())
@@ -202,72 +203,77 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Classifier:
+    """Lexicon, trees and isotonic map; without trees every score is the share of toxic rows."""
+
     lexicon: dict[str, float]
     trees: Trees | None
     knots: tuple[np.ndarray, np.ndarray] | None
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Calibrated rates; within a step the raw probability still orders the texts by up to a hundredth."""
+        """Calibrated rates."""
         if self.trees is None:
             return np.full(len(x), self.prior)
-        margin = self.trees.margin(x)
-        raw = 1 / (1 + np.exp(-margin))
-        return np.clip(raw if self.knots is None else 0.99 * np.interp(margin, *self.knots) + 0.01 * raw, 0, 1)
+        return np.clip(np.interp(self.trees.margin(x), *self.knots), 0, 1)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, fold: int, folds: int, most: int) -> DataFrame:
-    """text, toxic and part (0 to 3, by hash) of up to ``most`` labelled rows of ``docs`` outside the fold: those whose doc_id
+    """text, toxic and part (0 to 7, by hash) of up to ``most`` labelled rows of ``docs`` outside the fold: those whose doc_id
     has the least hashes. A doc_id labelled more than once counts as toxic if one label says so."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     known = labels.where("doc_id is not null and toxic is not null").where(F.crc32(name.cast("binary")) % folds != fold).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     # Labels of other documents must not take places.
     known = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    chosen = known.withColumn("order", F.xxhash64("doc_id", F.lit("fit"))).orderBy("order", "doc_id").limit(most).select("doc_id", "toxic", F.pmod("order", F.lit(4)).cast("int").alias("part"))
+    chosen = known.withColumn("order", F.xxhash64("doc_id", F.lit("fit"))).orderBy("order", "doc_id").limit(most).select("doc_id", "toxic", F.pmod("order", F.lit(2 * FOLDS)).cast("int").alias("part"))
     # At most ``most`` rows are broadcast.
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "part")
 
 
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _signed(batches):
+    """Adds a sign that near copies share: a text's least run of five words."""
+    for batch in batches:
+        words = [_WORDS.findall(t) for t in batch.column(0).to_pylist()]
+        signs = [" ".join(min((w[i : i + 5] for i in range(max(1, len(w) - 4))), default=[])) for w in words]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs)], names=["text", "toxic", "sign"])
+
+
 def _count_entries(only: frozenset | None):
-    """Documents of either label that hold an entry; near copies count once within a batch."""
+    """Documents that hold an entry; "" counts all."""
 
     def run(batches):
         for batch in batches:
-            totals: dict[str, list[int]] = {}
-            seen = set()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = text.split()
-                sign = min(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
-                if sign in seen:
-                    continue
-                seen.add(sign)
-                found = {e for w in set(words) for e in entries(forms(w)[1])}
+            totals: dict[str, int] = {"": 0}
+            for text in batch.column(0).to_pylist():
+                found = {e for w in set(_WORDS.findall(text)) for e in entries(forms(w)[1])}
                 for e in found if only is None else found & only:
-                    totals.setdefault(e, [0, 0])[1 if toxic else 0] += 1
-                totals.setdefault("", [0, 0])[1 if toxic else 0] += 1
-            yield pa.RecordBatch.from_pydict({"entry": list(totals), "clean": [x[0] for x in totals.values()], "toxic": [x[1] for x in totals.values()]}, pa.schema([("entry", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
+                    totals[e] = totals.get(e, 0) + 1
+                totals[""] += 1
+            yield pa.RecordBatch.from_pydict({"entry": list(totals), "n": list(totals.values())}, pa.schema([("entry", pa.string()), ("n", pa.int64())]))
 
     return run
 
 
 def learn_lexicon(rows: DataFrame, least: int = 4) -> dict[str, float]:
-    """Entries whose log-odds of standing in a toxic text are above 1 even at the lower end of their error."""
-    schema = "entry string, clean long, toxic long"
-    sums = [F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")]
-    toxic = rows.where("toxic = 1").select("text", "toxic").mapInArrow(_count_entries(None), schema).groupBy("entry").agg(*sums).where(F.col("toxic") >= least).orderBy(F.col("toxic").desc(), "entry").limit(20 * LEXICON).collect()
+    """Entries of at least ``least`` toxic texts whose log-odds of standing in a toxic text are above 1 even at the lower end
+    of their error. Near copies with one label count once. What reaches the driver is bounded by the sample of rows."""
+    schema = "entry string, n long"
+    signed = rows.select("text", "toxic").mapInArrow(_signed, "text string, toxic int, sign string").groupBy("sign", "toxic").agg(F.min("text").alias("text"))
+    toxic = {r.entry: r.n for r in signed.where("toxic = 1").select("text").mapInArrow(_count_entries(None), schema).groupBy("entry").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()}
     if not toxic:
         return dict.fromkeys(SEED, 3.0)
-    only = frozenset(r.entry for r in toxic)
-    clean = {r.entry: r.clean for r in rows.where("toxic = 0").select("text", "toxic").mapInArrow(_count_entries(only), schema).groupBy("entry").agg(*sums).collect()}
-    n_toxic, n_clean = next((r.toxic for r in toxic if r.entry == ""), 0), clean.get("", 0)
-    found = []
-    for r in toxic:
-        t, c = r.toxic, clean.get(r.entry, 0)
+    clean = {r.entry: r.n for r in signed.where("toxic = 0").select("text").mapInArrow(_count_entries(frozenset(toxic)), schema).groupBy("entry").agg(F.sum("n").alias("n")).collect()}
+    n_toxic, n_clean = toxic.pop("", 0), clean.get("", 0)
+    found = {}
+    for e, t in toxic.items():
+        c = clean.get(e, 0)
         odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
         low = float(odds - 1.64 * np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)))
-        if r.entry and low > 1:
-            found.append((low, r.entry))
-    return dict.fromkeys(SEED, 2.0) | {e: w for w, e in sorted(found, reverse=True)[:LEXICON]}
+        if low > 1:
+            found[e] = low
+    return dict.fromkeys(SEED, 2.0) | found
 
 
 def _describe(lexicon: dict[str, float]):
@@ -282,26 +288,38 @@ def _describe(lexicon: dict[str, float]):
     return run
 
 
+def calibrated(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[Trees, tuple[np.ndarray, np.ndarray]]:
+    """Trees of all rows, and an isotonic map of the margins that each fold gets from trees of the other folds. Without
+    other folds of both labels a fold gets the log-odds of the rest."""
+    margin = np.zeros(len(y))
+    for f in np.unique(fold):
+        own = fold == f
+        if 0 < y[~own].sum() < (~own).sum():
+            margin[own] = fit_trees(x[~own], y[~own]).margin(x[own])
+        else:
+            rate = min(max(y[~own].mean() if (~own).any() else 0.5, 1e-3), 1 - 1e-3)
+            margin[own] = np.log(rate / (1 - rate))
+    return fit_trees(x, y), isotonic(margin, y)
+
+
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, most: int = FIT_ROWS) -> Classifier:
-    """Fit on up to ``most`` labelled rows outside the fold: the lexicon on a half of them, the trees on a quarter and the
-    calibration on a quarter; with under 400 rows in a quarter, lexicon and trees share theirs and nothing is
-    calibrated. Without rows of both labels every score is the share of toxic ones (0 without any)."""
+    """Fit on up to ``most`` labelled rows outside the fold: the lexicon on a half of them, the trees and their calibration on
+    the other half. Where that half lacks a label, every score is the share of toxic rows (0 without any rows)."""
     keep = Workspace(docs.sparkSession)
     rows = keep.save(labelled(docs, labels, fold, folds, most), "labelled")
     n, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    prior = float(toxic or 0) / n if n else 0.0
     if not n or not 0 < toxic < n:
-        return Classifier({}, None, None, float(toxic or 0) / n if n else 0.0)
-    few = n < 1600
-    lexicon = learn_lexicon(rows if few else rows.where("part < 2"))
-    got = (rows if few else rows.where("part >= 2")).select("text", "toxic", "part").mapInArrow(_describe(lexicon), "toxic int, part int, x array<double>").toArrow()
+        return Classifier({}, None, None, prior)
+    lexicon = learn_lexicon(rows.where(F.col("part") < FOLDS))
+    got = rows.where(F.col("part") >= FOLDS).select("text", "toxic", "part").mapInArrow(_describe(lexicon), "toxic int, part int, x array<double>").toArrow()
     keep.drop(rows)
     x, y, part = np.array(got.column("x").to_pylist()).reshape(-1, len(FEATURES)), got.column("toxic").to_numpy().astype(float), got.column("part").to_numpy()
-    order = np.lexsort(x.T[::-1])
-    x, y, part = x[order], y[order], part[order]
-    own = np.ones(len(y), bool) if few else part == 2
-    trees = fit_trees(x[own], y[own])
-    knots = None if few or not 0 < y[~own].sum() < (~own).sum() else isotonic(trees.margin(x[~own]), y[~own])
-    return Classifier(lexicon, trees, knots, float(y.mean()))
+    if not 0 < y.sum() < len(y):
+        return Classifier(lexicon, None, None, prior)
+    order = np.lexsort(np.column_stack([x, y, part]).T[::-1])
+    trees, knots = calibrated(x[order], y[order], part[order])
+    return Classifier(lexicon, trees, knots, prior)
 
 
 def _scoring(model: Classifier, text: int):
@@ -321,7 +339,8 @@ def _scoring(model: Classifier, text: int):
 
 def score(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, threshold: float = 0.7, most: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs`` (doc_id, text). Null and empty texts are scored as
-    texts without words; null and repeated doc_ids are kept; a null doc_id counts as an empty name for the fold."""
+    texts without words; null and repeated doc_ids are kept; a null doc_id counts as an empty name for the fold; an empty
+    table gives no rows. Labels without a doc_id, a label or a document take no part."""
     model = fit(docs, labels, fold, folds, most)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(name.cast("binary")) % folds == fold).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -331,7 +350,8 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, thr
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score under the threshold, each judged for itself, with their columns as they are."""
+    """The rows of ``docs`` that score under the threshold, each judged for itself, with their columns as they are; null and
+    empty texts as in score()."""
     model = fit(docs, labels)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     run = _scoring(model, 1)

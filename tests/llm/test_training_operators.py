@@ -369,6 +369,48 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, known).count() == 0
 
 
+@pytest.mark.parametrize("n", [60, 400, 4000])
+def test_scores_are_calibrated_at_every_size(spark, n):
+    rng = random.Random(n)
+    text = lambda toxic: " ".join(rng.choice(["grumble", "idiot", "you"] if toxic and rng.random() < 0.3 else ["calm", "river", "stone", "green", "walk"]) for _ in range(20))
+    rows = [(i, text(i % 3 == 0)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int"))
+    assert model.knots is not None and (np.diff(model.knots[1]) > 0).all()
+    again = toxicity.fit(docs.repartition(7), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(n)], "doc_id long, toxic int"))
+    assert again.lexicon == model.lexicon and (again.knots[1] == model.knots[1]).all()
+
+
+def brute_features(lexicon, text):
+    """The dense features of one text, from their descriptions."""
+    words = re.findall(WORD, text)
+    low = [toxicity.forms(w) for w in words]
+    best = lambda x: max((lexicon.get(e, 0.0) for e in toxicity.entries(x)), default=0.0)
+    weight = [max(best(a), best(b)) for a, b in low]
+    hits = [i for i, w in enumerate(weight) if w > 1]
+    you = [i for i, (a, _) in enumerate(low) if a in toxicity.YOU]
+    near = sum(any(abs(i - j) <= 5 for j in you) for i in hits)
+    n, size, letters = max(len(words), 1), max(len(text.encode()), 1), max(sum(c.isascii() and c.isalpha() for c in text), 1)
+    return [
+        sum(weight[i] for i in hits) / n, max(weight, default=0), len(hits) / n, math.log1p(len(hits)), math.log1p(sum(w > 2 for w in weight)),
+        sum(b in toxicity.SEED for _, b in low) / n, near / n, math.log1p(near), sum(c.isascii() and c.isupper() for c in text) / letters,
+        sum(len(w) > 2 and w.isupper() for w in words) / n, text.count("!") / size, text.count("?") / size, sum(a != b for a, b in low) / n,
+        sum(best(b) > best(a) for a, b in low if a != b) / n, sum(bool(re.search(r"(\w)\1\1", a)) for a, _ in low) / n, math.log1p(len(words)),
+    ]
+
+
+def test_features_are_those_of_a_brute_force_count():
+    import pyarrow as pa
+    from quire.llm import kernel
+
+    lexicon = dict.fromkeys(toxicity.SEED, 2.0) | {"grumb+": 1.5, "river": 2.5, "weak": 0.5}
+    rng = random.Random(6)
+    words = ["you", "YOU,", "idiot", "1d1ot!", "id10t", "GRUMBLES", "grumbler?", "river", "weak", "soooo", "b@d", "\u00e9t\u00e9", "dich", "a", "!!", "s.t.u.p.i.d", "\u00a0x", "stone\u2003wall"]
+    texts = ["", " \n", *[rng.choice(["", " "]) + rng.choice([" ", "\n", "\t "]).join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(80)]]
+    got = toxicity.features(toxicity.Words(lexicon), *kernel.strings(pa.array(texts)))
+    assert np.allclose(got, [brute_features(lexicon, t) for t in texts])
+
+
 def test_trees_and_calibration():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 3))
@@ -420,7 +462,7 @@ def test_all_licenses_of_a_block(spark):
         "Released under the MIT License.\nLicensed under the new Apache License, Version 2.0.", "This work is licensed under the GNU Lesser General Public License, version 3.",
     )
     assert got[0] == {(x, True): 1 for x in ("Apache-2.0", "MIT", "CC-BY-NC-4.0")}
-    assert got[1] == {(x, True): 1 for x, _ in license.TEMPLATES}
+    assert got[1] == {(x, True): 1 for x, _ in license.TEMPLATES}, "one row a license"
     assert got[2] == {("MIT", True): 1, ("Apache-2.0", False): 1}
     assert got[3] == {("LGPL-3.0", True): 1}
 
@@ -453,6 +495,52 @@ def test_wrapped_licenses(spark):
     assert [("intro\n\n" + GPL)[r.start : r.start + r.length].split()[-1] for r in rows] == ["version"]
 
 
+BSD2 = BSD[: BSD.index("3. Neither")].strip()
+
+
+def test_licenses_that_share_clauses(spark):
+    narrow = "\n".join("# " + x for x in textwrap.wrap(BSD.replace("\n", " "), 60))
+    seven = [x for name in ("MIT", "Apache-2.0", "CC-BY-4.0", "BSD-2-Clause", "CC0-1.0", "GPL-3.0", "Proprietary") for x in [next(t for n, t in license.TEMPLATES if n == name)]]
+    clause = "In the year of the great flood the editors, the printers and all the readers of this small paper agreed on one thing that still holds everywhere and was "
+    got = found(spark, BSD2, BSD, narrow, BSD.replace("specific prior", "prior"), BSD2.split("\n")[0], "\n".join(seven), clause + "Released under the MIT License.", "x\n# SPDX-License-Identifier: BSD-2-Clause\n")
+    assert got[0] == {("BSD-2-Clause", True): 1}
+    assert got[1] == got[2] == {("BSD-3-Clause", True): 1}
+    assert got[3] == {("BSD-3-Clause", False): 1}
+    assert got[4] == {("BSD", True): 1}
+    assert set(got[5]) == {(x, True) for x in ("MIT", "Apache-2.0", "CC-BY-4.0", "BSD-2-Clause", "CC0-1.0", "GPL-3.0", "Proprietary")}
+    assert got[6] == {("MIT", True): 1}
+    assert got[7] == {("BSD-2-Clause", True): 1}
+    assert license.scan(spark.createDataFrame([], "doc_id long, text string, license string")).count() == 0
+
+
+def test_places_are_those_of_a_brute_force_scan():
+    """Every template against every window of the words, by plain edit distance."""
+    rng = random.Random(8)
+    scanner = license.Scanner(license.TEMPLATES)
+    short = [k for k, own in enumerate(scanner.words) if len(own) < 25]
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            own = list(scanner.words[rng.choice(short)])
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = rng.choice(["new", "license", "the", "by"])
+            words += [rng.choice("abcde") for _ in range(rng.randrange(4))] + own
+        for k in short:
+            want, must = scanner.words[k], scanner.must[k]
+            room, least = max(1, 0.1 * len(want)), None
+            for i in range(len(words)):
+                row = list(range(len(want) + 1))
+                for j in range(i, min(len(words), i + len(want) + 3)):
+                    new = [row[0] + 1]
+                    for n, w in enumerate(want, 1):
+                        new.append(min(new[-1] + 1, row[n] + 1, row[n - 1] if w == words[j] else 99))
+                    row = new
+                    if row[-1] <= room and not must - set(words[i : j + 1]):
+                        least = min(row[-1], 99 if least is None else least)
+            got = scanner.places(tuple(words), k)
+            assert (got[0][0] if got else None) == least, (words, want)
+
+
 def test_labels_of_other_documents_take_no_places(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(0, 3000, 50)], "doc_id long, text string")
     known = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")
