@@ -1,15 +1,19 @@
-"""Interpolated modified Kneser-Ney language model of order two, counted in Spark.
+"""Interpolated modified Kneser-Ney language model of any order from two on, counted in Spark.
 
-Counting takes three shuffles of packed counts, each dealt evenly by hash, so that no frequent word is a hot
-key: words with their counts (a word's id is its place among all sorted hashes); word pairs, whose key
-``context id * (V + 1) + word id`` is exact; and, from the distinct pairs, each word's continuation count and
-each context's numbers of followers seen once, twice, and more. The model is a folder of sorted arrays
-that workers map into memory; a batch looks its sorted distinct words and pairs up shard by shard.
+A gram of k tokens is a pair of grams of k - 1 tokens: the one that it begins with and the one that it ends with. Ids of
+grams are their places in the sorted arrays of a level, so a pair of ids is an exact key of the level above; before a text
+stands a beginning, which on each level has the id past all others. A bijection on pairs of ids (a few Feistel rounds) spreads
+keys evenly over the shards and within them, so that no frequent word is a hot key. Where two ids have more than 64 bits
+together the key has two columns.
 
-With c the counts of pairs, N1+(.w) continuation counts, T their sum, D discounts from counts of counts:
+Each level is counted in one pass over the texts and one shuffle of packed counts. Then from the highest level down, each
+level tells the one below how many grams end with a gram (its continuation count) and how many follow it, seen once, twice
+and more often. The model is a folder of sorted arrays that workers map into memory.
 
-    p(w|v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) p(w)       (p(w) alone for an unseen v)
-    p(w)   = max(N1+(.w) - D'(N1+(.w)), 0) / T + g' / (V + 1)
+With c the counts of a level (of the highest, occurrences; of the others, continuations) and D its discounts:
+
+    p(w|v u) = max(c(v u w) - D(c(v u w)), 0) / c(v u .) + g(v u) p(w|u)       (p(w|u) alone for an unseen context)
+    p(w)     = max(c(w) - D(c(w)), 0) / c(.) + g / (V + 1)
 
 so that the probabilities of the V words and of one unknown word add up to 1.
 """
@@ -45,40 +49,65 @@ def _columns(block: bytes) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes]
 
 
-def pack_keys(keys: np.ndarray, *sums: np.ndarray) -> bytes:
-    """Sorted distinct keys, as differences, with their sums."""
-    return _planes(np.diff(keys, prepend=np.uint64(0)), *sums)
+def pack_keys(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted keys, as differences, with their other columns."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)), *columns)
 
 
 def unpack_keys(block: bytes) -> list[np.ndarray]:
-    keys, *sums = _columns(block)
-    return [np.cumsum(keys, dtype=np.uint64), *sums]
+    keys, *columns = _columns(block)
+    return [np.cumsum(keys, dtype=np.uint64), *columns]
 
 
 class Sums:
-    """Sums by 64-bit key; waiting parts are merged in when they outweigh what is there."""
+    """Sums by a key of one or more 64-bit columns; waiting parts are merged in when they outweigh what is there."""
 
-    def __init__(self, width: int = 1):
-        self.keys, self.sums = np.empty(0, np.uint64), [np.empty(0, np.int64) for _ in range(width)]
+    def __init__(self, width: int = 1, key: int = 1):
+        self.keys, self.sums = [np.empty(0, np.uint64)] * key, [np.empty(0, np.int64) for _ in range(width)]
         self.parts, self.waiting = [], 0
 
-    def add(self, keys: np.ndarray, *sums: np.ndarray) -> None:
-        self.parts.append((keys, *sums))
-        self.waiting += len(keys)
-        if self.waiting > max(1 << 20, len(self.keys)):
+    def __len__(self) -> int:
+        return len(self.keys[0])
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.waiting += len(columns[0])
+        if self.waiting > max(1 << 20, len(self)):
             self.settle()
 
     def settle(self) -> None:
         if not self.parts:
             return
-        keys = np.concatenate([self.keys, *[p[0] for p in self.parts]])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        key = len(self.keys)
+        keys = [np.concatenate([own, *[p[k] for p in self.parts]]) for k, own in enumerate(self.keys)]
+        order = np.argsort(keys[0], kind="stable") if key == 1 else np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        heads = np.flatnonzero(_heads(keys))
         for k in range(len(self.sums)):
-            every = np.concatenate([self.sums[k], *[np.asarray(p[k + 1], np.int64) for p in self.parts]])[order]
+            every = np.concatenate([self.sums[k], *[np.asarray(p[key + k], np.int64) for p in self.parts]])[order]
             self.sums[k] = np.add.reduceat(every, heads) if len(heads) else every
-        self.keys, self.parts, self.waiting = keys[heads], [], 0
+        self.keys, self.parts, self.waiting = [k[heads] for k in keys], [], 0
+
+
+def _heads(keys: list[np.ndarray]) -> np.ndarray:
+    """Where sorted keys differ from the one before."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out):
+        out[1:] = False
+        for k in keys:
+            out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+def distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Sorted distinct keys, how often each stands there, and where each row's key is."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    first = _heads(keys)
+    heads = np.flatnonzero(first)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(first) - 1
+    return [k[heads] for k in keys], np.diff(np.append(heads, len(order))), back
 
 
 def tokens_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,94 +123,254 @@ def tokens_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, at
 
 
-def _deal(keys: np.ndarray, shard: np.ndarray, shards: int, sums: list[np.ndarray]) -> tuple[list, list]:
-    """Blocks by shard; keys are sorted."""
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1)).tolist()
-    numbers, blocks = [], []
-    for s in range(shards):
-        rows = order[cuts[s] : cuts[s + 1]]
-        if len(rows):
-            numbers.append(s)
-            blocks.append(pack_keys(keys[rows], *[x[rows] for x in sums]))
-    return numbers, blocks
+_ROUNDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+
+
+class Pairing:
+    """Keys of pairs of ids from 0 to ``most``, and back."""
+
+    def __init__(self, most: int):
+        self.half = max(1, int(most).bit_length())
+        self.wide = 2 * self.half > 64
+        self.bits = self.half if self.wide else 2 * self.half
+        self.width = 2 if self.wide else 1
+
+    def _f(self, x: np.ndarray, c: np.uint64) -> np.ndarray:
+        y = (x + np.uint64(1)) * c
+        return ((y ^ (y >> np.uint64(29))) * _ROUNDS[0]) >> np.uint64(64 - self.half)
+
+    def key(self, before: np.ndarray, after: np.ndarray) -> list[np.ndarray]:
+        a, b = before.astype(np.uint64), after.astype(np.uint64)
+        for c in _ROUNDS:
+            a, b = b, a ^ self._f(b, c)
+        return [a, b] if self.wide else [a << np.uint64(self.half) | b]
+
+    def ids(self, key: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if self.wide:
+            a, b = key
+        else:
+            a, b = key[0] >> np.uint64(self.half), key[0] & np.uint64(2**self.half - 1)
+        for c in reversed(_ROUNDS):
+            a, b = b ^ self._f(a, c), a
+        return a.astype(np.int64), b.astype(np.int64)
+
+    def shard(self, key: list[np.ndarray], shards: int) -> np.ndarray:
+        """Shard numbers; they grow with the key."""
+        top = min(self.bits, 32)
+        return ((key[0] >> np.uint64(self.bits - top)) * np.uint64(shards) >> np.uint64(top)).astype(np.int64)
+
+
+class Keys:
+    """Sorted keys of a shard, packed: a table over their highest bits, and what is left of each in few bytes."""
+
+    def __init__(self, raw: np.ndarray):
+        n, low, shift, buckets, wide = raw[:40].view("<i8").tolist()
+        at = 40
+        self.n, self.low, self.shift = n, np.uint64(low), np.uint64(shift)
+
+        def take(count, kind):
+            nonlocal at
+            out = raw[at : at + count * np.dtype(kind).itemsize].view(kind)
+            at += count * np.dtype(kind).itemsize
+            return out
+
+        self.index, self.rest = take(buckets + 1, "<u4" if n < 2**32 else "<u8"), []
+        for k in range(0, shift, 16):
+            self.rest.append((np.uint64(k), take(n, "<u2")))
+        self.other = take(n, "<u8") if wide else None
+        self.size = at
+
+    @staticmethod
+    def pack(keys: list[np.ndarray]) -> bytes:
+        n, h = len(keys[0]), keys[0]
+        low = int(h[0]) if n else 0
+        span = (int(h[-1]) - low).bit_length() if n else 0
+        shift = max(0, span - max(0, (n // 4).bit_length()))
+        shift = min(span, -(-shift // 16) * 16)  # what is left takes whole 16-bit columns
+        past = h - np.uint64(low)
+        bucket = (past >> np.uint64(shift)).astype(np.int64)
+        buckets = int(bucket[-1]) + 1 if n else 0
+        parts = [np.array([n, 0, shift, buckets, len(keys) > 1], "<i8"), np.searchsorted(bucket, np.arange(buckets + 1)).astype("<u4" if n < 2**32 else "<u8")]
+        parts[0].view("<u8")[1] = low
+        parts += [(past >> np.uint64(k) & np.uint64(0xFFFF if shift - k >= 16 else 2 ** (shift - k) - 1)).astype("<u2") for k in range(0, shift, 16)]
+        parts += [k.astype("<u8") for k in keys[1:]]
+        return b"".join(p.tobytes() for p in parts)
+
+    def _rest(self, rows) -> np.ndarray:
+        out = np.zeros(len(rows) if not isinstance(rows, slice) else self.n, np.uint64)
+        for k, x in self.rest:
+            out |= x[rows].astype(np.uint64) << k
+        return out
+
+    def all(self) -> list[np.ndarray]:
+        bucket = np.repeat(np.arange(len(self.index) - 1, dtype=np.uint64), np.diff(self.index.astype(np.int64)))
+        out = [(bucket << self.shift | self._rest(slice(None))) + self.low]
+        return out if self.other is None else [*out, self.other]
+
+    def find(self, keys: list[np.ndarray]) -> np.ndarray:
+        """Rows of the keys, -1 where they are not there."""
+        if not self.n:
+            return np.full(len(keys[0]), -1, np.int64)
+        past = keys[0] - self.low
+        bucket = past >> self.shift
+        ok = (keys[0] >= self.low) & (bucket < np.uint64(len(self.index) - 1))
+        bucket = np.where(ok, bucket, np.uint64(0)).astype(np.int64)
+        rest = past & np.uint64((1 << int(self.shift)) - 1)
+        lo, end = self.index[bucket].astype(np.int64), self.index[bucket + 1].astype(np.int64)
+        hi = end.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) // 2
+            held = self._rest(mid)
+            less = held < rest[open_]
+            if self.other is not None:
+                less |= (held == rest[open_]) & (self.other[mid] < keys[1][open_])
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        row = np.minimum(lo, self.n - 1)
+        ok &= (lo < end) & (self._rest(row) == rest)
+        if self.other is not None:
+            ok &= self.other[row] == keys[1]
+        return np.where(ok, row, -1)
+
+
+class Codes:
+    """Rows of small numbers: a byte each that names one of the commonest rows; the others are listed."""
+
+    def __init__(self, raw: np.ndarray):
+        n, width, common, rare = raw[:32].view("<i8").tolist()
+        at = 32
+        self.table = raw[at : at + 8 * width * common].view("<i8").reshape(-1, width)
+        at += 8 * width * common
+        self.where = raw[at : at + 8 * rare].view("<i8")
+        at += 8 * rare
+        self.other = raw[at : at + 8 * width * rare].view("<i8").reshape(-1, width)
+        at += 8 * width * rare
+        self.codes = raw[at : at + n]
+
+    @staticmethod
+    def pack(columns: list[np.ndarray]) -> bytes:
+        rows = np.column_stack(columns).astype("<i8") if len(columns[0]) else np.empty((0, len(columns)), "<i8")
+        every, back, n = np.unique(rows, axis=0, return_inverse=True, return_counts=True) if len(rows) else (rows, np.empty(0, np.int64), np.empty(0, np.int64))
+        back = back.ravel()
+        common = np.argsort(-n, kind="stable")[:255]
+        code = np.full(len(every), 255, np.uint8)
+        code[common] = np.arange(len(common))
+        codes = code[back]
+        where = np.flatnonzero(codes == 255)
+        parts = [np.array([len(rows), len(columns), len(common), len(where)], "<i8"), every[common], where.astype("<i8"), rows[where], codes]
+        return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        codes = self.codes[at]
+        out = self.table[np.minimum(codes, max(len(self.table) - 1, 0))] if len(self.table) else np.zeros((len(at), self.table.shape[1]), np.int64)
+        rare = np.flatnonzero(codes == 255)
+        if len(rare):
+            out[rare] = self.other[np.searchsorted(self.where, at[rare])]
+        return out
+
 
+def _deal(columns: list[np.ndarray], shard: np.ndarray) -> pa.RecordBatch:
+    """Blocks by shard of rows whose shards ascend."""
+    used, cuts = np.unique(shard, return_index=True)
+    cuts = [*cuts.tolist(), len(shard)]
+    blocks = [pack_keys(*[c[a:b] for c in columns]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(used.tolist(), pa.int32()), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
-def _batch(numbers: list, blocks: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary())], names=["shard", "block"])
 
+def _by_shard(batches, width: int, key: int = 1):
+    """(shard, its sums) of blocks whose shards come one after another."""
+    number, sums = None, None
+    for batch in batches:
+        for k, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if k != number:
+                if sums is not None:
+                    sums.settle()
+                    yield number, sums
+                number, sums = k, Sums(width, key)
+            sums.add(*unpack_keys(block))
+    if sums is not None:
+        sums.settle()
+        yield number, sums
 
-class Vocabulary:
-    """The written words: sorted hashes and counts by shard."""
+
+class Model:
+    """The written levels, their shards memory-mapped when first needed."""
 
     def __init__(self, folder: str):
-        self.folder, self.meta, self.open = folder, json.loads(shared.get(f"{folder}/words.json")), {}
-        self.shards, self.sizes = self.meta["shards"], np.array(self.meta["sizes"], np.int64)
-        self.base = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.size = int(self.base[-1])
-
-    def shard(self, kind: str, k: int, width: int) -> list[np.ndarray]:
-        if (kind, k) not in self.open:
-            raw = shared.mapped(f"{self.folder}/{kind}-{k:06d}")
-            n = len(raw) // 8 // width
-            self.open[kind, k] = [raw[8 * n * c : 8 * n * (c + 1)].view("<i8" if c or kind == "stats" else "<u8") for c in range(width)]
-        return self.open[kind, k]
-
-    def find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.folder, self.meta, self.open = folder, json.loads(shared.get(f"{folder}/model.json")), {}
+        self.shards, self.tokens = self.meta["shards"], self.meta["tokens"]
+        self.base = [None, *[np.concatenate([[0], np.cumsum(np.array(x, np.int64))]) for x in self.meta["sizes"]]]
+        self.size = [0, *[int(b[-1]) for b in self.base[1:]]]
+        self.pairing = [None, None, *[Pairing(n) for n in self.size[1:]]]
+
+    def file(self, kind: str, level: int, shard: int):
+        at = kind, level, shard
+        if at not in self.open:
+            raw = shared.mapped(f"{self.folder}/{kind}-{level}-{shard:06d}")
+            if kind == "words":
+                n = len(raw) // 16
+                self.open[at] = raw[: 8 * n].view("<u8"), raw[8 * n :].view("<i8")
+            else:
+                self.open[at] = (Keys if kind == "keys" else Codes)(raw)
+        return self.open[at]
+
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1: unknown) and counts of sorted distinct hashes."""
-        ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
-        cuts = np.searchsorted(_shard(distinct, self.shards), np.arange(self.shards + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            if not self.sizes[k]:
-                continue
-            a, b = int(cuts[k]), int(cuts[k + 1])
-            hashes, n = self.shard("words", k, 2)
-            row = np.minimum(np.searchsorted(hashes, distinct[a:b]), len(hashes) - 1)
-            ok = hashes[row] == distinct[a:b]
-            ids[a:b] = np.where(ok, row + self.base[k], -1)
+        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        for k, a, b in self._parts(_shard(hashes, self.shards), 1):
+            held, n = self.file("words", 1, k)
+            row = np.minimum(np.searchsorted(held, hashes[a:b]), len(held) - 1)
+            ok = held[row] == hashes[a:b]
+            ids[a:b] = np.where(ok, row + self.base[1][k], -1)
             counts[a:b] = np.where(ok, n[row], 0)
         return ids, counts
 
-
-class Model(Vocabulary):
-    """The written model."""
-
-    def __init__(self, folder: str):
-        super().__init__(folder)
-        self.model = json.loads(shared.get(f"{folder}/model.json"))
-        self.paired = {int(k) for k in self.model["pair_shards"]}
-
-    def stats(self, ids: np.ndarray) -> np.ndarray:
-        """Per known id, in order: continuations, followers seen once, twice, more."""
-        out = np.zeros((4, len(ids)), np.int64)
-        cuts = np.searchsorted(ids, self.base)
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            rows = ids[cuts[k] : cuts[k + 1]] - self.base[k]
-            for c, column in enumerate(self.shard("stats", k, 4)):
-                out[c, cuts[k] : cuts[k + 1]] = column[rows]
+    def _parts(self, shard: np.ndarray, level: int):
+        used, cuts = np.unique(shard, return_index=True)
+        ends = np.append(cuts[1:], len(shard))[: len(used)]
+        for k, a, b in zip(used.tolist(), cuts.tolist(), ends.tolist(), strict=True):
+            if self.base[level][k + 1] > self.base[level][k]:
+                yield k, a, b
+
+    def grams(self, level: int, keys: list[np.ndarray]) -> np.ndarray:
+        """Ids (-1: unknown) of sorted distinct keys of a level."""
+        ids = np.full(len(keys[0]), -1, np.int64)
+        for k, a, b in self._parts(self.pairing[level].shard(keys, self.shards), level):
+            row = self.file("keys", level, k).find([x[a:b] for x in keys])
+            ids[a:b] = np.where(row >= 0, row + self.base[level][k], -1)
+        return ids
+
+    def rows(self, kind: str, level: int, ids: np.ndarray, width: int) -> np.ndarray:
+        """What is written of the ids of a level, 0 where they are unknown."""
+        out = np.zeros((len(ids), width), np.int64)
+        known = np.flatnonzero(ids >= 0)
+        known = known[np.argsort(ids[known], kind="stable")]
+        for k, a, b in self._parts(np.searchsorted(self.base[level], ids[known], "right") - 1, level):
+            some = known[a:b]
+            out[some] = self.file(kind, level, k).rows(ids[some] - self.base[level][k])
         return out
 
-    def pairs(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct pair keys."""
-        counts = np.zeros(len(keys), np.int64)
-        shard = _shard(kernel.mix(keys), self.shards)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1)).tolist()
-        for k in range(self.shards):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if not len(rows) or k not in self.paired:
-                continue
-            if ("pairs", k) not in self.open:
-                raw = shared.mapped(f"{self.folder}/pairs-{k:06d}")
-                n, big = raw[:16].view("<i8").tolist()
-                self.open["pairs", k] = (raw[16 : 16 + 8 * n].view("<u8"), raw[16 + 8 * n : 16 + 8 * n + 8 * big].view("<i8"), raw[16 + 8 * n + 8 * big : 16 + 8 * n + 16 * big].view("<i8"), raw[16 + 8 * n + 16 * big :])
-            held, where, large, small = self.open["pairs", k]
-            at = np.minimum(np.searchsorted(held, keys[rows]), len(held) - 1)
-            found = np.where(held[at] == keys[rows], small[at].astype(np.int64), 0)
-            full = np.flatnonzero(found == 255)
-            found[full] = large[np.searchsorted(where, at[full])]
-            counts[rows] = found
-        return counts
+    def walk(self, tokens: np.ndarray, at: np.ndarray, upto: int):
+        """Level by level: distinct grams' ids, how often each stands there, where each token's gram is, and the ids of
+        what each token's gram begins with (the size of the level below for a beginning). Grams with an unknown part
+        share an entry with id -1."""
+        hashes, n, back = distinct([tokens])
+        ids, counts = self.words(hashes[0])
+        yield 1, ids, n, back, None, counts
+        own = ids[back]
+        for level in range(2, upto + 1):
+            before = np.empty(len(own), np.int64)
+            before[1:] = own[:-1]
+            before[at[:-1]] = self.size[level - 1]
+            known = (before >= 0) & (own >= 0)
+            keys, n, part = distinct(self.pairing[level].key(before[known], own[known]))
+            ids = np.append(self.grams(level, keys), -1)
+            back = np.full(len(own), len(ids) - 1, np.int64)
+            back[known] = part
+            yield level, ids, np.append(n, 0), back, before, keys
+            own = ids[back]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -194,176 +383,184 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [0.0, *[min(max(x, 0.05), k - 0.05) for k, x in enumerate(d[1:], 1)]]
 
 
-def fit(train: DataFrame, keep: Workspace, shards: int | None = None) -> str:
-    """Count the model over all rows of ``train`` (text; null: empty) and write it; returns its folder. It holds up
-    to 3e9 distinct tokens."""
+def _levels(counts: np.ndarray) -> list[int]:
+    """How many counts are 1, 2, 3, 4, and 3 or more."""
+    n = np.bincount(np.minimum(counts, 5), minlength=6)
+    return [*n[1:5].tolist(), int(n[3:].sum())]
+
+
+def fit(train: DataFrame, keep: Workspace, order: int = 3, shards: int | None = None) -> str:
+    """Count the model over all rows of ``train`` (text; null: empty) and write it; returns its folder. A task holds
+    one shard's counts at a time; the number of shards grows with the input."""
+    if order < 2:
+        raise ValueError("the order is two at least")
     spark = train.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shared.shards(train)
     folder = keep.path("model")
     texts = train.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-    def count_words(batches):
-        sums = Sums()
-        for batch in batches:
-            buf, offsets = kernel.strings(batch.column(0))
-            for i, j in kernel.slices(offsets, 4 << 20):
-                tokens, _ = tokens_of(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                sums.add(*np.unique(tokens, return_counts=True))
-                if len(sums.keys) > 1 << 21:
-                    sums.settle()
-                    yield _batch(*_deal(sums.keys, _shard(sums.keys, shards), shards, sums.sums))
-                    sums = Sums()
-        sums.settle()
-        yield _batch(*_deal(sums.keys, _shard(sums.keys, shards), shards, sums.sums))
-
-    def gathered(batches, width):
-        sums, number = Sums(width), None
-        for batch in batches:
-            for number, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums.add(*unpack_keys(block))
-        sums.settle()
-        return number, sums
-
-    def write_words(batches):
-        number, sums = gathered(batches, 1)
-        if number is not None:
-            shared.put(f"{folder}/words-{number:06d}", sums.keys.astype("<u8").tobytes() + sums.sums[0].astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(sums.keys)], pa.int64()), pa.array([int(sums.sums[0].sum())], pa.int64())], names=["shard", "words", "tokens"])
-
-    made = texts.mapInArrow(count_words, "shard int, block binary").repartitionById(shards, F.col("shard")).mapInArrow(write_words, "shard int, words long, tokens long").collect()
-    sizes = [0] * shards
-    for r in made:
-        sizes[r.shard] = r.words
-    size, total = sum(sizes), sum(r.tokens for r in made)
-    if size >= 3_000_000_000:
-        raise ValueError("more than 3e9 distinct tokens")
-    shared.put(f"{folder}/words.json", json.dumps({"shards": shards, "sizes": sizes, "tokens": total}).encode())
-
-    def count_pairs(batches):
-        words, sums = Vocabulary(folder), Sums()
-        wide = np.uint64(words.size + 1)
-        for batch in batches:
-            buf, offsets = kernel.strings(batch.column(0))
-            for i, j in kernel.slices(offsets, 4 << 20):
-                tokens, at = tokens_of(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                distinct, back = np.unique(tokens, return_inverse=True)
-                ids = words.find(distinct)[0][back]
-                before = np.empty(len(ids), np.int64)
-                before[1:] = ids[:-1]
-                before[at[:-1]] = words.size
-                sums.add(*np.unique(before.astype(np.uint64) * wide + ids.astype(np.uint64), return_counts=True))
-                if len(sums.keys) > 1 << 22:
-                    sums.settle()
-                    yield _batch(*_deal(sums.keys, _shard(kernel.mix(sums.keys), shards), shards, sums.sums))
-                    sums = Sums()
-        sums.settle()
-        yield _batch(*_deal(sums.keys, _shard(kernel.mix(sums.keys), shards), shards, sums.sums))
-
-    def write_pairs(batches):
-        """Writes a shard of pairs; what it says of words and contexts goes on to their shards. Counts of counts
-        and followers of the beginning of texts go, under keys past all ids, to shard 0."""
-        number, sums = gathered(batches, 1)
-        if number is None:
-            return
-        keys, counts = sums.keys, sums.sums[0]
-        big = np.flatnonzero(counts >= 255)
-        shared.put(f"{folder}/pairs-{number:06d}", np.array([len(keys), len(big)], "<i8").tobytes() + keys.astype("<u8").tobytes() + big.astype("<i8").tobytes() + counts[big].astype("<i8").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes())
-        sizes_now = np.array(sizes, np.int64)
-        base, wide = np.concatenate([[0], np.cumsum(sizes_now)]), np.uint64(size + 1)
-        context, word = keys // wide, keys % wide
-        none = np.zeros(len(keys), np.int64)
-        out = Sums(4)
-        for a in range(0, len(keys), 1 << 20):
-            s = slice(a, a + (1 << 20))
-            out.add(word[s], none[s] + 1, none[s], none[s], none[s])
-            out.add(context[s], none[s], counts[s] == 1, counts[s] == 2, counts[s] >= 3)
-        levels = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
-        out.add(np.array([size + 1], np.uint64), *[np.array([x]) for x in levels])
-        out.settle()
-        shard = np.searchsorted(base, out.keys.astype(np.int64), "right") - 1
-        shard[out.keys >= np.uint64(size)] = 0
-        yield _batch(*_deal(out.keys, shard, shards, out.sums))
-
-    def write_stats(batches):
-        number, sums = gathered(batches, 4)
-        if number is None:
-            return
-        sizes_now = np.array(sizes, np.int64)
-        base = np.concatenate([[0], np.cumsum(sizes_now)])
-        past = sums.keys >= np.uint64(size)
-        rows = sums.keys[~past].astype(np.int64) - base[number]
-        table = np.zeros((4, sizes_now[number]), "<i8")
-        for c in range(4):
-            table[c, rows] = sums.sums[c][~past]
-        shared.put(f"{folder}/stats-{number:06d}", table.tobytes())
-        levels = np.bincount(np.minimum(table[0], 5), minlength=6)
-        start = [[int(x[i]) for x in sums.sums] for i in np.flatnonzero(sums.keys == np.uint64(size))]
-        pairs = [[int(x[i]) for x in sums.sums] for i in np.flatnonzero(sums.keys == np.uint64(size + 1))]
-        said = {"levels": levels.tolist(), "sum": int(table[0].sum()), "start": start, "pairs": pairs}
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([json.dumps(said)])], names=["shard", "said"])
-
-    pairs = texts.mapInArrow(count_pairs, "shard int, block binary").repartitionById(shards, F.col("shard")).mapInArrow(write_pairs, "shard int, block binary")
-    said = [json.loads(r.said) for r in pairs.repartitionById(shards, F.col("shard")).mapInArrow(write_stats, "shard int, said string").collect()]
-    levels = np.sum([x["levels"] for x in said], axis=0) if said else np.zeros(6, np.int64)
-    of_pairs = [v for x in said for v in x["pairs"]] or [[0, 0, 0, 0]]
-    at_start = [v for x in said for v in x["start"]] or [[0, 0, 0, 0]]
-    listed = [k for k in range(shards) if shared_exists(f"{folder}/pairs-{k:06d}")]
-    more = int(sum(sizes) - levels[0] - levels[1] - levels[2])
-    shared.put(
-        f"{folder}/model.json",
-        json.dumps({"pair_shards": listed, "high": discounts(*of_pairs[0]), "low": discounts(*levels[1:5].tolist()), "low_levels": [int(levels[1]), int(levels[2]), more], "low_sum": sum(x["sum"] for x in said), "start": at_start[0][1:]}).encode(),
-    )
+    meta = {"order": order, "shards": shards, "tokens": 0, "sizes": []}
+
+    def publish():
+        shared.put(f"{folder}/model.json", json.dumps(meta).encode())
+
+    def counted(level: int):
+        """Counts of a level's grams over batches of texts, in blocks by shard."""
+
+        def run(batches):
+            model = _model(folder, level) if level > 1 else None
+            wide = model.pairing[level].width if model else 1
+            sums = Sums(key=wide)
+
+            def out():
+                sums.settle()
+                return _deal([*sums.keys, *sums.sums], model.pairing[level].shard(sums.keys, shards) if model else _shard(sums.keys[0], shards))
+
+            for batch in batches:
+                buf, offsets = kernel.strings(batch.column(0))
+                for i, j in kernel.slices(offsets, 4 << 20):
+                    tokens, at = tokens_of(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    if model is None:
+                        keys, n, _ = distinct([tokens])
+                    else:
+                        own = None
+                        for _, ids, _, back, _, _ in model.walk(tokens, at, level - 1):
+                            own = ids[back]
+                        before = np.empty(len(own), np.int64)
+                        before[1:] = own[:-1]
+                        before[at[:-1]] = model.size[level - 1]
+                        keys, n, _ = distinct(model.pairing[level].key(before, own))
+                    sums.add(*keys, n)
+                    if len(sums) > 1 << 22:
+                        yield out()
+                        sums = Sums(key=wide)
+            yield out()
+
+        return run
+
+    def written(level: int):
+        """Writes a level's shards; says how many grams, tokens and counts of each size there are."""
+
+        def run(batches):
+            wide = _model(folder, level).pairing[level].width if level > 1 else 1
+            for number, sums in _by_shard(batches, 1, wide):
+                counts = sums.sums[0]
+                if level == 1:
+                    shared.put(f"{folder}/words-1-{number:06d}", sums.keys[0].astype("<u8").tobytes() + counts.astype("<i8").tobytes())
+                else:
+                    shared.put(f"{folder}/keys-{level}-{number:06d}", Keys.pack(sums.keys))
+                    if level == order:
+                        shared.put(f"{folder}/counts-{level}-{number:06d}", Codes.pack([counts]))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([len(sums)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([_levels(counts)], pa.list_(pa.int64()))], names=["shard", "n", "tokens", "levels"])
+
+        return run
+
+    for level in range(1, order + 1):
+        blocks = texts.mapInArrow(counted(level), "shard int, block binary")
+        made = shared.deal(blocks, shards).mapInArrow(written(level), "shard int, n long, tokens long, levels array<long>").collect()  # a row a shard
+        sizes = [0] * shards
+        for r in made:
+            sizes[r.shard] = r.n
+        meta["sizes"].append(sizes)
+        meta["tokens"] = sum(r.tokens for r in made)
+        top = [sum(x) for x in zip(*[r.levels for r in made], strict=True)] or [0] * 5
+        publish()
+        keep.tidy()
+
+    def told(level: int):
+        """What the grams of a level, shard by shard, say of those of the level below: (id, continuations, sum of the counts of
+        grams that begin with it, and how many of these have a count of 1, 2 and more)."""
+
+        def run(batches):
+            model = _model(folder, (level, "told"))
+            below = model.base[level - 1]
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    n = int(model.base[level][k + 1] - model.base[level][k])
+                    if not n:
+                        continue
+                    before, after = model.pairing[level].ids(model.file("keys", level, k).all())
+                    counts = model.file("counts" if level == order else "stats", level, k).rows(np.arange(n))[:, 0]
+                    none = np.zeros(n, np.int64)
+                    out = Sums(5)
+                    for a in range(0, n, 1 << 20):
+                        s = slice(a, a + (1 << 20))
+                        out.add(after[s].astype(np.uint64), none[s] + 1, none[s], none[s], none[s], none[s])
+                        out.add(before[s].astype(np.uint64), none[s], counts[s], counts[s] == 1, counts[s] == 2, counts[s] >= 3)
+                    out.settle()
+                    # The beginning's id is past all others; it goes to the last shard.
+                    shard = np.minimum(np.searchsorted(below, out.keys[0].astype(np.int64), "right") - 1, shards - 1)
+                    yield _deal([*out.keys, *out.sums], shard)
+
+        return run
+
+    def noted(level: int):
+        """Writes what is said of the grams of a level; says the counts of counts and what follows a beginning."""
+
+        def run(batches):
+            model = _model(folder, (level, "noted"))
+            for number, sums in _by_shard(batches, 5):
+                base, n = int(model.base[level][number]), int(model.base[level][number + 1] - model.base[level][number])
+                past = sums.keys[0] >= np.uint64(model.size[level])
+                rows = sums.keys[0][~past].astype(np.int64) - base
+                table = np.zeros((5, n), np.int64)
+                for c in range(5):
+                    table[c, rows] = sums.sums[c][~past]
+                shared.put(f"{folder}/stats-{level}-{number:06d}", Codes.pack(list(table)))
+                begin = [int(x[past].sum()) for x in sums.sums[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array([_levels(table[0])], pa.list_(pa.int64())), pa.array([int(table[0].sum())]), pa.array([begin], pa.list_(pa.int64()))], names=["levels", "total", "begin"])
+
+        return run
+
+    parts = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    meta["discounts"], meta["begin"] = [discounts(*top[:4])], []
+    for level in range(order, 1, -1):
+        numbers = spark.range(0, shards, 1, parts).select(F.col("id").cast("int").alias("shard"))
+        blocks = numbers.mapInArrow(told(level), "shard int, block binary")
+        said = shared.deal(blocks, shards).mapInArrow(noted(level - 1), "levels array<long>, total long, begin array<long>").collect()  # a row a shard
+        levels = [sum(x) for x in zip(*[r.levels for r in said], strict=True)] or [0] * 5
+        meta["discounts"].insert(0, discounts(*levels[:4]))
+        meta["begin"].insert(0, [sum(x) for x in zip(*[r.begin for r in said], strict=True)] or [0] * 4)
+        meta["low"] = {"levels": [levels[0], levels[1], levels[4]], "total": sum(r.total for r in said)}
+        keep.tidy()
+    publish()
     return folder
 
 
-def shared_exists(uri: str) -> bool:
-    try:
-        shared.length(uri)
-    except FileNotFoundError:
-        return False
-    return True
-
-
-_models: dict[str, Model] = {}
+_models: dict[tuple, Model] = {}
 
 
-def _model(folder: str) -> Model:
-    if folder not in _models:
+def _model(folder: str, stage=None) -> Model:
+    """The model of a folder; ``stage`` tells apart states of one that is being written."""
+    if (folder, stage) not in _models:
         _models.clear()
-        _models[folder] = Model(folder)
-    return _models[folder]
+        _models[folder, stage] = Model(folder)
+    return _models[folder, stage]
 
 
 def log_probabilities(model: Model, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 p of each token of the texts that begin at ``at``, and its count in training."""
-    distinct, back = np.unique(tokens, return_inverse=True)
-    ids, counts = model.find(distinct)
-    known = ids >= 0
-    cont, *follow = (np.zeros(len(ids), np.int64) for _ in range(4))
-    cont[known], *got = model.stats(ids[known])
-    for x, y in zip(follow, got, strict=True):
-        x[known] = y
-    m, v = model.model, model.size
-    low, high = np.array(m["low"]), np.array(m["high"])
-    total = m["low_sum"]
-    share = sum(d * n for d, n in zip(low[1:], m["low_levels"], strict=True)) / total if total else 1.0
-    p_low = (np.maximum(cont - low[np.minimum(cont, 3)], 0) / total if total else 0) + share / (v + 1) + np.zeros(len(ids))
-    rest = sum(d * n for d, n in zip(high[1:], follow, strict=True))
-
-    word = ids[back]
-    context, c_context, g = np.empty(len(word), np.int64), np.empty(len(word), np.int64), np.empty(len(word))
-    context[1:], c_context[1:], g[1:] = word[:-1], counts[back][:-1], rest[back][:-1]
-    ends = int(model.find(np.array([END], np.uint64))[1][0])  # as many as texts
-    context[at[:-1]], c_context[at[:-1]] = v, ends
-    g[at[:-1]] = sum(d * n for d, n in zip(high[1:], m["start"], strict=True))
-    p = p_low[back]
-    seen = c_context > 0
-    c = np.zeros(len(word), np.int64)
-    both = seen & (word >= 0)
-    keys, where = np.unique(context[both].astype(np.uint64) * np.uint64(v + 1) + word[both].astype(np.uint64), return_inverse=True)
-    c[both] = model.pairs(keys)[where]
-    p[seen] = np.maximum(c[seen] - high[np.minimum(c[seen], 3)], 0) / c_context[seen] + g[seen] / c_context[seen] * p[seen]
-    return np.log10(p), counts[back]
+    m, order = model.meta, model.meta["order"]
+    p = seen = context = None
+    for level, ids, _, back, before, extra in model.walk(tokens, at, order):
+        d = np.array(m["discounts"][level - 1])
+        stats = model.rows("counts", level, ids, 1) if level == order else model.rows("stats", level, ids, 5)
+        c = stats[back, 0]
+        if level == 1:
+            seen, total = extra[back], m["low"]["total"]
+            share = sum(x * n for x, n in zip(d[1:], m["low"]["levels"], strict=True)) / total if total else 1.0
+            p = (np.maximum(c - d[np.minimum(c, 3)], 0) / total if total else 0) + share / (model.size[1] + 1) + np.zeros(len(c))
+        else:
+            # The context's numbers stand at the token before, or are those of a beginning.
+            follow = np.empty((len(c), 4), np.int64)
+            follow[1:] = context[:-1]
+            follow[before == model.size[level - 1]] = m["begin"][level - 2]
+            total = follow[:, 0]
+            some = total > 0
+            rest = follow[some, 1:] @ d[1:]
+            p[some] = np.maximum(c[some] - d[np.minimum(c[some], 3)], 0) / total[some] + rest / total[some] * p[some]
+        if level < order:
+            context = stats[back, 1:]
+    return np.log10(p), seen
 
 
 _SCORES = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("perplexity", pa.float64())]
@@ -376,7 +573,7 @@ def score(docs: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         model = _model(folder)
-        n, v = model.meta["tokens"], model.size
+        n, v = model.tokens, model.size[1]
         for batch in batches:
             buf, offsets = kernel.strings(batch.column(2))
             for i, j in kernel.slices(offsets, 4 << 20):
@@ -398,7 +595,9 @@ def held_out(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame:
     return docs.select("doc_id", "text", (F.crc32(name.cast("binary")) % folds == fold).alias("held_out"))
 
 
-def perplexity(docs: DataFrame, fold: int = 2, folds: int = 7) -> DataFrame:
-    """Learn from all rows outside the fold, score all rows."""
+def perplexity(docs: DataFrame, fold: int = 2, folds: int = 7, order: int = 3) -> DataFrame:
+    """Learn a model of the order from all rows outside the fold, score all rows. A null text is empty and has its end alone;
+    repeated rows are learned and scored each; null doc_ids are kept; without training rows every token has the
+    probability of an unknown word; an empty table gives no rows; a word may be as long as a text."""
     marked = held_out(docs, fold, folds)
-    return score(marked, fit(marked.where(~F.col("held_out")), Workspace(docs.sparkSession)))
+    return score(marked, fit(marked.where(~F.col("held_out")), Workspace(docs.sparkSession), order))

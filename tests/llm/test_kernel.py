@@ -98,7 +98,55 @@ def test_packed_keys_come_back():
     assert (back[0] == keys).all() and (back[1] == np.arange(len(keys))).all()
 
 
+def test_sums_by_keys_of_two_columns():
+    rng = np.random.default_rng(3)
+    a, b, n = (rng.integers(0, 9, 500).astype(np.uint64) for _ in range(3))
+    sums = lm.Sums(key=2)
+    for i in range(0, 500, 50):
+        sums.add(a[i : i + 50], b[i : i + 50], n[i : i + 50])
+    sums.settle()
+    want = {}
+    for x, y, z in zip(a.tolist(), b.tolist(), n.tolist(), strict=True):
+        want[x, y] = want.get((x, y), 0) + z
+    assert dict(zip(zip(*[k.tolist() for k in sums.keys], strict=True), sums.sums[0].tolist(), strict=True)) == want
+
+
 def test_null_and_empty_columns():
     buf, offsets = kernel.strings(pa.array([None, "", "a"], pa.string()))
     assert offsets.tolist() == [0, 0, 0, 1]
     assert len(kernel.strings(pa.array([], pa.string()))[0]) == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**63 - 2), st.lists(st.tuples(st.integers(0, 2**63), st.integers(0, 2**63)), min_size=1, max_size=50))
+def test_pairs_of_ids_have_keys_of_their_own(most, pairs):
+    p = lm.Pairing(most)
+    a, b = (np.array([x[i] % (most + 1) for x in pairs], np.int64) for i in (0, 1))
+    key = p.key(a, b)
+    back = p.ids(key)
+    assert (back[0] == a).all() and (back[1] == b).all()
+    assert len(key) == (2 if most.bit_length() > 32 else 1)
+    shard = p.shard(key, 7)
+    assert shard.min() >= 0 and shard.max() < 7
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 64), st.lists(st.integers(0, 2**64 - 1), max_size=300), st.booleans())
+def test_packed_keys_are_found(bits, values, wide):
+    every = sorted({v >> (64 - bits) for v in values})
+    held, lost = np.array(every[::2], np.uint64), np.array(every[1::2], np.uint64)
+    other = lambda h: [h ^ np.uint64(77)] if wide else []
+    keys = lm.Keys(np.frombuffer(lm.Keys.pack([held, *other(held)]), np.uint8))
+    assert all((x == y).all() for x, y in zip(keys.all(), [held, *other(held)], strict=True))
+    assert keys.find([held, *other(held)]).tolist() == list(range(len(held)))
+    assert (keys.find([lost, *other(lost)]) == -1).all()
+    if wide:
+        assert (keys.find([held, held]) == -1).all()
+
+
+def test_coded_rows_come_back():
+    rng = np.random.default_rng(3)
+    columns = [rng.geometric(0.4, 5000), rng.integers(0, 90, 5000)]
+    codes = lm.Codes(np.frombuffer(lm.Codes.pack(columns), np.uint8))
+    at = rng.permutation(5000)
+    assert (codes.rows(at) == np.column_stack(columns)[at]).all()

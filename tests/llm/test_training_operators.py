@@ -77,45 +77,75 @@ def test_packing_many_rounds_of_small_pieces(spark):
         packing.pack(rows.selectExpr("doc_id", "piece", "start", "99L as length", "ids_crc32"), capacity=50)
 
 
-def brute_lm(rows):
+def brute_lm(rows, order=3):
     tokens = lambda t: [*[w.lower() for w in re.findall(WORD.encode(), (t or "").encode())], None]
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    grams = lambda t, k: list(zip(*[(["<s>"] * (k - 1) + t)[i:] for i in range(k)], strict=False))
     train = [tokens(t) for d, t in rows if not held(d)]
     uni = Counter(w for t in train for w in t)
-    pairs = Counter(p for t in train for p in zip(["<s>", *t], t, strict=False))
-    context, follow, cont = Counter(), defaultdict(Counter), Counter(w for _, w in pairs)
-    for (a, _), c in pairs.items():
-        context[a] += c
-        follow[a][min(c, 3)] += 1
-    levels = lambda x: [sum(1 for c in x.values() if c == k) for k in (1, 2, 3, 4)]
-    high, low = lm.discounts(*levels(pairs)), lm.discounts(*levels(cont))
-    n, v, total = sum(uni.values()), len(uni), len(pairs)
-    share = sum(low[min(c, 3)] for c in cont.values()) / total
-
-    def p(a, w):
-        base = max(cont[w] - low[min(cont[w], 3)], 0) / total + share / (v + 1)
-        if not context[a]:
-            return base
-        c = pairs[a, w]
-        return max(c - high[min(c, 3)], 0) / context[a] + sum(high[k] * follow[a][k] for k in (1, 2, 3)) / context[a] * base
-
-    assert abs(sum(p("<s>", w) for w in uni) + p("<s>", "unseen") - 1) < 1e-9
+    counts = {order: Counter(g for t in train for g in grams(t, order))}
+    for k in range(order - 1, 0, -1):  # how many grams end with one
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    context, follow, cut = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter)), {}
+    for k, own in counts.items():
+        cut[k] = lm.discounts(*[sum(1 for c in own.values() if c == n) for n in (1, 2, 3, 4)])
+        for g, c in own.items():
+            context[k][g[:-1]] += c
+            follow[k][g[:-1]][min(c, 3)] += 1
+    n, v = sum(uni.values()), len(uni)
+
+    def p(g):
+        k = len(g)
+        below = p(g[1:]) if k > 1 else None
+        c, total = counts[k][g], context[k][g[:-1]]
+        if not total:
+            return below if k > 1 else 1 / (v + 1)
+        g_ = sum(cut[k][i] * follow[k][g[:-1]][i] for i in (1, 2, 3)) / total
+        return max(c - cut[k][min(c, 3)], 0) / total + g_ * (below if k > 1 else 1 / (v + 1))
+
+    for start in (("<s>",) * (order - 1), (("<s>",) * order + next((tuple(t) for t in train if len(t) > 20), ()))[-order:-1]):
+        assert not train or abs(sum(p((*start, w)) for w in uni) + p((*start, "unseen")) - 1) < 1e-9
     out = []
     for d, t in rows:
         own = tokens(t)
-        score = sum(math.log10(p(a, w)) for a, w in zip(["<s>", *own], own, strict=False))
+        score = sum(math.log10(p(g)) for g in grams(own, order))
         out.append((d, held(d), len(own), sum(w in uni for w in own), n, sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in own), score))
     return out
 
 
-def test_language_model(docs, empty):
-    got = lm.perplexity(docs).collect()
-    want = brute_lm([(d, t) for d, t, _ in corpus()])
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(docs, empty, order):
+    got = lm.perplexity(docs, order=order).collect()
+    want = brute_lm([(d, t) for d, t, _ in corpus()], order)
     key = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[6], 6))
     for r, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert tuple(r[:5]) == w[:5]
         assert r.base_score == pytest.approx(w[5], rel=1e-9) and r.score == pytest.approx(w[6], rel=1e-9)
-    assert lm.perplexity(empty).count() == 0
+    if order == 3:
+        assert lm.perplexity(empty).count() == 0
+
+
+def test_a_model_of_nothing_knows_no_word(spark, docs):
+    keep = Workspace(spark)
+    marked = lm.held_out(docs)
+    for r in lm.score(marked, lm.fit(marked.limit(0), keep)).collect():
+        assert r.n_known == 0 and r.train_tokens == 0 and r.score == 0.0 and r.base_score == 0.0
+
+
+def test_a_very_long_word_in_every_operator(spark):
+    from tests.llm.test_kernel import thue_morse
+
+    a, b = thue_morse(21)
+    rows = [(1, a, "h"), (2, b, "h"), (3, f"{a} {b} x", "h"), (4, f"{b} {a} x", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, 1, 85).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+    got = {r.doc_id: r for r in lm.perplexity(docs).collect()}
+    assert [got[i].n_tokens for i in (1, 2, 3, 4)] == [2, 2, 4, 4]
+    short = [(i, t, "h") for i, t in ((1, a[: 1 << 12]), (2, b[: 1 << 12]))]
+    t = tokenizer("byte_bpe_50k.json")
+    for r in bpe.round_trip(spark.createDataFrame(short, "doc_id long, text string, source string")).collect():
+        text = short[r.doc_id - 1][1]
+        assert r.text == text and np.frombuffer(r.ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def brute_quality(text):
