@@ -38,15 +38,27 @@ END = np.uint64(0x5851F42D4C957F2D)
 
 def _planes(*columns: np.ndarray) -> bytes:
     """Columns of equal length, by byte planes, compressed: small numbers cost few bytes."""
-    raw = b"".join(np.ascontiguousarray(c).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
-    return zstandard.ZstdCompressor(level=1).compress(np.uint32(len(columns)).tobytes() + raw)
+    n, head, parts = len(columns[0]), [], []
+    for c in columns:
+        raw = np.ascontiguousarray(c, "<u8")
+        used = -(-int(raw.max()).bit_length() // 8) if n else 0
+        head.append(used)
+        parts += [raw.view(np.uint8)[k::8].tobytes() for k in range(used)]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([n, len(columns), *head], "<u4").tobytes() + b"".join(parts))
 
 
 def _columns(block: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(block)
-    k = int(np.frombuffer(raw, "<u4", 1)[0])
-    planes = np.frombuffer(raw, np.uint8, offset=4).reshape(k, 8, -1)
-    return [np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes]
+    n, k = np.frombuffer(raw, "<u4", 2).tolist()
+    head, at, out = np.frombuffer(raw, "<u4", k, 8).tolist(), 8 + 4 * k, []
+    for used in head:
+        column = np.zeros(n, "<u8")
+        planes = column.view(np.uint8)
+        for plane in range(used):
+            planes[plane::8] = np.frombuffer(raw, np.uint8, n, at)
+            at += n
+        out.append(column)
+    return out
 
 
 def pack_keys(keys: np.ndarray, *columns: np.ndarray) -> bytes:
@@ -80,7 +92,7 @@ class Sums:
             return
         key = len(self.keys)
         keys = [np.concatenate([own, *[p[k] for p in self.parts]]) for k, own in enumerate(self.keys)]
-        order = np.argsort(keys[0], kind="stable") if key == 1 else np.lexsort(keys[::-1])
+        order = np.argsort(keys[0]) if key == 1 else np.lexsort(keys[::-1])
         keys = [k[order] for k in keys]
         heads = np.flatnonzero(_heads(keys))
         for k in range(len(self.sums)):
@@ -101,7 +113,7 @@ def _heads(keys: list[np.ndarray]) -> np.ndarray:
 
 def distinct(keys: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Sorted distinct keys, how often each stands there, and where each row's key is."""
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
     keys = [k[order] for k in keys]
     first = _heads(keys)
     heads = np.flatnonzero(first)
@@ -175,30 +187,37 @@ class Keys:
             return out
 
         self.index, self.rest = take(buckets + 1, "<u4" if n < 2**32 else "<u8"), []
-        for k in range(0, shift, 16):
-            self.rest.append((np.uint64(k), take(n, "<u2")))
+        for k, kind in self._kinds(shift):
+            self.rest.append((np.uint64(k), take(n, kind)))
         self.other = take(n, "<u8") if wide else None
         self.size = at
 
+    @staticmethod
+    def _kinds(shift: int) -> list[tuple[int, str]]:
+        """First bits and types of the columns that hold so many bits."""
+        return [] if not shift else [(0, "<u2")] if shift <= 16 else [(0, "<u4")] if shift <= 32 else [(0, "<u4"), (32, "<u2")] if shift <= 48 else [(0, "<u8")]
+
     @staticmethod
     def pack(keys: list[np.ndarray]) -> bytes:
         n, h = len(keys[0]), keys[0]
         low = int(h[0]) if n else 0
         span = (int(h[-1]) - low).bit_length() if n else 0
         shift = max(0, span - max(0, (n // 4).bit_length()))
-        shift = min(span, -(-shift // 16) * 16)  # what is left takes whole 16-bit columns
         past = h - np.uint64(low)
         bucket = (past >> np.uint64(shift)).astype(np.int64)
         buckets = int(bucket[-1]) + 1 if n else 0
         parts = [np.array([n, 0, shift, buckets, len(keys) > 1], "<i8"), np.searchsorted(bucket, np.arange(buckets + 1)).astype("<u4" if n < 2**32 else "<u8")]
         parts[0].view("<u8")[1] = low
-        parts += [(past >> np.uint64(k) & np.uint64(0xFFFF if shift - k >= 16 else 2 ** (shift - k) - 1)).astype("<u2") for k in range(0, shift, 16)]
+        rest = past & np.uint64(2**shift - 1)
+        parts += [(rest >> np.uint64(k)).astype(kind) for k, kind in Keys._kinds(shift)]
         parts += [k.astype("<u8") for k in keys[1:]]
         return b"".join(p.tobytes() for p in parts)
 
     def _rest(self, rows) -> np.ndarray:
-        out = np.zeros(len(rows) if not isinstance(rows, slice) else self.n, np.uint64)
-        for k, x in self.rest:
+        if not self.rest:
+            return np.zeros(self.n if isinstance(rows, slice) else len(rows), np.uint64)
+        out = self.rest[0][1][rows].astype(np.uint64)
+        for k, x in self.rest[1:]:
             out |= x[rows].astype(np.uint64) << k
         return out
 
@@ -251,15 +270,22 @@ class Codes:
 
     @staticmethod
     def pack(columns: list[np.ndarray]) -> bytes:
-        rows = np.column_stack(columns).astype("<i8") if len(columns[0]) else np.empty((0, len(columns)), "<i8")
-        every, back, n = np.unique(rows, axis=0, return_inverse=True, return_counts=True) if len(rows) else (rows, np.empty(0, np.int64), np.empty(0, np.int64))
-        back = back.ravel()
-        common = np.argsort(-n, kind="stable")[:255]
+        n, width = len(columns[0]), len(columns)
+        bits = 60 // width
+        # A row of small numbers is one number; rows with a larger one are listed.
+        key, small = np.zeros(n, np.uint64), np.ones(n, bool)
+        for k, c in enumerate(columns):
+            small &= c < 1 << bits
+            key |= c.astype(np.uint64) << np.uint64(bits * k)
+        every, back, times = np.unique(key[small], return_inverse=True, return_counts=True)
+        common = np.argsort(-times, kind="stable")[:255]
         code = np.full(len(every), 255, np.uint8)
         code[common] = np.arange(len(common))
-        codes = code[back]
+        codes = np.full(n, 255, np.uint8)
+        codes[small] = code[back]
         where = np.flatnonzero(codes == 255)
-        parts = [np.array([len(rows), len(columns), len(common), len(where)], "<i8"), every[common], where.astype("<i8"), rows[where], codes]
+        table = np.column_stack([every[common] >> np.uint64(bits * k) & np.uint64(2**bits - 1) for k in range(width)]).astype("<i8")
+        parts = [np.array([n, width, len(common), len(where)], "<i8"), table, where.astype("<i8"), np.column_stack([c[where] for c in columns]).astype("<i8"), codes]
         return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
 
     def rows(self, at: np.ndarray) -> np.ndarray:
@@ -346,7 +372,8 @@ class Model:
         """What is written of the ids of a level, 0 where they are unknown."""
         out = np.zeros((len(ids), width), np.int64)
         known = np.flatnonzero(ids >= 0)
-        known = known[np.argsort(ids[known], kind="stable")]
+        if (np.diff(ids[known]) < 0).any():
+            known = known[np.argsort(ids[known], kind="stable")]
         for k, a, b in self._parts(np.searchsorted(self.base[level], ids[known], "right") - 1, level):
             some = known[a:b]
             out[some] = self.file(kind, level, k).rows(ids[some] - self.base[level][k])
@@ -540,26 +567,27 @@ def _model(folder: str, stage=None) -> Model:
 def log_probabilities(model: Model, tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 p of each token of the texts that begin at ``at``, and its count in training."""
     m, order = model.meta, model.meta["order"]
-    p = seen = context = None
+    p = seen = total = rest = None
     for level, ids, _, back, before, extra in model.walk(tokens, at, order):
         d = np.array(m["discounts"][level - 1])
         stats = model.rows("counts", level, ids, 1) if level == order else model.rows("stats", level, ids, 5)
-        c = stats[back, 0]
+        less = np.maximum(stats[:, 0] - d[np.minimum(stats[:, 0], 3)], 0)
         if level == 1:
-            seen, total = extra[back], m["low"]["total"]
-            share = sum(x * n for x, n in zip(d[1:], m["low"]["levels"], strict=True)) / total if total else 1.0
-            p = (np.maximum(c - d[np.minimum(c, 3)], 0) / total if total else 0) + share / (model.size[1] + 1) + np.zeros(len(c))
+            seen, all_ = extra[back], m["low"]["total"]
+            share = sum(x * n for x, n in zip(d[1:], m["low"]["levels"], strict=True)) / all_ if all_ else 1.0
+            p = ((less / all_ if all_ else less * 0.0) + share / (model.size[1] + 1))[back]
         else:
-            # The context's numbers stand at the token before, or are those of a beginning.
-            follow = np.empty((len(c), 4), np.int64)
-            follow[1:] = context[:-1]
-            follow[before == model.size[level - 1]] = m["begin"][level - 2]
-            total = follow[:, 0]
-            some = total > 0
-            rest = follow[some, 1:] @ d[1:]
-            p[some] = np.maximum(c[some] - d[np.minimum(c[some], 3)], 0) / total[some] + rest / total[some] * p[some]
+            begins = before == model.size[level - 1]
+            first = m["begin"][level - 2]
+            total[begins], rest[begins] = first[0], np.array(first[1:]) @ d[1:]
+            known = total > 0
+            whole = np.where(known, total, 1.0)
+            p = np.where(known, less[back] / whole + rest / whole * p, p)
         if level < order:
-            context = stats[back, 1:]
+            # The context of the next level's grams stands at the token before.
+            up = np.array(m["discounts"][level])
+            total, rest = np.zeros(len(back)), np.zeros(len(back))
+            total[1:], rest[1:] = stats[:, 1][back[:-1]], (stats[:, 2:] @ up[1:])[back[:-1]]
     return np.log10(p), seen
 
 
