@@ -1,4 +1,7 @@
+from collections import Counter
+
 import corpus_pipeline
+import pytest
 from quire.llm import jaccard, packing, quality, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -22,3 +25,43 @@ def test_stages_follow_one_another(spark):
     packed = corpus_pipeline.run(spark, SF).collect()
     want = packing.token_pieces(kept).collect()
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in packed} == {(r.doc_id, r.piece, r.ids_crc32) for r in want}
+
+
+GOOD = " ".join(f"word{i} and more" for i in range(20))
+
+
+def awkward(spark):
+    rows = [(1, GOOD, "en", "a"), (1, GOOD, "en", "a"), (2, GOOD + " x", None, None), (3, None, "en", "a"), (4, "", "en", "b"), (None, GOOD.replace("word", "thing"), "en", "b"), (5, "same words here " * 60, "en", "c"), (6, "long " + " ".join(f"v{i}" for i in range(30_000)), "en", "c"), (7, GOOD.replace("word", "other"), "en", "a"), (8, GOOD.replace("word", "other"), "en", "d")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.selectExpr("*", "7 as score", "'x' as _row", "1 as part", "'y' as cls", "2L as n", "3 as failed", "4 as length")
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    at = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(1, 1, 0), (7, 1, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    awkward(spark).write.parquet(f"{at}/documents.parquet")
+    awkward(spark).limit(0).write.parquet(f"{at}-empty/documents.parquet")
+    spark.read.parquet(f"{at}/labels.parquet").limit(0).write.parquet(f"{at}-empty/labels.parquet")
+    return str(at)
+
+
+def test_stages_with_awkward_rows(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    want = [{1: 2, 2: 1, None: 1, 6: 1, 7: 1, 8: 1}, {1: 2, 2: 1, None: 1, 6: 1, 7: 1, 8: 1}, {1: 2, None: 1, 6: 1, 7: 1}]
+    for (_, stage), kept in zip(corpus_pipeline.STAGES[:3], want, strict=True):
+        columns = docs.columns
+        docs = stage(spark, docs, tables)
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert Counter(r.doc_id for r in rows) == kept
+        assert all(r.score == 7 and r._row == "x" and r.cls == "y" and r.n_chars == len(r.text) for r in rows)
+    packed = corpus_pipeline.STAGES[3][1](spark, docs, tables).collect()
+    assert sum(r.length for r in packed) == sum(r.length for r in packing.token_pieces(docs).collect())
+
+
+def test_stages_of_an_empty_table(spark, tables):
+    docs = spark.read.parquet(f"{tables}-empty/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, f"{tables}-empty").count() == 0
+    assert corpus_pipeline.run(spark, f"{tables}-empty").count() == 0
