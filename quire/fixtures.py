@@ -49,6 +49,28 @@ OBS_SQL = f"""{LINES_SQL}, obs AS (SELECT l_orderkey AS page_id, l_linenumber AS
   CASE WHEN l_tax > 0.01 THEN 1 - l_discount END AS confidence, l_linestatus || ' ' || (l_partkey % 4) AS text FROM lines)"""
 
 
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sources read each place of a page, nearly alike; on one page in eleven the third reads something else."""
+    at = lines(spark, sf_dir)
+    slot, n = F.floor((F.col("l_linenumber") - 1) / 3), (F.col("l_linenumber") - 1) % 3
+    x0 = (10 + F.col("l_orderkey") % 5).cast("double")
+    y0 = (slot * 40 + F.col("l_partkey") % 3).cast("double")
+    said = F.concat(F.lit("Line "), slot.cast("string"), F.lit(" of page "), F.col("l_orderkey").cast("string"))
+    other = F.when(F.col("l_orderkey") % 11 == 0, "## zz qq ww").when(F.col("l_partkey") % 4 == 0, F.replace(said, F.lit("Line"), F.lit("Lime"))).otherwise(F.replace(said, F.lit(" "), F.lit("  ")))
+    return at.select(
+        F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("element_id"), F.concat(F.lit("src"), n.cast("string")).alias("source"),
+        F.when(F.col("l_returnflag") == "A", "title").when(F.col("l_returnflag") == "N", "text").otherwise("unknown").alias("kind"),
+        x0.alias("x0"), y0.alias("y0"), (x0 + 60 + F.col("l_suppkey") % 3).alias("x1"), (y0 + 30).alias("y1"),
+        F.when(F.col("l_tax") > 0.01, 1 - F.col("l_discount")).alias("confidence"), F.when(n == 0, said).when(n == 1, F.upper(said)).otherwise(other).alias("text"),
+    )
+
+
+READ_SQL = f"""{LINES_SQL}, said AS (SELECT *, (l_linenumber - 1) // 3 AS slot, (l_linenumber - 1) % 3 AS n, 'Line ' || ((l_linenumber - 1) // 3) || ' of page ' || l_orderkey AS said FROM lines),
+reads AS (SELECT l_orderkey AS page_id, l_linenumber AS element_id, 'src' || n AS source, CASE WHEN l_returnflag = 'A' THEN 'title' WHEN l_returnflag = 'N' THEN 'text' ELSE 'unknown' END AS kind,
+  (10 + l_orderkey % 5)::DOUBLE AS x0, (slot * 40 + l_partkey % 3)::DOUBLE AS y0, (70 + l_orderkey % 5 + l_suppkey % 3)::DOUBLE AS x1, (slot * 40 + l_partkey % 3 + 30)::DOUBLE AS y1, CASE WHEN l_tax > 0.01 THEN 1 - l_discount END AS confidence,
+  CASE n WHEN 0 THEN said WHEN 1 THEN upper(said) ELSE CASE WHEN l_orderkey % 11 = 0 THEN '## zz qq ww' WHEN l_partkey % 4 = 0 THEN replace(said, 'Line', 'Lime') ELSE replace(said, ' ', '  ') END END AS text, slot, n = 2 AND l_orderkey % 11 = 0 AS odd FROM said)"""
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event is a case that a system ran: its type tells the status, its value the seconds and the score."""
     e = table(spark, sf_dir, "events")

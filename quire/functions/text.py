@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,22 +47,33 @@ def accuracy(distance: Column, reference: Column, candidate: Column) -> Column:
     return F.when(distance.isNotNull(), share)
 
 
-def _edits(a: list, b: list) -> int:
+def edits(a, b) -> int:
+    """Edit distance of two sequences. A column of the table is two bit sets, of where it goes up and where it goes down, so a
+    step over one item of ``b`` is a handful of operations on whole numbers."""
     if len(a) < len(b):
         a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left = row[0]
-        row[0] = i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
+    if not len(b):
+        return len(a)
+    full, last, total = (1 << len(b)) - 1, 1 << (len(b) - 1), len(b)
+    places: dict = {}
+    for i, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << i
+    up, down = full, 0
+    for x in a:
+        same = places.get(x, 0)
+        held = same | down
+        flat = ((same & up) + up) ^ up | held
+        rises, falls = down | ~(flat | up) & full, up & flat
+        total += bool(rises & last) - bool(falls & last)
+        rises, falls = (rises << 1 | 1) & full, falls << 1 & full
+        up, down = falls | ~(held | rises) & full, rises & held
+    return total
 
 
 @F.pandas_udf(T.LongType())
 def sequence_distance(left: pd.Series, right: pd.Series) -> pd.Series:
     """Edit distance of two arrays of strings; null if either is null."""
-    return pd.Series([None if a is None or b is None else _edits(list(a), list(b)) for a, b in zip(left, right, strict=True)], dtype="Int64")
+    return pd.Series([None if a is None or b is None else edits(list(a), list(b)) for a, b in zip(left, right, strict=True)], dtype="Int64")
 
 
 def coerced_confidence(c: Column) -> Column:
@@ -150,3 +163,47 @@ def visible_html(c: Column) -> Column:
         v = F.replace(v, F.lit(mark), F.lit(char))
     lines = F.filter(F.transform(F.split(v, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(lines, "\n")
+
+
+def token(c: Column) -> Column:
+    """A name in lower case without leading dots, hyphens as underscores."""
+    return F.translate(F.regexp_replace(F.lower(F.trim(c)), r"^[.]+", ""), "-", "_")
+
+
+def input_format(c: Column) -> Column:
+    """A format's token; short names of files count under the long ones."""
+    v = token(c)
+    return F.when(v == "jpg", "jpeg").when(v == "tif", "tiff").otherwise(v)
+
+
+def without_roots(c: Column, roots: list[str]) -> Column:
+    """Paths below the given folders reduced to their last name, with either kind of separator."""
+    for root in sorted(roots, key=len, reverse=True):
+        c = F.regexp_replace(c, re.escape(root) + r"""(?:(?:\\{1,2}|/)[^\s'"`,;:)\]}/\\]+)*(?:\\{1,2}|/)([^\s'"`,;:)\]}/\\]+)""", "$1")
+    return c
+
+
+# Characters that structure a formula or are invisible, and signs that stand for one another.
+STRUCTURAL = set("()[]{}|‖⟨⟩⌊⌋⌈⌉∑∏∫∮⋀⋁⋂⋃⨀⨁⨂√―¯‾\u0304\u0305")
+INVISIBLE = set("\u2061\u2062\u2063\u2064\u200b\ufeff")
+GLYPHS = str.maketrans({"−": "-", "⋅": "·", "′": "'", "″": "''", "⁄": "/", "∕": "/", "∖": "\\"})
+
+
+def comparable(text: str) -> str:
+    """The visible characters of a formula in order of their code points, without structure and space."""
+    folded = unicodedata.normalize("NFKC", text).translate(GLYPHS)
+    return "".join(sorted(c for c in folded if not c.isspace() and c not in STRUCTURAL and c not in INVISIBLE))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("status", "left_only", "right_only")]))
+def character_check(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+    """Whether two visible readings have the same characters, and which only one of them has; a missing reading leaves it
+    unanswered."""
+    out = []
+    for a, b in zip(left, right, strict=True):
+        if a is None or b is None:
+            out.append(("unanswered", None, None))
+            continue
+        x, y = Counter(comparable(a)), Counter(comparable(b))
+        out.append(("agree" if x == y else "disagree", "".join(sorted((x - y).elements())), "".join(sorted((y - x).elements()))))
+    return pd.DataFrame(out, columns=["status", "left_only", "right_only"])

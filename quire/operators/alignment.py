@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -119,31 +120,39 @@ def candidates(blocks: DataFrame, units: DataFrame, longest: int = 8, best: int
     return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= best).select("doc_id", "source", "block_index", "first", "end", "score")
 
 
+class _Best:
+    """The best chain that ends at or before a place: a tree of maxima over places, each of which covers a run of them."""
+
+    def __init__(self, size: int, none):
+        self.tree = [none] * (size + 1)
+
+    def until(self, place: int):
+        out = self.tree[0]
+        while place > 0:
+            out = max(out, self.tree[place], key=lambda s: s[0])
+            place &= place - 1
+        return out
+
+    def offer(self, place: int, state) -> None:
+        while place < len(self.tree):
+            if state[0] > self.tree[place][0]:
+                self.tree[place] = state
+            place += place & -place
+
+
 def _choose(rows: list) -> list:
     """The chain of candidates, ascending in block and place, with the greatest sum; ties: more blocks, then the earlier
-    end."""
-    ends, best = [0], [((0.0, 0, 0), None)]  # best chain that ends at or before a place; keys grow with the place
-    by_block: dict = {}
-    for r in rows:
-        by_block.setdefault(r.block_index, []).append(r)
-    for block in sorted(by_block):
-        fresh = {}
-        for r in by_block[block]:
-            k = bisect_right(ends, r.first) - 1
-            (total, n, _), chain = best[k]
-            key = (round(total + r.score, 12), n + 1, -r.end)
-            if r.end not in fresh or key > fresh[r.end][0]:
-                fresh[r.end] = (key, (r, chain))
-        states = dict(zip(ends, best, strict=True))
-        for end, s in fresh.items():
-            if end not in states or s[0] > states[end][0]:
-                states[end] = s
-        ends, best = [], []
-        for end in sorted(states):
-            if not best or states[end][0] > best[-1][0]:
-                ends.append(end)
-                best.append(states[end])
-    out, chain = [], best[-1][1]
+    end. A block's candidates are all judged before any of them is offered to later blocks."""
+    ends = sorted({r.end for r in rows})
+    best = _Best(len(ends), ((0.0, 0, 0), None))
+    for _, own in groupby(sorted(rows, key=lambda r: (r.block_index, r.first, r.end)), key=lambda r: r.block_index):
+        fresh = []
+        for r in own:
+            (total, n, _), chain = best.until(bisect_right(ends, r.first))
+            fresh.append(((round(total + r.score, 12), n + 1, -r.end), (r, chain)))
+        for state in fresh:
+            best.offer(bisect_right(ends, state[1][0].end), state)
+    out, chain = [], best.until(len(ends))[1]
     while chain:
         out.append(chain[0])
         chain = chain[1]

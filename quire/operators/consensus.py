@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalized
 
 def _weight(c: str = "confidence"):
     return F.coalesce(F.col(c), F.lit(0.5))
 
 
-def choose_text(rows: DataFrame, keys: list[str], key_of=lambda c: F.lower(c)) -> DataFrame:
-    """Vote on texts (source, text, confidence): most distinct sources, then sum and maximum of confidence, then the
+def choose_text(rows: DataFrame, keys: list[str], key_of=normalized) -> DataFrame:
+    """Vote on texts (source, text, confidence) by their key (white space and case apart; pass ``folded`` for texts in which
+    composed and decomposed letters mix): most distinct sources, then sum and maximum of confidence, then the
     shortest, then the key; of the winning key the most confident text. Adds chosen_text and votes."""
     rows = rows.where(F.col("text").isNotNull()).withColumn("_key", key_of(F.col("text")))
     groups = rows.groupBy(*keys, "_key").agg(

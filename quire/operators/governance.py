@@ -18,9 +18,11 @@ def assign_splits(samples: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def duplicate_digests(samples: DataFrame) -> DataFrame:
-    """digest, copies and the copies' ids in order, of digests that several samples share."""
-    found = samples.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_list("sample_id")).alias("ids"))
-    return found.where("copies > 1").select("digest", "copies", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("sample_ids"))
+    """digest, copies and sample_id of every sample whose digest others have too: a row a copy, so that a digest of any number
+    of copies is spread over rows."""
+    known = samples.where(F.col("digest").isNotNull())
+    many = known.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return known.select("digest", "sample_id").join(many, "digest").select("digest", "copies", "sample_id")
 
 
 def leakage(samples: DataFrame, key: str) -> DataFrame:

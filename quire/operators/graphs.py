@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from .frames import streamed
 
 
 def vertical_edges(regions: DataFrame, page: str, least: float = 0.2) -> DataFrame:
@@ -18,16 +19,19 @@ def vertical_edges(regions: DataFrame, page: str, least: float = 0.2) -> DataFra
     return met.where(share >= least).select(page, F.col("region_id").alias("src"), F.col("region_id2").alias("dst"), F.greatest(F.lit(0.6), F.least(F.lit(0.95), share)).alias("confidence"))
 
 
-def _layers(pdf: pd.DataFrame, page: str) -> pd.DataFrame:
-    """Kahn's layers of one graph; nodes on or behind a cycle get -1."""
-    nodes = sorted(set(pdf["src"].dropna()) | set(pdf["dst"].dropna()))
-    after: dict = {n: set() for n in nodes}
-    waits = dict.fromkeys(nodes, 0)
-    for s, d in set(zip(pdf["src"], pdf["dst"], strict=True)):
-        if pd.notna(s) and pd.notna(d):
-            after[s].add(d)
+def _layers(edges: set) -> dict:
+    """Layers of one graph by peeling off what waits for nothing; nodes on or behind a cycle get -1."""
+    after: dict = {}
+    waits: dict = {}
+    for s, d in edges:
+        for x in (s, d):
+            if x is not None:
+                after.setdefault(x, [])
+                waits.setdefault(x, 0)
+        if s is not None and d is not None:
+            after[s].append(d)
             waits[d] += 1
-    layer, now, k = dict.fromkeys(nodes, -1), [n for n in nodes if not waits[n]], 0
+    layer, now, k = dict.fromkeys(waits, -1), [n for n, w in waits.items() if not w], 0
     while now:
         nxt = []
         for n in now:
@@ -37,37 +41,38 @@ def _layers(pdf: pd.DataFrame, page: str) -> pd.DataFrame:
                 if not waits[d]:
                     nxt.append(d)
         now, k = nxt, k + 1
-    return pd.DataFrame({page: pdf[page].iloc[0], "node": nodes, "layer": [layer[n] for n in nodes]})
+    return layer
 
 
 def topological_layers(edges: DataFrame, page: str) -> DataFrame:
     """page, node and layer (from 0; -1 on or behind a cycle) of the edges (src, dst); an edge to null adds its node."""
     kinds = dict(edges.dtypes)
-    return edges.select(page, "src", "dst").groupBy(page).applyInPandas(lambda pdf: _layers(pdf, page), f"{page} {kinds[page]}, node {kinds['src']}, layer long")
+    plain = lambda x: None if pd.isna(x) else x
+    work = lambda at, rows: [(at, n, k) for n, k in _layers({(plain(s), plain(d)) for _, s, d in rows}).items()]
+    return streamed(edges.select(page, "src", "dst"), page, work, f"{page} {kinds[page]}, node {kinds['src']}, layer long")
 
 
 def acyclic(edges: DataFrame, page: str) -> DataFrame:
     """The edges in order of confidence (then src, dst), without those that would close a cycle."""
+    names = edges.columns
+    sure, src, dst = (names.index(c) for c in ("confidence", "src", "dst"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(at, rows):
         after: dict = {}
         keep = []
-        for i, (s, d) in zip(pdf.index, zip(pdf["src"], pdf["dst"], strict=True), strict=True):
-            seen, todo = set(), [d]
-            while todo:
+        for r in sorted(rows, key=lambda r: (-r[sure], r[src], r[dst])):
+            seen, todo = set(), [r[dst]]
+            while todo and r[src] not in seen:
                 n = todo.pop()
                 if n not in seen:
                     seen.add(n)
                     todo += after.get(n, ())
-            if s not in seen:
-                after.setdefault(s, set()).add(d)
-                keep.append(i)
-        return pdf.loc[keep]
+            if r[src] not in seen:
+                after.setdefault(r[src], set()).add(r[dst])
+                keep.append(r)
+        return keep
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf.sort_values(["confidence", "src", "dst"], ascending=[False, True, True]).reset_index(drop=True))
-
-    return edges.groupBy(page).applyInPandas(ordered, edges.schema)
+    return streamed(edges, page, work, ", ".join(f"{c} {k}" for c, k in edges.dtypes))
 
 
 def partition_faults(regions: DataFrame, elements: DataFrame, page: str) -> DataFrame:
@@ -79,18 +84,25 @@ def partition_faults(regions: DataFrame, elements: DataFrame, page: str) -> Data
     return out.where("missing + unknown + repeated > 0")
 
 
-def leaf_engines(provenance: DataFrame, depth: int = 8) -> DataFrame:
-    """owner and engine of the leaves of provenance edges (owner, id, parent, engine): an ensemble stands for its
-    contributors. The tree is climbed down ``depth`` levels by self-joins."""
-    now = provenance.where("parent is null")
-    leaves = []
-    for _ in range(depth):
-        kids = provenance.select("owner", F.col("parent").alias("id")).where("id is not null").distinct().withColumn("has", F.lit(True))
-        marked = now.join(kids, ["owner", "id"], "left")
-        leaves.append(marked.where("has is null or lower(engine) <> 'ensemble'").select("owner", F.lower("engine").alias("engine")))
-        up = marked.where("has and lower(engine) = 'ensemble'").select("owner", F.col("id").alias("parent"))
-        now = provenance.join(up, ["owner", "parent"], "left_semi").select(*provenance.columns)
-    out = leaves[0]
-    for x in leaves[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
+def leaf_engines(provenance: DataFrame) -> DataFrame:
+    """owner and engine of the leaves of provenance edges (owner, id, parent, engine): an ensemble stands for its contributors,
+    however deep they lie. What leads back to itself is named ``cycle:`` and its engine. A task holds one owner's tree."""
+    kinds = dict(provenance.dtypes)
+
+    def work(at, rows):
+        below: dict = {}
+        for r in rows:
+            below.setdefault(None if pd.isna(r[2]) else r[2], []).append(r)
+        found, todo = set(), [(r, frozenset()) for r in below.get(None, ())]
+        while todo:
+            (_, i, _, engine), above = todo.pop()
+            kids = below.get(i, ()) if not pd.isna(i) else ()
+            if engine.lower() != "ensemble" or not kids:
+                found.add(engine.lower())
+            elif i in above:
+                found.add(f"cycle:{engine.lower()}")
+            else:
+                todo += [(r, above | {i}) for r in kids]
+        return [(at, e) for e in sorted(found)]
+
+    return streamed(provenance.select("owner", "id", "parent", "engine"), "owner", work, f"owner {kinds['owner']}, engine string")

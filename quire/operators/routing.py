@@ -11,15 +11,21 @@ FALLBACKS = {"ordinary": ["olmocr", "mineru"], "layout": ["paddleocr", "olmocr"]
 COSTS = {"native_pdf": 0.1, "paddleocr": 1.0, "mineru": 2.0, "olmocr": 3.0, "preserve_source": 0.0}
 
 
+# What invoices, statements and papers say, and the shares and pages that tell the other classes.
+INVOICE = r"\b(invoice|invoice number|amount due|bill to)\b"
+STATEMENT = r"\b(balance sheet|cash flows?|income statement|total assets)\b"
+PAPER = r"\b(abstract|methodology|references|doi:)\b"
+
+
 def archetype(text: Column, table_ratio: Column, image_ratio: Column, pages: Column, elements: Column) -> Column:
     """The first class whose rule fits a document."""
     low = F.lower(text)
     boxes = sum((F.contains(text, F.lit(x)).cast("int") for x in ("☐", "☑", "____")), F.lit(0))
     return (
-        F.when(low.rlike(r"\b(invoice|invoice number|amount due|bill to)\b"), "invoice")
-        .when(low.rlike(r"\b(balance sheet|cash flows?|income statement|total assets)\b"), "financial_statement")
+        F.when(low.rlike(INVOICE), "invoice")
+        .when(low.rlike(STATEMENT), "financial-statement")
         .when(table_ratio >= 0.35, "spreadsheet")
-        .when(low.rlike(r"\b(abstract|methodology|references|doi:)\b"), "academic_paper")
+        .when(low.rlike(PAPER), "academic-paper")
         .when(boxes >= 2, "form")
         .when((image_ratio >= 0.35) & (pages <= 4), "brochure")
         .when((pages <= 3) & (image_ratio >= 0.18), "presentation")
@@ -56,10 +62,16 @@ def rank_providers(requests: DataFrame, providers: DataFrame, features: list[str
     """Rank providers (provider, privacy, cost, needs_credentials, modes and boolean features) for requests (request, mode and
     needed features). Score: 1000, 20 for each match, 30 for the mode, 4 a step of privacy, up to 4 for low cost, 2
     without credentials; what lacks something has minus the number it lacks. Compatible ones come first, then by
-    score and name. The providers' table is a small dimension; its size is checked before it is broadcast."""
+    score and name. Every provider is ranked for every request, as that is the result. The providers' table is a small
+    dimension: up to 1,000 are broadcast; more are dealt out by name, and each request goes to every part."""
     small = providers.limit(1001).count() <= 1000
     right = providers.select("provider", "privacy", F.col("cost").alias("_cost"), "needs_credentials", "modes", *[F.col(f).alias(f"has_{f}") for f in features])
-    met = requests.withColumn("_k", F.lit(1)).join((F.broadcast if small else lambda x: x)(right.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    if small:
+        met = requests.crossJoin(F.broadcast(right))
+    else:
+        parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = requests.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        met = each.join(right.withColumn("_part", F.pmod(F.xxhash64("provider"), F.lit(parts)).cast("int")), "_part").drop("_part")
     wants = [(F.col(f), F.col(f"has_{f}")) for f in features] + [(F.col("mode").isNotNull(), F.array_contains("modes", F.col("mode")))]
     matched = sum((F.when(w & h, 1).otherwise(0) for w, h in wants), F.lit(0))
     missing = sum((F.when(w & ~h, 1).otherwise(0) for w, h in wants), F.lit(0))

@@ -53,9 +53,12 @@ def test_query_equals_its_sql(spark, oracle, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_other_queries_give_rows(spark, name):
-    assert catalog.queries()[name](spark, SF).count() >= 0
+#: Queries that SQL cannot express, and where they are held against brute force.
+BY_HAND = {"document_numbers", "markdown_blocks", "matched_elements", "matched_tables", "text_metrics"}
+
+
+def test_queries_without_sql_are_tested_by_hand():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == BY_HAND
 
 
 def test_the_contract_lists_everything(spark):

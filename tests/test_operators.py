@@ -75,7 +75,7 @@ def test_assignment_prefers_more_pairs_then_score():
                 for cols in itertools.permutations(range(m), k):
                     if all(p in scores for p in zip(rows, cols, strict=True)):
                         best = max(best, (k, sum(scores[p] for p in zip(rows, cols, strict=True))))
-        got = matching.assign(scores, n, m)
+        got = matching.assign(scores)
         assert len(got) == best[0] and abs(sum(scores[p] for p in got) - best[1]) < 1e-9
 
 
@@ -173,7 +173,7 @@ def test_relationships_and_matching(spark):
     shape = "page_id int, element_id int, kind string, x0 double, y0 double, x1 double, y1 double, text string, reading_order int"
     a = [(1, i, "text", 0.0, 20.0 * i, 50.0, 20.0 * i + 10, f"line {i}", i) for i in range(4)]
     b = [(1, 10 + i, "text", 1.0, 20.0 * i, 51.0, 20.0 * i + 10, f"line {i}", i) for i in range(3)] + [(1, 20, "table", 0.0, 60.0, 50.0, 70.0, "line 3", 3)]
-    got = sorted((r.reference_id, r.candidate_id) for r in matching.match_elements(spark.createDataFrame(a, shape), spark.createDataFrame(b, shape)).collect())
+    got = sorted((r.reference_id, r.candidate_id) for r in matching.match_elements(spark.createDataFrame(a, shape), spark.createDataFrame(b, shape), 100.0, 100.0).collect())
     assert got == [(0, 10), (1, 11), (2, 12)]
 
 

@@ -13,7 +13,7 @@ NUMBER = re.compile(r"(?<![\w.])[+\-−]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?"
 def test_numbers_of_all_documents(spark, tmp_path):
     texts = ["2021-05-17", "1,000 or 12,345.5%", "10-20", "−5 +7 --8", "é5 and é 5", "555 1234", "1 2 3", "v1.2 3.4.5", "", None, "none"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.n_numbers for r in catalog.queries()["all_document_numbers"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.n_numbers for r in catalog.queries()["document_numbers"](spark, str(tmp_path)).collect()}
     assert got == {i: len(NUMBER.findall(x or "")) for i, x in enumerate(texts)}
     assert got[0] == 3 and got[1] == 2
     assert catalog.queries()["document_numbers"](spark, str(tmp_path)).count() < len(texts)
