@@ -247,9 +247,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = SCALE
 
     def ranked(found: DataFrame) -> DataFrame:
         best = found.groupBy("query_id", "vec_id", "variant").agg(F.max("copies").alias("copies"), F.max("score").alias("score"))
-        each = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k)))))
-        w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "variant", "copy")
-        return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        order = [F.col("score").desc(), F.col("vec_id"), F.col("variant")]
+        w = Window.partitionBy("query_id").orderBy(*order)
+        # Equal rows are told apart only as far as ranks need them.
+        first = best.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+        before = F.coalesce(F.sum("copies").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        first = first.withColumn("_before", before).where(F.col("_before") < k)
+        each = first.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k) - F.col("_before")))))
+        return each.withColumn("rank", (F.col("_before") + F.col("copy")).cast("int")).where(F.col("rank") <= k)
 
     def meet(own: DataFrame, spread: DataFrame, number: str) -> DataFrame:
         """Every row of ``own`` with every row of ``spread`` of its dimension: ``own`` is dealt out by its number, and
