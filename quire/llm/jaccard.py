@@ -59,7 +59,8 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = 1 << 17, within: int
                 yield pa.RecordBatch.from_arrays([pa.array(every[top].view(np.int64)), pa.array(n[top])], names=["h", "n"])
 
     rows = _texts(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "h").limit(most)
-    got = rows.toArrow()
+    with shared.small_batches(docs.sparkSession):
+        got = rows.toArrow()
     return got.column("h").to_numpy().view(np.uint64)[::-1].copy()
 
 

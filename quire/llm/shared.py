@@ -61,7 +61,18 @@ def deal(blocks: DataFrame, shards: int) -> DataFrame:
     return blocks.repartitionById(parts, at).sortWithinPartitions("shard")
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m"):
+    """While an action runs, batches between Spark and Python hold about ``size``; the session's own setting comes back."""
+    before = spark.conf.get(BYTES)
+    spark.conf.set(BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(BYTES, before)
 
 
 class Workspace:
@@ -81,7 +92,8 @@ class Workspace:
         """Write ``df`` as Parquet and return the table read back: this cuts the lineage, and a lost
         executor costs only a new read."""
         at = self.path(name)
-        df.write.parquet(at)
+        with small_batches(self.spark):
+            df.write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._quire_path = at
         return out
