@@ -11,7 +11,7 @@ from .functions import ids
 from .functions import text as t
 from .operators import benchmarks, consensus, governance, graphs, markup, matching, metrics, routing, sequences
 from .plans import fusion
-from .queries import evidence, frames, payloads, revision, scoring, topology  # noqa: F401
+from .queries import documents, evidence, frames, payloads, results, revision, scoring, topology  # noqa: F401
 from .registry import QUERIES, SQL, query
 from .sources import sinks, sniff
 

@@ -84,3 +84,29 @@ def rotate(b: Box, rotation: Column, width: Column, height: Column) -> Box:
         pick(b[2], height - b[1], width - b[0], b[3]),
         pick(b[3], b[2], height - b[1], width - b[0]),
     )
+
+
+def union(a: Box, b: Box) -> Box:
+    return F.least(a[0], b[0]), F.least(a[1], b[1]), F.greatest(a[2], b[2]), F.greatest(a[3], b[3])
+
+
+def pixel_iou(a: Box, b: Box) -> Column:
+    """Shared over joint area of pixel boxes; two boxes without area are alike."""
+    joint = area(a) + area(b) - overlap(a, b)
+    return F.when(joint == 0, 1.0).otherwise(overlap(a, b) / joint)
+
+
+def normalized_box(b: Box, width: Column, height: Column) -> Box:
+    """A box as shares of its page, held within 0 and 1, to eight digits."""
+    return tuple(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c / size)), 8) for c, size in zip(b, (width, height, width, height), strict=True))  # type: ignore[return-value]
+
+
+def clipped(b: Box, width: Column, height: Column) -> Box:
+    """The part of a box that lies on its page; nulls without any."""
+    x0, y0, x1, y1 = (F.least(size, F.greatest(F.lit(0.0), c)) for c, size in zip(b, (width, height, width, height), strict=True))
+    return tuple(F.when((x1 > x0) & (y1 > y0), c) for c in (x0, y0, x1, y1))  # type: ignore[return-value]
+
+
+def scaled(b: Box, source: tuple[int, int], target: tuple[int, int]) -> Box:
+    """A pixel box on a page of another size, in whole pixels."""
+    return tuple(F.round(c * target[i % 2] / source[i % 2]) for i, c in enumerate(b))  # type: ignore[return-value]

@@ -58,6 +58,12 @@ def route(elements: DataFrame, threshold: float = 0.75) -> DataFrame:
     return rows.withColumns({"primary": F.col("_line")[0], "fallbacks": F.slice("_line", 2, 2), "action": action, "cost": cost}).drop("_line")
 
 
+def plan_totals(tasks: DataFrame, keys: list[str], available: list[str]) -> DataFrame:
+    """Of the tasks of a plan their number, their cost together, and the distinct primary providers that are not there."""
+    gone = F.when(~F.col("primary").isin(*available), F.col("primary"))
+    return tasks.groupBy(*keys).agg(F.count(F.lit(1)).alias("tasks"), F.sum("cost").alias("cost"), F.array_sort(F.collect_set(gone)).alias("unavailable"))
+
+
 def rank_providers(requests: DataFrame, providers: DataFrame, features: list[str]) -> DataFrame:
     """Rank providers (provider, privacy, cost, needs_credentials, modes and boolean features) for requests (request, mode and
     needed features). Score: 1000, 20 for each match, 30 for the mode, 4 a step of privacy, up to 4 for low cost, 2

@@ -96,3 +96,16 @@ def anchors(blocks: DataFrame, found: DataFrame, key: str, place: str) -> DataFr
     """Blocks whose key occurs once among the blocks and once among the places: what later matches may be bound by."""
     one = lambda d, c: d.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(c).alias(c)).where("_n = 1").drop("_n")
     return one(blocks, "block_id").join(one(found, place), key)
+
+
+def numbered(rows: DataFrame, document: str, page: str, element: str = "element_id") -> DataFrame:
+    """Add place (from 0 in the page: by reading_order, unknown ones last, then as the source has them) and ordinal (from 0 in
+    the document, as the source has them)."""
+    place = F.row_number().over(Window.partitionBy(page).orderBy(F.col("reading_order").asc_nulls_last(), element)) - 1
+    ordinal = F.row_number().over(Window.partitionBy(document).orderBy(page, element)) - 1
+    return rows.withColumns({"place": place.cast("long"), "ordinal": ordinal.cast("long")})
+
+
+def smoothed(rows: DataFrame, keys: list[str], order: str, value: str, reach: int, name: str) -> DataFrame:
+    """Add the mean of a value over up to ``reach`` rows before and after each."""
+    return rows.withColumn(name, F.avg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-reach, reach)))

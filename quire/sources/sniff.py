@@ -130,7 +130,7 @@ def google_paragraphs(payloads: DataFrame) -> DataFrame:
     start = lambda s: F.coalesce(s["startIndex"].try_cast("int"), F.lit(0))
     cut = F.array_join(F.transform(anchor["textSegments"], lambda s: F.substring(F.col("whole"), start(s) + 1, s["endIndex"].try_cast("int") - start(s))), "")
     at = lambda c, pick, size: pick(F.transform(corners, lambda v: F.coalesce(v[c], F.lit(0.0)))) * F.col(f"dimension.{size}")
-    return rows.select("doc_id", "page_number", F.concat(F.lit("p"), F.col("page_number"), F.lit("-"), F.col("n")).alias("element_id"), F.lit("paragraph").alias("kind"), at("x", F.array_min, "width").alias("x0"), at("y", F.array_min, "height").alias("y0"), at("x", F.array_max, "width").alias("x1"), at("y", F.array_max, "height").alias("y1"), F.trim(F.coalesce(anchor["content"], cut)).alias("text"), F.col("p.layout.confidence").alias("confidence"))
+    return rows.select("doc_id", "page_number", F.concat(F.lit("p"), F.col("page_number"), F.lit("-"), F.col("n")).alias("element_id"), F.lit("paragraph").alias("kind"), at("x", F.array_min, "width").alias("x0"), at("y", F.array_min, "height").alias("y0"), at("x", F.array_max, "width").alias("x1"), at("y", F.array_max, "height").alias("y1"), F.regexp_replace(F.coalesce(anchor["content"], cut), r"^\s+|\s+$", "").alias("text"), F.col("p.layout.confidence").alias("confidence"))
 
 
 def contour_lines(payloads: DataFrame) -> DataFrame:
@@ -166,7 +166,8 @@ def canonical(payloads: DataFrame) -> DataFrame:
 
 def normalize(payloads: DataFrame) -> DataFrame:
     """Elements of all payloads (doc_id, payload) whose schema is known; the others give no rows."""
-    rows = detect(payloads)
+    # The array keeps detection and parsing above the payloads: inlined, what makes a payload would be worked out for each rule.
+    rows = detect(payloads.select("doc_id", F.explode(F.array("payload")).alias("payload")))
     parts = [
         textract(rows.where("provider = 'aws_textract'")),
         recognition_arrays(rows.where("provider = 'paddleocr'")),
