@@ -14,45 +14,62 @@ TEXTS = ("natural_text", "text", "content", "markdown", "value", "rec_text")
 
 
 def _number(c: Column) -> Column:
-    v = c.try_cast("double")
-    return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    """The finite number that a value states, else null; the value is worked out once."""
+    return F.get(F.filter(F.array(c.try_cast("double")), lambda v: ~F.isnan(v) & (F.abs(v) != float("inf"))), F.lit(0))
 
 
 def _at(payload: Column, path: str) -> Column:
     return F.get_json_object(payload, path)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value worked out once a row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _ordered(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """A box with its corners in order; null unless all are numbers."""
-    box = F.struct(F.least(x0, x1).alias("x0"), F.least(y0, y1).alias("y0"), F.greatest(x0, x1).alias("x1"), F.greatest(y0, y1).alias("y1"))
-    return F.when(x0.isNotNull() & y0.isNotNull() & x1.isNotNull() & y1.isNotNull(), box)
+    at = lambda v, pick, i: pick(F.get(v, F.lit(i)), F.get(v, F.lit(i + 2)))
+    box = lambda v: F.struct(at(v, F.least, 0).alias("x0"), at(v, F.least, 1).alias("y0"), at(v, F.greatest, 0).alias("x1"), at(v, F.greatest, 1).alias("y1"))
+    return _once(F.array(x0, y0, x1, y1), lambda v: F.when(~F.exists(v, lambda x: x.isNull()), box(v)))
+
+
+def _extent(xs: Column, ys: Column) -> Column:
+    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
 def _from_list(value: Column) -> Column:
-    """A box from four numbers, from flat pairs or from points."""
-    flat = F.transform(F.from_json(value, "array<double>"), _number)
-    points = F.filter(F.transform(F.from_json(value, "array<array<double>>"), lambda p: F.struct(_number(F.get(p, F.lit(0))).alias("x"), _number(F.get(p, F.lit(1))).alias("y"))), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    side = lambda odd: F.filter(flat, lambda v, i: i % 2 == odd)
-    whole = (F.size(flat) >= 6) & (F.size(flat) % 2 == 0) & ~F.exists(flat, lambda v: v.isNull())
-    even = F.when(whole, F.struct(F.array_min(side(0)).alias("x0"), F.array_min(side(1)).alias("y0"), F.array_max(side(0)).alias("x1"), F.array_max(side(1)).alias("y1")))
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    some = F.when((F.size(points) > 0) & value.rlike(r"^\s*\[\s*\["), F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")))
-    four = F.when((F.size(flat) == 4) & ~value.rlike(r"^\s*\[\s*\["), _ordered(*[F.get(flat, F.lit(i)) for i in range(4)]))
-    return F.coalesce(some, four, even)
+    """A box from four numbers, from three flat pairs or more, or from three points or more, of which those that are no numbers
+    are left out."""
+
+    def from_flat(flat: Column) -> Column:
+        side = lambda odd: F.filter(flat, lambda v, i: i % 2 == odd)
+        whole = (F.size(flat) >= 6) & (F.size(flat) % 2 == 0) & ~F.exists(flat, lambda v: v.isNull())
+        return F.when(F.size(flat) == 4, _ordered(*[F.get(flat, F.lit(i)) for i in range(4)])).when(whole, _extent(side(0), side(1)))
+
+    def from_points(points: Column) -> Column:
+        known = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+        some = F.when((F.size(points) >= 3) & ~F.exists(points, lambda p: F.coalesce(p["n"], F.lit(0)) < 2), known)
+        return _once(some, lambda k: F.when(F.size(k) > 0, _extent(F.transform(k, lambda p: p["x"]), F.transform(k, lambda p: p["y"]))))
+
+    numbers = F.transform(F.from_json(value, "array<string>"), _number)
+    pairs = F.transform(F.from_json(value, "array<array<string>>"), lambda p: F.struct(F.size(p).alias("n"), _number(F.get(p, F.lit(0))).alias("x"), _number(F.get(p, F.lit(1))).alias("y")))
+    return F.when(value.rlike(r"^\s*\[\s*\["), _once(pairs, from_points)).otherwise(_once(numbers, from_flat))
+
+
+def _by_names(value: Column) -> list[Column]:
+    """Boxes by named corners, then by place and size."""
+    sized = lambda v: _ordered(v["x"], v["y"], v["x"] + v["w"], v["y"] + v["h"])
+    placed = F.struct(*[_number(_at(value, f"$.{c}")).alias(c[0]) for c in ("x", "y", "width", "height")])
+    return [*[_ordered(*[_number(_at(value, f"$.{c}")) for c in names]) for names in CORNERS], _once(placed, sized)]
 
 
 def coerced_box(payload: Column) -> Column:
     """The box (struct of x0, y0, x1, y1; null if none) that a JSON value states: by corners, by place and size, by a list of
     four numbers, flat pairs or points, or by any of these one level down."""
-    direct = [_ordered(*[_number(_at(payload, f"$.{c}")) for c in names]) for names in CORNERS]
-    x, y, w, h = (_number(_at(payload, f"$.{c}")) for c in ("x", "y", "width", "height"))
-    direct.append(_ordered(x, y, x + w, y + h))
-    below = []
-    for name in HOLDERS:
-        inner = _at(payload, f"$.{name}")
-        below += [_ordered(*[_number(_at(inner, f"$.{c}")) for c in names]) for names in CORNERS]
-        below.append(_from_list(inner))
-    return F.coalesce(*direct, *below, _from_list(payload))
+    inner = lambda value: F.when(value.isNotNull(), F.coalesce(*_by_names(value), _from_list(value)))
+    whole = lambda value: F.coalesce(*_by_names(value), *[_once(_at(value, f"$.{name}"), inner) for name in HOLDERS], _from_list(value))
+    return _once(payload, whole)
 
 
 def joined_pieces(pieces: Column, separator: str = "\n") -> Column:

@@ -38,6 +38,28 @@ def _rules() -> list[tuple[str, Column, float]]:
     ]
 
 
+# Of these names a payload of the schema holds at least one, by the rules above.
+NEEDED = {
+    "aws_textract": ("Blocks",),
+    "paddleocr": ("rec_texts", "ocr_results"),
+    "mistral_ocr": ("pages",),
+    "azure_document_intelligence": ("analyzeResult", "pages"),
+    "google_document_ai": ("pages",),
+    "mathpix": ("lines",),
+    "mineru": ("pdf_info", "_backend", "para_blocks", "content_list"),
+    "olmocr": ("natural_text", "completion"),
+    "canonical": ("pages",),
+}
+
+
+def _may_be(provider: str) -> Column:
+    """Whether a payload can be of the schema, by its letters alone; names may be spelled with escapes."""
+    c = F.col("payload").contains("\\u")
+    for name in NEEDED[provider]:
+        c = c | F.col("payload").contains(name)
+    return c
+
+
 def detect(payloads: DataFrame) -> DataFrame:
     """Add provider (null below the threshold), confidence and ambiguous (a second schema within the margin) to rows with a
     JSON text ``payload``. A payload that is no JSON has confidence 0."""
@@ -167,17 +189,21 @@ def canonical(payloads: DataFrame) -> DataFrame:
 def normalize(payloads: DataFrame) -> DataFrame:
     """Elements of all payloads (doc_id, payload) whose schema is known; the others give no rows."""
     # The array keeps detection and parsing above the payloads: inlined, what makes a payload would be worked out for each rule.
-    rows = detect(payloads.select("doc_id", F.explode(F.array("payload")).alias("payload")))
+    whole = payloads.select("doc_id", F.explode(F.array("payload")).alias("payload"))
+
+    def of(provider: str) -> DataFrame:
+        return detect(whole.where(_may_be(provider))).where(F.col("provider") == provider)
+
     parts = [
-        textract(rows.where("provider = 'aws_textract'")),
-        recognition_arrays(rows.where("provider = 'paddleocr'")),
-        page_texts(rows.where("provider = 'mistral_ocr'"), "$.pages", "markdown"),
-        azure_paragraphs(rows.where("provider = 'azure_document_intelligence'")),
-        google_paragraphs(rows.where("provider = 'google_document_ai'")),
-        contour_lines(rows.where("provider = 'mathpix'")),
-        content_lists(rows.where("provider = 'mineru'")),
-        natural_texts(rows.where("provider = 'olmocr'")),
-        canonical(rows.where("provider = 'canonical'")),
+        textract(of("aws_textract")),
+        recognition_arrays(of("paddleocr")),
+        page_texts(of("mistral_ocr"), "$.pages", "markdown"),
+        azure_paragraphs(of("azure_document_intelligence")),
+        google_paragraphs(of("google_document_ai")),
+        contour_lines(of("mathpix")),
+        content_lists(of("mineru")),
+        natural_texts(of("olmocr")),
+        canonical(of("canonical")),
     ]
     out = parts[0]
     for p in parts[1:]:

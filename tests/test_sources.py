@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire import plugins
 from quire.fixtures import observations
 from quire.operators import evidence, frames, revision, scoring, topology
-from quire.sources import payloads, tables, word
+from quire.sources import payloads, sniff, tables, word
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,3 +113,40 @@ def test_empty_tables_give_no_rows(spark):
     assert frames.page_components(rows.select("page_id", F.col("element_id").alias("a"), F.col("element_id").alias("b")), "page_id").count() == 0
     assert revision.row_gaps(rows.withColumn("block_index", F.lit(1)), ["page_id"], F.lit(1.0)).count() == 0
     assert scoring.page_texts(rows.withColumns({"reading_order": F.lit(None).cast("int"), "position": F.lit(1), "doc": F.lit(1)}), "doc", "page_id").count() == 0
+
+
+def test_boxes_stated_in_many_ways(spark):
+    box = (1.0, 2.0, 5.0, 9.0)
+    stated = {
+        '{"x0":5,"y0":"9","x1":1,"y1":2}': box,
+        '{"x":1,"y":2,"width":4,"height":7}': box,
+        '{"bbox":{"left":1,"top":2,"right":5,"bottom":9}}': box,
+        '{"coordinates":[1,2,5,2,5,9,1,9]}': box,
+        '{"bbox":{"x":1,"y":"2","width":4,"height":7}}': box,
+        '{"poly":[[1,9],[5,2],["x",3]]}': box,
+        '{"poly":[["1",9],[5,2,8],[3,3],[4,4]]}': box,
+        '{"poly":[[1,9],[5,2],[3]]}': None,
+        '{"poly":[[1,9],[5,2]]}': None,
+        "[5,9,1,2]": box,
+        " [ [1,2],[5,9],[2,2]]": box,
+        '["1","2","5","9"]': box,
+        '{"bbox":[1,2,3],"box":[1,2,5,9]}': box,
+        '{"x0":1,"y0":2,"x1":"NaN","y1":9}': None,
+        '{"x0":1,"y0":2,"x1":"Infinity","y1":9}': None,
+        '{"bbox":null}': None,
+        '{"bbox":[]}': None,
+        "[1,2,null,4]": None,
+        "{}": None,
+        "no JSON": None,
+        "": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(p,) for p in stated], "payload string")
+    got = {r.payload: tuple(r.b) if r.b else None for r in rows.select("payload", payloads.coerced_box(F.col("payload")).alias("b")).collect()}
+    assert got == stated
+
+
+def test_schemas_are_known_by_escaped_names_too(spark):
+    said = [("a", '{"natur\\u0061l_text":"t"}'), ("b", '{"natural_text":"t"}'), ("c", "{}"), ("d", None), ("e", "")]
+    rows = sniff.normalize(spark.createDataFrame(said, "doc_id string, payload string")).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [("a", "t"), ("b", "t")]
