@@ -1,23 +1,26 @@
 """Exact top-k inner products by norm buckets.
 
-Vectors are put into buckets of like length, longest first, and packed as matrices. Bounded blocks of queries
-meet every bucket. A first pass over a few buckets gives each query a lower bound on its k-th score. With it
-a bucket has a local cosine threshold for each query: over 1, the bucket is left out; else either the vectors
-that are too short for the query are cut off (length pruning), or, where the threshold is high, those whose
-coordinates along the query's largest components lie outside their feasible ranges (coordinate pruning). All
-that is left is verified with exact products.
+Vectors are put into buckets of like length, longest first, and packed as matrices in files of the shared folder.
+Each task owns some queries and reads the buckets from the longest on, keeping each query's best k so far: its k-th
+score bounds what can still count. With it a bucket has a local cosine threshold for each query: over 1, the bucket
+is left out; else either the vectors that are too short for the query are cut off (length pruning), or, where the
+threshold is high, those whose coordinates along the query's largest components lie outside their feasible ranges
+(coordinate pruning). All that is left is verified with exact products. Neither queries nor buckets are copied by a
+shuffle or a broadcast to meet each other.
 """
 
 from __future__ import annotations
 
+from itertools import groupby, islice
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, listed, mapped, writing
 
-_BLOCK = "kind string, number int, dim int, ids binary, vectors binary"
 SCALE = 64.0
 
 
@@ -42,42 +45,47 @@ WHO = ("vec_id", "variant", "copies")
 """What names a distinct row in a block: its id, a hash of its vector, and how many equal rows there are."""
 
 
-def _pack(size: int, kind: str):
-    """Blocks of up to ``size`` vectors of one dimension, in the order in which they come."""
+def _pack(size: int, folder: str):
+    """Write the rows, which come by dimension and length, in buckets of up to ``size``: a file for each dimension of a task."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 16
-        held: dict[int, tuple[list, list]] = {}
-        blocks = []
-
-        def close(dim):
-            nonlocal number
-            ids, rows = held.pop(dim)
-            blocks.append((kind, number, dim, np.array(ids, "<i8").tobytes(), b"".join(rows)))
-            number += 1
+        part = TaskContext.get().partitionId()
+        names = ("dim", *WHO, "vector")
+        each = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in names], strict=True))
+        for dim, rows in groupby(each, itemgetter(0)):
+            n = 0
+            with writing(f"{folder}/{dim}/{part:08d}") as f:
+                while some := list(islice(rows, size)):
+                    f.write(_framed(np.array([r[1:-1] for r in some], "<i8"), np.frombuffer(b"".join(r[-1] for r in some), "<f8")))
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([n], pa.int64())], names=["dim", "buckets"])
 
-        def out():
-            done, blocks[:] = list(blocks), []
-            return pa.RecordBatch.from_arrays([pa.array([b[c] for b in done], t) for c, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "number", "dim", "ids", "vectors"])
+    return run
 
-        for batch in batches:
-            for *i, row in zip(*[batch.column(c).to_pylist() for c in (*WHO, "vector")], strict=True):
-                dim = len(row) // 8
-                ids, rows = held.setdefault(dim, ([], []))
-                ids.append(i)
-                rows.append(row)
-                if len(ids) == size:
-                    close(dim)
-            if blocks:
-                yield out()
-        for dim in list(held):
-            close(dim)
-        if blocks:
-            yield out()
 
-    return run
+def _framed(ids: np.ndarray, values: np.ndarray) -> bytes:
+    """A bucket as bytes: rows, width of a value, ids, values in the narrowest type that holds them exactly."""
+    most = np.abs(values).max(initial=0)
+    kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
+    return np.array([len(ids), np.dtype(kind).itemsize], "<i8").tobytes() + ids.tobytes() + values.astype(kind).tobytes()
+
+
+def _buckets(folder: str, dim: int, first: int, step: int):
+    """The buckets of a dimension with numbers ``first``, ``first + step`` and so on, longest first."""
+    number = 0
+    for name in listed(f"{folder}/{dim}"):
+        data, at = mapped(f"{folder}/{dim}/{name}"), 0
+        while at < len(data):
+            n, width = np.frombuffer(data, "<i8", 2, at).tolist()
+            at += 16
+            if number % step == first:
+                ids = np.frombuffer(data, "<i8", n * len(WHO), at).reshape(n, len(WHO))
+                values = np.frombuffer(data, {2: "<i2", 4: "<i4", 8: "<f8"}[width], n * dim, at + ids.nbytes)
+                yield Bucket(ids, values.astype(np.float64).reshape(n, dim))
+            at += n * (8 * len(WHO) + width * dim)
+            number += 1
 
 
 def _exact(q: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -96,8 +104,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     if len(scores) > 4 * k:
         edge = np.partition(scores, len(scores) - k)[len(scores) - k]
         some = np.flatnonzero(scores >= edge)
-        return some[np.lexsort((ids[some], -scores[some]))[:k]]
-    return np.lexsort((ids, -scores))[:k]
+        return some[np.lexsort((ids[some], ~scores[some]))[:k]]
+    return np.lexsort((ids, ~scores))[:k]
 
 
 class Fold:
@@ -117,11 +125,11 @@ class Fold:
     def settle(self) -> None:
         rows = np.concatenate(self.parts) if self.parts else np.empty((0, len(_FOUND)), np.int64)
         # A query whose id has several vectors meets a candidate several times: its best score counts.
-        rows = rows[np.lexsort((-rows[:, 4], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        rows = rows[np.lexsort((~rows[:, 4], rows[:, 2], rows[:, 1], rows[:, 0]))]
         first = np.ones(len(rows), bool)
         first[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
         rows = rows[first]
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], -rows[:, 4], rows[:, 0]))]
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], ~rows[:, 4], rows[:, 0]))]
         heads = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.empty(0, np.int64)
         place = np.arange(len(rows)) - np.repeat(heads, np.diff([*heads.tolist(), len(rows)]))
         self.parts = [rows[place < self.k]]
@@ -133,21 +141,32 @@ class Fold:
 
 
 class Bucket:
-    """A packed bucket with its unit vectors and, when first needed, sorted coordinates."""
+    """A packed bucket and, when first needed, its unit vectors and sorted coordinates."""
 
     def __init__(self, ids: np.ndarray, p: np.ndarray):
         self.norm = np.sqrt((p * p).sum(1))
         order = np.argsort(-self.norm, kind="stable")
         self.ids, self.p, self.norm = ids[order], p[order], self.norm[order]
-        self.unit = self.p / np.maximum(self.norm, 1e-300)[:, None]
+        self.unit: np.ndarray | None = None
         self.sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def coordinate(self, f: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.unit is None:
+            self.unit = self.p / np.maximum(self.norm, 1e-300)[:, None]
         if f not in self.sorted:
             order = np.argsort(self.unit[:, f])
             self.sorted[f] = (order, self.unit[order, f])
         return self.sorted[f]
 
+    def split(self, norms: np.ndarray, bounds: np.ndarray, steep: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which queries leave the bucket out, and which need all of it, as no vector is too short."""
+        with np.errstate(all="ignore"):
+            reach = norms * self.norm[0]
+            cosine = np.where(reach > 0, bounds / reach - 1e-9, np.inf)
+            shortest = (bounds / norms) * (1 - 1e-9)
+        free = (bounds <= 0) | (norms == 0)
+        return ~free & (cosine > 1), free | (cosine < steep) & (shortest <= self.norm[-1])
+
     def candidates(self, q: np.ndarray, norm: float, bound: float, steep: float, focus: int) -> np.ndarray | slice:
         """Which vectors can reach the score ``bound`` with query ``q``."""
         if bound <= 0 or norm == 0 or not len(self.norm):
@@ -176,54 +195,84 @@ class Bucket:
 _FOUND = [(c, pa.int64()) for c in ("query_id", *WHO, "score")]
 
 
-def _search(k: int, steep: float, focus: int, bounded: bool):
-    """Blocks of queries against buckets: each query's best k within the bucket (all that could be among its best)."""
+class Best:
+    """The best k candidates so far of each of some queries."""
+
+    def __init__(self, own: np.ndarray, k: int):
+        self.own, self.k, self.size = own, k, np.zeros(len(own), np.int64)
+        self.scores, self.who = np.zeros((len(own), k), np.int64), np.zeros((len(own), k, len(WHO)), np.int64)
+        # What is under ``low``, or equals it with an id over ``last``, is not among the best.
+        self.low, self.last = np.full(len(own), -(2**63), np.int64), np.full(len(own), 2**63 - 1, np.int64)
+
+    def add(self, j: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        some = np.flatnonzero(scores >= self.low[j])
+        some = some[((scores[some] > self.low[j]) | (ids[some, 0] <= self.last[j])) & (ids[some, 0] != self.own[j])]
+        if not len(some):
+            return
+        n = self.size[j]
+        scores, ids = np.concatenate([self.scores[j, :n], scores[some]]), np.concatenate([self.who[j, :n], ids[some]])
+        best = _best(scores, ids[:, 0], self.k)
+        n = self.size[j] = len(best)
+        self.scores[j, :n], self.who[j, :n] = scores[best], ids[best]
+        if n == self.k:
+            self.low[j], self.last[j] = scores[best[-1]], ids[best[-1], 0]
+
+    def rows(self) -> np.ndarray:
+        j, place = np.nonzero(np.arange(self.k) < self.size[:, None])
+        return np.column_stack([self.own[j], self.who[j, place], self.scores[j, place]])
+
+
+_FOUND = [(c, pa.int64()) for c in ("query_id", *WHO, "score")]
+
+
+def _search(k: int, steep: float, focus: int, block: int, folder: str, slices: int):
+    """Queries against every ``slices``-th bucket of their dimension, from the longest on: each query's best k."""
+
+    def meet(dim: int, slice_: int, ids: list[int], rows: list[bytes]) -> np.ndarray:
+        q = np.frombuffer(b"".join(rows), "<f8").reshape(len(ids), dim)
+        norms, best = np.sqrt((q * q).sum(1)), Best(np.array(ids, np.int64), k)
+        for bucket in _buckets(folder, dim, slice_, slices):
+            out, whole = bucket.split(norms, best.low, steep)
+            if out.all():
+                break  # what follows is no longer
+            for j in np.flatnonzero(~out & ~whole).tolist():
+                some = bucket.candidates(q[j], float(norms[j]), float(best.low[j]), steep, focus)
+                if not isinstance(some, slice) and 2 * len(some) > len(bucket.ids):
+                    whole[j] = True
+                elif len(near := bucket.ids[some]):
+                    best.add(j, _exact(q[j : j + 1], bucket.p[some])[0], near)
+            plain = np.flatnonzero(whole)
+            for a in range(0, len(plain), 64):
+                rows_ = plain[a : a + 64]
+                scores = _exact(q[rows_], bucket.p)
+                for i in np.flatnonzero(scores.max(1) >= best.low[rows_]).tolist():
+                    best.add(rows_[i], scores[i], bucket.ids)
+        return best.rows()
 
     def run(batches):
-        last, bucket, fold = None, None, Fold(k)
-        for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                if last != (row["number"], dim):
-                    ids = np.frombuffer(row["ids"], "<i8").reshape(-1, len(WHO))
-                    bucket, last = Bucket(ids, np.frombuffer(row["vectors"], "<f8").reshape(len(ids), dim)), (row["number"], dim)
-                q_ids = np.frombuffer(row["q_ids"], "<i8").reshape(-1, len(WHO))[:, 0]
-                q = np.frombuffer(row["q_vectors"], "<f8").reshape(len(q_ids), dim)
-                norms = np.sqrt((q * q).sum(1))
-                bounds = np.frombuffer(row["bounds"], "<i8") if bounded else np.full(len(q_ids), -(2**63), np.int64)
-                out: list[np.ndarray] = []
-                plain = []
-                for j in range(len(q_ids)):
-                    some = bucket.candidates(q[j], float(norms[j]), float(bounds[j]), steep, focus)
-                    if isinstance(some, slice):
-                        n = len(range(*some.indices(len(bucket.ids))))
-                        if n == len(bucket.ids):
-                            plain.append(j)
-                            continue
-                    elif 2 * len(some) > len(bucket.ids):
-                        plain.append(j)
-                        continue
-                    ids = bucket.ids[some]
-                    if len(ids):
-                        out.append(_kept(q_ids[j], _exact(q[j : j + 1], bucket.p[some])[0], ids, bounds[j], k))
-                for a in range(0, len(plain), 64):
-                    rows = plain[a : a + 64]
-                    for j, scores in zip(rows, _exact(q[rows], bucket.p), strict=True):
-                        out.append(_kept(q_ids[j], scores, bucket.ids, bounds[j], k))
-                if out and (full := fold.add(np.concatenate(out))):
+        fold, held, n = Fold(k), {}, 0
+
+        def swept():
+            for (dim, slice_), (ids, rows) in held.items():
+                if full := fold.add(meet(dim, slice_, ids, rows)):
                     yield full
+            held.clear()
+
+        for batch in batches:
+            for dim, slice_, i, row in zip(*[batch.column(c).to_pylist() for c in ("dim", "slice", "vec_id", "vector")], strict=True):
+                ids, rows = held.setdefault((dim, slice_), ([], []))
+                ids.append(i)
+                rows.append(row)
+                n += 1
+                if n % (16 * block) == 0:
+                    yield from swept()
+        yield from swept()
         fold.settle()
         yield fold.out()
 
     return run
 
 
-def _kept(query: int, scores: np.ndarray, ids: np.ndarray, bound: int, k: int) -> np.ndarray:
-    ok = np.flatnonzero((ids[:, 0] != query) & (scores >= bound))
-    best = ok[_best(scores[ok], ids[ok, 0], k)]
-    return np.column_stack([np.full(len(best), query), ids[best], scores[best]])
-
-
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = SCALE, bucket: int = 2048, block: int = 512, steep: float = 0.6, focus: int = 3) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k highest integer inner products of each query.
 
@@ -238,56 +287,29 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = SCALE
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.mapInArrow(lambda b: _integers(b, scale), "vec_id long, norm double, vector binary")
-    rows = keep.save(rows.groupBy("vec_id", "vector").agg(F.first("norm").alias("norm"), F.count(F.lit(1)).alias("copies")).withColumn("variant", F.xxhash64("vector")), "integers")
-    order = [F.col("norm").desc(), F.col("vec_id"), F.col("variant")]
-    buckets = keep.save(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pack(bucket, "bucket"), _BLOCK), "buckets")
+    rows = rows.groupBy("vec_id", "vector").agg(F.first("norm").alias("norm"), F.count(F.lit(1)).alias("copies"))
+    rows = keep.save(rows.withColumn("variant", F.xxhash64("vector")).withColumn("dim", (F.octet_length("vector") / 8).cast("int")), "integers")
+    order = ["dim", F.col("norm").desc(), "vec_id", "variant"]
+    folder = keep.path("buckets")
+    keep.save(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pack(bucket, folder), "dim int, buckets long"), "packed")
+    # A task has 64 queries at least, and all buckets; where that would leave tasks idle, a slice of the buckets.
     asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = keep.save(asked.repartitionByRange(max(1, parts // 4), "vec_id").sortWithinPartitions("vec_id").mapInArrow(_pack(block, "queries"), _BLOCK), "queries")
-    blocks = blocks.select(F.col("number").alias("q_number"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-
-    def ranked(found: DataFrame) -> DataFrame:
-        best = found.groupBy("query_id", "vec_id", "variant").agg(F.max("copies").alias("copies"), F.max("score").alias("score"))
-        order = [F.col("score").desc(), F.col("vec_id"), F.col("variant")]
-        w = Window.partitionBy("query_id").orderBy(*order)
-        # Equal rows are told apart only as far as ranks need them.
-        first = best.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
-        before = F.coalesce(F.sum("copies").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        first = first.withColumn("_before", before).where(F.col("_before") < k)
-        each = first.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k) - F.col("_before")))))
-        return each.withColumn("rank", (F.col("_before") + F.col("copy")).cast("int")).where(F.col("rank") <= k)
-
-    def meet(own: DataFrame, spread: DataFrame, number: str) -> DataFrame:
-        """Every row of ``own`` with every row of ``spread`` of its dimension: ``own`` is dealt out by its number, and
-        ``spread``, in blocks of bounded size, goes to each part. Both are blocks, so this is the stated query set
-        against all rows."""
-        dealt = own.withColumn("part", F.pmod(F.xxhash64(number), F.lit(parts)))
-        each = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-        return dealt.join(each, ["dim", "part"])
-
+    groups = max(1, min(parts, -(-asked.count() // 64)))
+    slices = max(1, parts // groups)
+    asked = asked.select("dim", "vec_id", "variant", "vector", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
+    task = (F.pmod(F.xxhash64("vec_id", "variant"), F.lit(groups)) * slices + F.col("slice")).cast("int")
+    asked = asked.repartitionById(groups * slices, task)
     columns = ", ".join(f"{c} long" for c, _ in _FOUND)
-    # The longest bucket of each dimension bounds every query's k-th score from below.
-    heads = buckets.groupBy("dim").agg(F.min("number").alias("number"))
-    head = keep.save(buckets.join(heads, ["dim", "number"]), "head")
-    first = keep.save(meet(blocks, head, "q_number").mapInArrow(_search(k, steep, focus, False), columns), "first")
-    bounds = ranked(first).where(F.col("rank") == k).select("query_id", "score")
-    lows = blocks.mapInArrow(_members, "q_number int, dim int, query_id long").distinct().join(bounds, "query_id")
-    lows = lows.groupBy("q_number", "dim").agg(F.collect_list("query_id").alias("of"), F.collect_list("score").alias("low"))
-    ready = keep.save(blocks.join(lows, ["q_number", "dim"], "left").mapInArrow(_with_bounds, "q_number int, dim int, q_ids binary, q_vectors binary, bounds binary"), "bounded")
-    found = keep.save(meet(buckets, ready, "number").mapInArrow(_search(k, steep, focus, True), columns), "found")
-    return ranked(found).select("query_id", "rank", "vec_id", "score")
-
-
-def _with_bounds(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            has = dict(zip(row["of"] or [], row["low"] or [], strict=True))
-            low = np.array([has.get(i, -(2**63)) for i in np.frombuffer(row["q_ids"], "<i8").reshape(-1, len(WHO))[:, 0].tolist()], "<i8")
-            cols = [row["q_number"], row["dim"], row["q_ids"], row["q_vectors"], low.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["q_number", "dim", "q_ids", "q_vectors", "bounds"])
-
-
-def _members(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids = np.frombuffer(row["q_ids"], "<i8").reshape(-1, len(WHO))[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["q_number"], np.int32)), pa.array(np.full(len(ids), row["dim"], np.int32)), pa.array(ids)], names=["q_number", "dim", "query_id"])
+    found = keep.save(asked.mapInArrow(_search(k, steep, focus, block, folder, slices), columns), "found")
+    keep.drop(rows)
+    keep.delete(folder)
+
+    best = found.groupBy("query_id", "vec_id", "variant").agg(F.max("copies").alias("copies"), F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "variant")
+    # Equal rows are told apart only as far as ranks need them.
+    first = best.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    before = F.coalesce(F.sum("copies").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.withColumn("_before", before).where(F.col("_before") < k)
+    each = first.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k) - F.col("_before")))))
+    each = each.withColumn("rank", (F.col("_before") + F.col("copy")).cast("int")).where(F.col("rank") <= k)
+    return each.select("query_id", "rank", "vec_id", "score")

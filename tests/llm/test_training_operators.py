@@ -298,6 +298,39 @@ def test_repeated_rows_are_one_query(spark):
     assert sorted(map(tuple, got)) == [(20, 1, 11, 2048), (20, 2, 10, 1024), (20, 3, 10, 1024)]
 
 
+def test_queries_meet_buckets_without_copies(spark, monkeypatch):
+    """Blocks copied for every partition were broadcast: their planned size was that of one copy."""
+    plans = []
+
+    class Noted(topk.Workspace):
+        def save(self, df, name):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().save(df, name)
+
+    monkeypatch.setattr(topk, "Workspace", Noted)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(700)] + [(i, rng.normal(size=2).tolist()) for i in range(700, 730)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (2, 40):  # tasks with all buckets, and with a slice of them
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out = topk.top_k(frame, k=7, every=10, bucket=32, block=1)
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+            assert Counter(map(tuple, out.collect())) == brute_top(rows, 7, 10)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert plans and not any(x in p for p in plans for x in ("Broadcast", "Join", "CartesianProduct"))
+
+
+def test_least_scores_come_last():
+    assert topk._best(np.array([-(2**63), 0, -5]), np.arange(3), 2).tolist() == [1, 2]
+    fold = topk.Fold(1)
+    fold.add(np.array([[20, 21, 0, 1, -(2**63)], [20, 22, 0, 1, 0]]))
+    fold.settle()
+    assert fold.out().column(1).to_pylist() == [22]
+
+
 def test_the_fold_of_a_task_keeps_what_counts():
     rng = np.random.default_rng(1)
     rows = np.column_stack([rng.integers(0, 5, 3000), rng.integers(0, 200, 3000), rng.integers(0, 2, 3000), np.ones(3000, np.int64), rng.integers(0, 90, 3000)]).astype(np.int64)
