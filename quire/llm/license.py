@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
-Sentences and lines with a licensing cue, joined where they stand close, are the candidate blocks. Each, with the words of its
-paragraph around it, is
-searched for the stretches that hold a template's words; a stretch is compressed by zstandard alone and with the template as
-a raw dictionary, which tells how much smaller that makes it. All templates are confirmed by the exact words that differ, whatever
-else the block holds.
+Sentences and lines with a licensing cue, joined where they stand close, are the candidate blocks. The words of each, with those
+of its paragraph around it, are compressed by zstandard alone and with every template as a raw dictionary; templates are
+ranked by how much smaller that makes them. From the first rank to the last, none left out, templates are confirmed by the
+exact words that differ, in whatever stretches hold them. Of wordings of a license that fit alike, the one that saves most
+bytes of its stretch counts; between licenses the words decide.
 """
 
 from __future__ import annotations
@@ -125,8 +125,8 @@ class Scanner:
         self.templates, self.differ, self.most = templates, differ, most
         plain = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         self.alone = zstandard.ZstdCompressor(compression_params=plain)
-        self.given = [zstandard.ZstdCompressor(compression_params=plain, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
         self.words = [_words(t) for _, t in templates]
+        self.given = [zstandard.ZstdCompressor(compression_params=plain, dict_data=zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for own in self.words]
         # A notice of the longest template has at most so many words before or after any of its own.
         self.reach = max(len(own) + int(max(1, differ * len(own))) for own in self.words)
         self.code = {w: i for i, w in enumerate(sorted({w for own in self.words for w in own}))}
@@ -134,10 +134,16 @@ class Scanner:
         self.must = [{w for w in own if any(c.isdigit() for c in w) or len(own) < 20 and w not in GLUE} for own in self.words]
         self.known: dict[tuple, list] = {}
 
-    def reduction(self, stretch: str, k: int) -> float:
-        """How much smaller the template makes the stretch."""
-        raw = stretch.encode()
-        return 1 - len(self.given[k].compress(raw)) / len(self.alone.compress(raw))
+    def sizes(self, words: tuple[str, ...], k: int) -> tuple[int, int]:
+        """Bytes of the words compressed alone and with a template given."""
+        raw = " ".join(words).encode()
+        return len(self.alone.compress(raw)), len(self.given[k].compress(raw))
+
+    def ranked(self, words: tuple[str, ...]) -> list[int]:
+        """All templates, the one that makes the words smallest first."""
+        raw = " ".join(words).encode()
+        size = [len(c.compress(raw)) for c in self.given]
+        return sorted(range(len(size)), key=lambda k: (size[k], k))
 
     def places(self, words: tuple[str, ...], k: int) -> list[tuple[int, int, int]]:
         """(words that differ, first word, end) of the stretches of the words that hold the template within its tolerance,
@@ -168,60 +174,63 @@ class Scanner:
         missing = (d - (end - first - len(self.words[k]))) // 2
         return len(self.words[k]) - missing - d
 
-    def notices(self, words: tuple[str, ...]) -> list[tuple[int, int, int, int]]:
-        """(words that differ, first word, end, template) of the notices among the words."""
+    def notices(self, words: tuple[str, ...]) -> list[tuple[int, int, int, int, int, int, int]]:
+        """(words that differ, first word, end, template, its rank, bytes alone, bytes given the template) of the notices
+        among the words, by rank."""
         if words in self.known:
             return self.known[words]
-        found = [(d, first, end, k) for k in range(len(self.templates)) for d, first, end in self.places(words, k)]
+        found = [(d, first, end, k, n, *self.sizes(words[first:end], k)) for n, k in enumerate(self.ranked(words), 1) for d, first, end in self.places(words, k)]
         # A stretch gives way to one of another license that explains more words (template words found, less those that
         # differ) and holds most of it: an opening clause to the whole text, one license to a near one that fits better.
-        sized = [(d, first, end, k, self.explained(d, first, end, k)) for d, first, end, k in found]
-        found = [x[:4] for x in sized if not any(y[4] > x[4] and self.templates[y[3]][0] != self.templates[x[3]][0] and 2 * (min(x[2], y[2]) - max(x[1], y[1])) > x[2] - x[1] for y in sized)]
+        sized = [(*x, self.explained(*x[:4])) for x in found]
+        found = [x[:-1] for x in sized if not any(y[-1] > x[-1] and self.templates[y[3]][0] != self.templates[x[3]][0] and 2 * (min(x[2], y[2]) - max(x[1], y[1])) > x[2] - x[1] for y in sized)]
         if len(self.known) < self.most:
             self.known[words] = found
         return found
 
-    def judge(self, text: str) -> list[tuple[int, int, int, str, int, float, int, int]]:
-        """(block, start, end, license, template, reduction, missing, extra) of the confirmed licenses of a text: of each
-        block each license's best template. A notice belongs to the first block that it touches and widens it. The
-        reduction is that of the stretch that holds the template."""
+    def judge(self, text: str) -> list[tuple[int, int, int, str, int, float, int, int, int]]:
+        """(block, start, end, license, template, reduction, missing, extra, rank) of the confirmed licenses of a text: of each
+        block each license's best template: fewest words that differ, then most bytes saved. A notice belongs to the first
+        block that it touches and widens it. The reduction is that of the words of the stretch that holds the template, the
+        rank that of the template by compression of all the words searched."""
         spans = blocks(text)
         wide = [list(x) for x in spans]
         best: dict[tuple[int, str], tuple] = {}
         for located, inside in regions(text, spans, self.reach) if spans else []:
-            for d, first, end, k in self.notices(tuple(w for w, _, _ in located)):
+            for d, first, end, k, rank, alone, given in self.notices(tuple(w for w, _, _ in located)):
                 a, b = located[first][1], located[end - 1][2]
                 block = next((i for i in inside if a < spans[i][1] and b > spans[i][0]), None)
                 if block is None:
                     continue
                 wide[block] = [min(a, wide[block][0]), max(b, wide[block][1])]
                 missing = (d - (end - first - len(self.words[k]))) // 2
-                now = (d, -len(self.words[k]), k, -first, missing, d - missing, text[a:b])
+                now = (d, given - alone, rank, -first, k, 1 - given / alone, missing, d - missing)
                 key = block, self.templates[k][0]
                 best[key] = min(best.get(key, now), now)
-        ranked = sorted(best.items(), key=lambda x: (x[0][0], x[1][0], x[1][1], x[0][1]))
-        return [(block, *wide[block], name, k, self.reduction(stretch, k), missing, extra) for (block, name), (_, _, k, _, missing, extra, stretch) in ranked]
+        ranked = sorted(best.items(), key=lambda x: (x[0][0], x[1][:2], x[0][1]))
+        return [(block, *wide[block], name, k, gain, missing, extra, rank) for (block, name), (_, _, rank, _, k, gain, missing, extra) in ranked]
 
 
-_FOUND = "doc_id long, block int, start long, length long, license string, template int, reduction double, words_missing int, words_extra int, exact boolean"
+_FOUND = "doc_id long, block int, start long, length long, license string, template int, reduction double, words_missing int, words_extra int, exact boolean, rank int"
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """A row for each license confirmed in a block of each row of ``docs`` (doc_id, text): start and length of the
-    block in characters, the license, its template's number, the reduction, the words that differ and whether none do.
+    block in characters, the license, its template's number, the reduction, the words that differ, whether none do, and the
+    template's rank by compression (from 1; any rank is confirmed, so that none is lost).
     Null and empty texts, texts without a cue and an empty table give no rows; null and repeated doc_ids are scanned row by
-    row; blocks may be as long as a text; of wordings of one license that fit alike the longer one counts."""
+    row; blocks may be as long as a text; of wordings of one license that fit alike the one that saves most bytes counts."""
     templates = templates or TEMPLATES
 
     def run(batches):
         scanner = Scanner(templates)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32())
         names = [c.split()[0] for c in _FOUND.split(", ")]
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for b, start, end, name, k, gain, missing, extra in scanner.judge(text):
-                    rows.append((doc, b, start, end - start, name, k, round(gain, 6), missing, extra, missing + extra == 0))
+                for b, start, end, name, k, gain, missing, extra, rank in scanner.judge(text):
+                    rows.append((doc, b, start, end - start, name, k, round(gain, 6), missing, extra, missing + extra == 0, rank))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=names)
 
     # A cheap test in the scan leaves most texts out before Python.

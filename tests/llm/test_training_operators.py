@@ -604,6 +604,22 @@ def test_places_are_those_of_a_brute_force_scan():
             assert (got[0][0] if got else None) == least, (words, want)
 
 
+def test_templates_are_ranked_by_compression(spark):
+    scanner = license.Scanner(license.TEMPLATES)
+    for k, (name, text) in enumerate(license.TEMPLATES):
+        words = tuple(license._words(text))
+        ranked = scanner.ranked(words)
+        assert sorted(ranked) == list(range(len(license.TEMPLATES)))
+        size = [scanner.sizes(words, i)[1] for i in ranked]
+        assert size == sorted(size) and license.TEMPLATES[ranked[0]][0] == name
+    texts = [license.TEMPLATES[0][1], "\n".join(x for _, x in license.TEMPLATES)]
+    rows = license.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.license, r.rank) for r in rows if r.doc_id == 0] == [("MIT", 1)]
+    every = [r for r in rows if r.doc_id == 1]
+    assert {r.license for r in every} == {x for x, _ in license.TEMPLATES} and max(r.rank for r in every) > 6, "low ranks are confirmed too"
+    assert all(0 < r.reduction < 1 for r in rows)
+
+
 def test_labels_of_other_documents_take_no_places(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(0, 3000, 50)], "doc_id long, text string")
     known = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")
