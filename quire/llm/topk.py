@@ -158,41 +158,39 @@ class Bucket:
             self.sorted[f] = (order, self.unit[order, f])
         return self.sorted[f]
 
-    def split(self, norms: np.ndarray, bounds: np.ndarray, steep: float) -> tuple[np.ndarray, np.ndarray]:
-        """Which queries leave the bucket out, and which need all of it, as no vector is too short."""
+    def split(self, norms: np.ndarray, bounds: np.ndarray, steep: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query the local cosine threshold (over 1: the bucket is left out), how many vectors are long enough, and
+        whether the threshold is so high that coordinates are looked at."""
         with np.errstate(all="ignore"):
             reach = norms * self.norm[0]
             cosine = np.where(reach > 0, bounds / reach - 1e-9, np.inf)
-            shortest = (bounds / norms) * (1 - 1e-9)
+            long = np.searchsorted(-self.norm, -(bounds / norms) * (1 - 1e-9), "right")
         free = (bounds <= 0) | (norms == 0)
-        return ~free & (cosine > 1), free | (cosine < steep) & (shortest <= self.norm[-1])
-
-    def candidates(self, q: np.ndarray, norm: float, bound: float, steep: float, focus: int) -> np.ndarray | slice:
-        """Which vectors can reach the score ``bound`` with query ``q``."""
-        if bound <= 0 or norm == 0 or not len(self.norm):
-            return slice(None)
-        cosine = bound / (norm * self.norm[0]) - 1e-9 if self.norm[0] else np.inf
-        if cosine > 1:
-            return slice(0, 0)
-        if cosine < steep:
-            # Length pruning: norms fall, and a vector must be as long as bound / |q|.
-            return slice(0, int(np.searchsorted(-self.norm, -(bound / norm) * (1 - 1e-9), "right")))
-        # Coordinate pruning: a unit vector within the angle has each coordinate in a range about the query's.
-        u = q / norm
-        found = None
-        for f in np.argsort(-np.abs(u))[:focus].tolist():
-            middle, spread = u[f] * cosine, np.sqrt(max(0.0, (1 - u[f] ** 2) * (1 - cosine**2)))
-            lo = -1.1 if u[f] <= -cosine else middle - spread - 1e-9
-            hi = 1.1 if u[f] >= cosine else middle + spread + 1e-9
-            order, values = self.coordinate(f)
-            a, b = np.searchsorted(values, lo, "left"), np.searchsorted(values, hi, "right")
-            if found is None:
-                found = np.zeros(len(self.ids), np.int8)
-            found[order[a:b]] += 1
-        return np.flatnonzero(found == min(focus, len(u)))
-
-
-_FOUND = [(c, pa.int64()) for c in ("query_id", *WHO, "score")]
+        cosine[free], long[free] = -np.inf, len(self.norm)
+        return cosine, long, cosine >= steep
+
+    def near(self, cosine: np.ndarray, u: np.ndarray, focus: np.ndarray):
+        """For each query (its threshold, its largest coordinates as a unit vector and which they are) the vectors within all
+        feasible ranges of these coordinates, or None where no range is shorter than half of the bucket."""
+        # A unit vector within the angle has each coordinate in a range about the query's.
+        c = cosine[:, None]
+        middle, spread = u * c, np.sqrt(np.maximum(0.0, (1 - u**2) * (1 - c**2)))
+        lo, hi = np.where(u <= -c, -1.1, middle - spread - 1e-9), np.where(u >= c, 1.1, middle + spread + 1e-9)
+        a, b = np.empty(u.shape, np.int64), np.empty(u.shape, np.int64)
+        for f in np.unique(focus).tolist():
+            at, values = focus == f, self.coordinate(f)[1]
+            a[at], b[at] = np.searchsorted(values, lo[at], "left"), np.searchsorted(values, hi[at], "right")
+        least = (b - a).argmin(1)
+        for j, i in enumerate(least.tolist()):
+            if 2 * (b[j, i] - a[j, i]) > len(self.ids):
+                yield None
+                continue
+            some = self.coordinate(int(focus[j, i]))[0][a[j, i] : b[j, i]]
+            for n in range(focus.shape[1]):
+                if n != i and len(some):
+                    x = self.unit[some, focus[j, n]]
+                    some = some[(x >= lo[j, n]) & (x <= hi[j, n])]
+            yield some
 
 
 class Best:
@@ -231,16 +229,23 @@ def _search(k: int, steep: float, focus: int, block: int, folder: str, slices: i
     def meet(dim: int, slice_: int, ids: list[int], rows: list[bytes]) -> np.ndarray:
         q = np.frombuffer(b"".join(rows), "<f8").reshape(len(ids), dim)
         norms, best = np.sqrt((q * q).sum(1)), Best(np.array(ids, np.int64), k)
+        unit = q / np.maximum(norms, 1e-300)[:, None]
+        largest = np.argsort(-np.abs(unit), 1)[:, :focus]
+        unit = np.take_along_axis(unit, largest, 1)
         for bucket in _buckets(folder, dim, slice_, slices):
-            out, whole = bucket.split(norms, best.low, steep)
-            if out.all():
+            cosine, long, high = bucket.split(norms, best.low, steep)
+            if (cosine > 1).all():
                 break  # what follows is no longer
-            for j in np.flatnonzero(~out & ~whole).tolist():
-                some = bucket.candidates(q[j], float(norms[j]), float(best.low[j]), steep, focus)
-                if not isinstance(some, slice) and 2 * len(some) > len(bucket.ids):
+            whole = (cosine <= 1) & (long == len(bucket.ids)) & ~high
+            for j in np.flatnonzero((cosine <= 1) & ~whole & ~high & (long > 0)).tolist():
+                best.add(j, _exact(q[j : j + 1], bucket.p[: long[j]])[0], bucket.ids[: long[j]])
+            steeper = np.flatnonzero((cosine <= 1) & high)
+            pruned = bucket.near(cosine[steeper], unit[steeper], largest[steeper]) if len(steeper) else ()
+            for j, some in zip(steeper.tolist(), pruned, strict=True):
+                if some is None:
                     whole[j] = True
-                elif len(near := bucket.ids[some]):
-                    best.add(j, _exact(q[j : j + 1], bucket.p[some])[0], near)
+                elif len(some):
+                    best.add(j, _exact(q[j : j + 1], bucket.p[some])[0], bucket.ids[some])
             plain = np.flatnonzero(whole)
             for a in range(0, len(plain), 64):
                 rows_ = plain[a : a + 64]
@@ -292,9 +297,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = SCALE
     order = ["dim", F.col("norm").desc(), "vec_id", "variant"]
     folder = keep.path("buckets")
     keep.save(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pack(bucket, folder), "dim int, buckets long"), "packed")
-    # A task has 64 queries at least, and all buckets; where that would leave tasks idle, a slice of the buckets.
+    # A task has about a block of queries at least, and all buckets; where that would leave tasks idle, a slice of the buckets.
     asked = rows.where(F.col("vec_id") % every == 0)
-    groups = max(1, min(parts, -(-asked.count() // 64)))
+    groups = max(1, min(parts, -(-asked.count() // block)))
     slices = max(1, parts // groups)
     asked = asked.select("dim", "vec_id", "variant", "vector", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     task = (F.pmod(F.xxhash64("vec_id", "variant"), F.lit(groups)) * slices + F.col("slice")).cast("int")

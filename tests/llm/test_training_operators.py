@@ -313,9 +313,9 @@ def test_queries_meet_buckets_without_copies(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        for parts in (2, 40):  # tasks with all buckets, and with a slice of them
+        for parts, block in ((2, 1), (40, 16)):  # tasks with all buckets, and with a slice of them
             spark.conf.set("spark.sql.shuffle.partitions", parts)
-            out = topk.top_k(frame, k=7, every=10, bucket=32, block=1)
+            out = topk.top_k(frame, k=7, every=10, bucket=32, block=block)
             plans.append(out._jdf.queryExecution().executedPlan().toString())
             assert Counter(map(tuple, out.collect())) == brute_top(rows, 7, 10)
     finally:
