@@ -58,7 +58,7 @@ def frequent_shingles(docs: DataFrame, k: int, most: int = 1 << 17, within: int
                     top = np.sort(top[np.argsort(-n[top], kind="stable")[: most // 16]])
                 yield pa.RecordBatch.from_arrays([pa.array(every[top].view(np.int64)), pa.array(n[top])], names=["h", "n"])
 
-    rows = _texts(docs).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "h").limit(most)
+    rows = _texts(docs).mapInArrow(shared.giving_back(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "h").limit(most)
     with shared.small_batches(docs.sparkSession):
         got = rows.toArrow()
     return got.column("h").to_numpy().view(np.uint64)[::-1].copy()
@@ -101,7 +101,7 @@ def describe(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Dat
                     [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "n", "cls", "grp", "prefix", "sketch"]
                 )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, cls long, grp long, prefix array<long>, sketch binary")
+    return _texts(docs).mapInArrow(shared.giving_back(run), "doc_id long, n long, cls long, grp long, prefix array<long>, sketch binary")
 
 
 def _sketch(s: np.ndarray) -> bytes:
@@ -131,7 +131,7 @@ def _sift(pairs: DataFrame, classes: DataFrame, percent: int, keep: Workspace) -
     one = classes.select(F.col("cls").alias("a"), "n", "sketch").join(few, "a")
     two = classes.select(F.col("cls").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")).join(few, "b")
     met = one.join(two, ["a", "b"]).select("a", "b", "n", "sketch", "n2", "sketch2")
-    return keep.save(met.mapInArrow(run, "a long, b long"), "sifted")
+    return keep.save(met.mapInArrow(shared.giving_back(run), "a long, b long"), "sifted")
 
 
 def _print(values: np.ndarray) -> int:
@@ -193,7 +193,7 @@ def _load_sets(docs: DataFrame, needed: DataFrame, k: int, keep: Workspace) -> D
                 sets = _sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 yield pa.RecordBatch.from_arrays([some.column(0).slice(i, j - i), pa.array([_print(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "cls", "shingles"])
 
-    rows = _texts(docs).mapInArrow(run, "doc_id long, cls long, shingles binary")
+    rows = _texts(docs).mapInArrow(shared.giving_back(run), "doc_id long, cls long, shingles binary")
     return keep.save(rows.join(F.broadcast(needed) if count <= 100_000 else needed, ["doc_id", "cls"], "left_semi").select("cls", "shingles"), "sets")
 
 
@@ -213,7 +213,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, first: DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     met = pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    links = keep.save(met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    links = keep.save(met.select("a", "b", "x", "y").mapInArrow(shared.giving_back(run), "a long, b long"), "links")
     keep.drop(needed, sets)
     return links
 

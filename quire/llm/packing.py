@@ -24,16 +24,15 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .pieces import encoder
-from .shared import Workspace
+from .shared import Workspace, giving_back
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ROWS = "kind int, size int, seq long, doc_id long, piece int, start long, length long, ids_crc32 long, offset long, place long"
 #: kind: 0 a gap (seq, size), 1 a piece still to place, 2 a placed piece.
 
 
-def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Encode ``text`` (null: empty), append ``end_id``, cut documents longer than ``capacity`` into pieces of
-    ``capacity`` ids, the first of which may be shorter. Returns doc_id, piece, start, length, ids_crc32."""
+def _encoding(vocabulary: str, capacity: int, end_id: int):
+    """Rows of PIECES of batches of doc_id and text."""
 
     def run(batches):
         enc = encoder(vocabulary, True)
@@ -55,7 +54,13 @@ def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacit
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return run
+
+
+def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """Encode ``text`` (null: empty), append ``end_id``, cut documents longer than ``capacity`` into pieces of
+    ``capacity`` ids, the first of which may be shorter. Returns doc_id, piece, start, length, ids_crc32."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(giving_back(_encoding(vocabulary, capacity, end_id)), PIECES)
 
 
 def _sweep(capacity: int):
@@ -180,7 +185,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, ranges: int | None = None, kee
     done, serial, smallest = [], 0, 1
     while True:
         order = [F.col("size").desc(), F.col("kind"), F.col("seq"), F.col("doc_id"), F.col("piece"), F.col("start"), F.col("ids_crc32")]
-        swept = keep.save(state.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(_sweep(capacity), _ROWS + ", part int"), "swept")
+        swept = keep.save(state.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInPandas(giving_back(_sweep(capacity)), _ROWS + ", part int"), "swept")
         done.append(swept.where("kind = 2").select("doc_id", "piece", "start", "length", "ids_crc32", "seq", "offset"))
         counts = keep.save(swept.where("kind < 2").groupBy("kind", "size", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
         # At most two rows a size reach the driver.

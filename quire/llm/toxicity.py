@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .shared import Workspace
+from .shared import Workspace, giving_back
 
 FIT_ROWS = 20_000
 """The most labelled rows that a classifier is fitted on."""
@@ -312,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, most:
     if not n or not 0 < toxic < n:
         return Classifier({}, None, None, prior)
     lexicon = learn_lexicon(rows.where(F.col("part") < FOLDS))
-    got = rows.where(F.col("part") >= FOLDS).select("text", "toxic", "part").mapInArrow(_describe(lexicon), "toxic int, part int, x array<double>").toArrow()
+    got = rows.where(F.col("part") >= FOLDS).select("text", "toxic", "part").mapInArrow(giving_back(_describe(lexicon)), "toxic int, part int, x array<double>").toArrow()
     keep.drop(rows)
     x, y, part = np.array(got.column("x").to_pylist()).reshape(-1, len(FEATURES)), got.column("toxic").to_numpy().astype(float), got.column("part").to_numpy()
     if not 0 < y.sum() < len(y):
@@ -345,13 +345,14 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, thr
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.crc32(name.cast("binary")) % folds == fold).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = "doc_id long, held_out boolean, text string, toxicity double"
-    out = rows.mapInArrow(_scoring(model, 2), schema)
+    out = rows.mapInArrow(giving_back(_scoring(model, 2)), schema)
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score under the threshold, each judged for itself, with their columns as they are; null and
-    empty texts as in score()."""
+    empty texts as in score(). They are written here, as batches of whole rows are held small only while that is done."""
+    keep = Workspace(docs.sparkSession)
     model = fit(docs, labels)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     run = _scoring(model, 1)
@@ -361,4 +362,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
             kept = batch.filter(pa.array(batch.column(2).to_numpy() < threshold))
             yield pa.RecordBatch.from_arrays([kept.column(0)], names=["_row"])
 
-    return rows.mapInArrow(passing, rows.select("_row").schema).select("_row.*")
+    return keep.save(rows.mapInArrow(giving_back(passing), rows.select("_row").schema).select("_row.*"), "clean")

@@ -65,3 +65,37 @@ def test_stages_of_an_empty_table(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, f"{tables}-empty").count() == 0
     assert corpus_pipeline.run(spark, f"{tables}-empty").count() == 0
+
+
+def test_idle_workers_hold_no_free_memory(spark):
+    def freed(batches):
+        """How many MB an idle worker that has encoded texts still holds without need, if it has encoded any."""
+        import ctypes
+        import re
+        import sys
+
+        import pyarrow as pa
+
+        def mb():
+            with open("/proc/self/smaps_rollup") as f:
+                return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+        for batch in batches:
+            if getattr(sys.modules.get("quire.llm.pieces"), "_encoders", None):
+                before = mb()
+                pa.default_memory_pool().release_unused()
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+                yield pa.RecordBatch.from_pydict({"mb": [before - mb()]})
+            else:
+                yield pa.RecordBatch.from_pydict({"mb": pa.array([], pa.float64())})
+
+    docs = spark.range(0, 1200, 1, 4).selectExpr("id as doc_id", "array_join(transform(sequence(1, 400), i -> hex(xxhash64(id, i))), ' ') as text")
+    packing.token_pieces(docs).write.format("noop").mode("overwrite").save()
+    got = [r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(freed, "mb double").collect()]
+    assert got and max(got) < 15
+
+
+def test_toxicity_stage_returns_a_written_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = toxicity.keep_clean(docs, spark.read.parquet(f"{SF}/labels.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
