@@ -3,9 +3,10 @@ hold."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..fixtures import LINES_SQL, lines
+from ..fixtures import LINES_SQL, ORDER, table
 from ..registry import query
 from ..sources import sniff, tables
 
@@ -13,9 +14,12 @@ L = "L"
 
 
 def grouped(spark, sf_dir):
-    """A document an order: its lines as an array of n (from 1), p, s and q."""
-    one = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"))
-    return lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(one)).alias("L"))
+    """A document an order: its lines as an array of n (from 1), p, s and q. One sort numbers them and lists them."""
+    order = Window.partitionBy("l_orderkey").orderBy(*ORDER)
+    one = F.struct(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").cast("long").alias("q"))
+    every = F.collect_list(one).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("_n"), every.alias("L")).where("_n = 1")
+    return rows.select(F.col("l_orderkey").alias("doc_id"), F.transform("L", lambda x, i: F.struct((i + 1).alias("n"), x["p"].alias("p"), x["s"].alias("s"), x["q"].alias("q"))).alias("L"))
 
 
 LINED = f"{LINES_SQL}, l AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity::BIGINT AS q FROM lines)"
@@ -33,40 +37,62 @@ def _null(kind):
     return F.lit(None).cast(kind)
 
 
+def _said(pattern, *values):
+    """The pattern with each % replaced by a value; null if one is."""
+    # JSON of payloads is written in pieces; lists of structs, made and then written, take several times as long.
+    first, *others = pattern.split("%")
+    return F.concat(F.lit(first), *[c for v, part in zip(values, others, strict=True) for c in (v.cast("string"), F.lit(part))])
+
+
+def _members(*pieces):
+    """Members of an object; those that are null are left out."""
+    return F.concat_ws(",", *pieces)
+
+
+def _each(item, lines=L):
+    return F.array_join(F.transform(lines, item), ",")
+
+
 def textract_payload():
     def blocks(x):
-        box = _fields(Left=(x["p"] % 8) / 8, Top=(x["s"] % 8) / 8, Width=0.125, Height=0.0625)
-        line = _fields(
-            Id=_text("L", x["n"]), BlockType="LINE", Text=F.when(x["n"] % 2 == 0, _text("line ", x["n"])), Confidence=x["q"].cast("double"), Geometry=_fields(BoundingBox=box),
-            Relationships=F.array(_fields(Type="CHILD", Ids=F.array(F.concat(_text("W", x["n"]), F.lit("a")), F.concat(_text("W", x["n"]), F.lit("b"))))),
-        )
-        word = lambda end, text: _fields(Id=F.concat(_text("W", x["n"]), F.lit(end)), BlockType="WORD", Text=text, Confidence=_null("double"), Geometry=_fields(BoundingBox=box), Relationships=F.array().cast("array<struct<Type:string,Ids:array<string>>>"))
-        return F.array(line, word("a", _text("w", x["p"])), word("b", _text("x", x["s"])))
+        n = x["n"]
+        box = _members(_said('"Left":%', (x["p"] % 8) / 8), _said('"Top":%', (x["s"] % 8) / 8), F.lit('"Width":0.125,"Height":0.0625'))
+        place = _said('"Geometry":{"BoundingBox":{%}}', box)
+        line = _members(_said('{"Id":"L%","BlockType":"LINE"', n), F.when(n % 2 == 0, _said('"Text":"line %"', n)), _said('"Confidence":%', x["q"].cast("double")), place, _said('"Relationships":[{"Type":"CHILD","Ids":["W%a","W%b"]}]}', n, n))
+        word = lambda end, pattern, text: _members(_said(f'{{"Id":"W%{end}","BlockType":"WORD"', n), _said(pattern, text), place, F.lit('"Relationships":[]}'))
+        return _members(line, word("a", '"Text":"w%"', x["p"]), word("b", '"Text":"x%"', x["s"]))
 
-    return F.to_json(_fields(Blocks=F.flatten(F.transform(L, blocks))))
+    return _said('{"Blocks":[%]}', _each(blocks))
 
 
 def azure_payload():
-    x0, y0 = (lambda x: (x["p"] % 50).cast("double")), (lambda x: (x["s"] % 70).cast("double"))
-    polygon = lambda x: F.array(x0(x), y0(x), x0(x) + 10, y0(x), x0(x) + 10, y0(x) + 5, x0(x), y0(x) + 5)
-    role = lambda x: F.when(x["n"] % 3 == 0, "title").when(x["n"] % 3 == 2, "pageHeader")
-    paragraph = lambda x: _fields(content=_text("para ", x["p"]), role=role(x), spans=F.array(_fields(offset=10 * x["n"] - 10, length=9)), boundingRegions=F.array(_fields(pageNumber=1 + x["n"] % 2, polygon=polygon(x))))
-    words = lambda x: F.array(_fields(confidence=0.5, span=_fields(offset=10 * x["n"] - 10, length=4)), _fields(confidence=F.when(x["s"] % 2 == 0, 0.25).otherwise(0.75), span=_fields(offset=10 * x["n"] - 5, length=4)))
-    cell = lambda x: _fields(rowIndex=F.floor((x["n"] - 1) / 2).cast("int"), columnIndex=(x["n"] - 1) % 2, rowSpan=F.when(x["p"] % 5 == 0, 2), columnSpan=_null("int"), content=_text("cell ", x["p"]), kind=F.when(x["n"] <= 2, "columnHeader"))
-    return F.to_json(_fields(analyzeResult=_fields(paragraphs=F.transform(L, paragraph), pages=F.array(_fields(pageNumber=1, words=F.flatten(F.transform(L, words)))), tables=F.array(_fields(cells=F.transform(L, cell))))))
+    def paragraph(x):
+        n, x0, y0 = x["n"], (x["p"] % 50).cast("double"), (x["s"] % 70).cast("double")
+        corners = [F.coalesce(v.cast("string"), F.lit("null")) for v in (x0, y0, x0 + 10, y0, x0 + 10, y0 + 5, x0, y0 + 5)]
+        role = F.when(n % 3 == 0, '"role":"title"').when(n % 3 == 2, '"role":"pageHeader"')
+        rest = _said('"spans":[{"offset":%,"length":9}],"boundingRegions":[{"pageNumber":%,"polygon":[%]}]', 10 * n - 10, 1 + n % 2, F.concat_ws(",", *corners))
+        return F.concat(F.lit("{"), _members(_said('"content":"para %"', x["p"]), role, rest), F.lit("}"))
+
+    words = lambda x: _said('{"confidence":0.5,"span":{"offset":%,"length":4}},{"confidence":%,"span":{"offset":%,"length":4}}', 10 * x["n"] - 10, F.when(x["s"] % 2 == 0, 0.25).otherwise(0.75), 10 * x["n"] - 5)
+
+    def cell(x):
+        first = _said('"rowIndex":%,"columnIndex":%', F.floor((x["n"] - 1) / 2), (x["n"] - 1) % 2)
+        return F.concat(F.lit("{"), _members(first, F.when(x["p"] % 5 == 0, '"rowSpan":2'), _said('"content":"cell %"', x["p"]), F.when(x["n"] <= 2, '"kind":"columnHeader"')), F.lit("}"))
+
+    return _said('{"analyzeResult":{"paragraphs":[%],"pages":[{"pageNumber":1,"words":[%]}],"tables":[{"cells":[%]}]}}', _each(paragraph), _each(words), _each(cell))
 
 
 def google_payload():
     whole = F.array_join(F.transform(L, lambda x: F.concat(_text("item", x["n"] % 10), F.lit(" "))), "")
-    anchor = lambda x: _fields(textSegments=F.array(_fields(startIndex=(6 * x["n"] - 6).cast("string"), endIndex=(6 * x["n"]).cast("string"))))
-    corner = lambda x, dx, dy: _fields(x=(x["p"] % 8) / 8 + dx, y=(x["s"] % 8) / 8 + dy)
-    paragraph = lambda x: _fields(layout=_fields(confidence=x["q"] / 64, textAnchor=anchor(x), boundingPoly=_fields(normalizedVertices=F.array(corner(x, 0.125, 0.0), corner(x, 0.0, 0.0625), corner(x, 0.125, 0.0625)))))
-    cell = lambda x: _fields(rowSpan=1, colSpan=F.when(x["p"] % 5 == 0, 2), layout=_fields(textAnchor=anchor(x)))
-    rows = lambda keep: F.array(_fields(cells=F.transform(F.filter(L, keep), cell)))
-    table = _fields(headerRows=rows(lambda x: x["n"] <= 2), bodyRows=rows(lambda x: x["n"] > 2))
-    field = lambda x: _fields(fieldName=_fields(textAnchor=_fields(content=F.concat(_text("name ", x["p"]), F.lit(" :\n")))), fieldValue=_fields(textAnchor=anchor(x)))
-    page = _fields(pageNumber=3, dimension=_fields(width=800.0, height=1600.0), paragraphs=F.transform(L, paragraph), tables=F.array(table), formFields=F.transform(L, field))
-    return F.to_json(_fields(document=_fields(text=whole, pages=F.array(page))))
+    anchor = lambda x: _said('"textAnchor":{"textSegments":[{"startIndex":"%","endIndex":"%"}]}', 6 * x["n"] - 6, 6 * x["n"])
+    corner = lambda x, dx, dy: _said("{%}", _members(_said('"x":%', (x["p"] % 8) / 8 + dx), _said('"y":%', (x["s"] % 8) / 8 + dy)))
+    corners = lambda x: _members(corner(x, 0.125, 0.0), corner(x, 0.0, 0.0625), corner(x, 0.125, 0.0625))
+    paragraph = lambda x: _said('{"layout":{%}}', _members(_said('"confidence":%', x["q"] / 64), anchor(x), _said('"boundingPoly":{"normalizedVertices":[%]}', corners(x))))
+    cell = lambda x: _said("{%}", _members(F.lit('"rowSpan":1'), F.when(x["p"] % 5 == 0, '"colSpan":2'), _said('"layout":{%}', anchor(x))))
+    field = lambda x: _said('{"fieldName":{"textAnchor":{%}},"fieldValue":{%}}', F.coalesce(_said('"content":"name % :\\n"', x["p"]), F.lit("")), anchor(x))
+    heads, rest = _each(cell, F.filter(L, lambda x: x["n"] <= 2)), _each(cell, F.filter(L, lambda x: x["n"] > 2))
+    page = _said('"paragraphs":[%],"tables":[{"headerRows":[{"cells":[%]}],"bodyRows":[{"cells":[%]}]}],"formFields":[%]', _each(paragraph), heads, rest, _each(field))
+    return _said('{"document":{"text":"%","pages":[{"pageNumber":3,"dimension":{"width":800.0,"height":1600.0},%}]}}', whole, page)
 
 
 def other_payloads():
@@ -120,24 +146,22 @@ def detected_providers(spark, sf_dir):
 
 def textract_graph(spark, sf_dir):
     """Block graphs with a table and a form: a cell and a field a line."""
-    empty = F.array().cast("array<struct<Type:string,Ids:array<string>>>")
-    link = lambda kind, ids: F.array(_fields(Type=kind, Ids=ids))
-
-    def block(i, kind, **more):
-        own = {"RowIndex": _null("int"), "ColumnIndex": _null("int"), "RowSpan": _null("int"), "ColumnSpan": _null("int"), "EntityTypes": F.array().cast("array<string>"), "Text": _null("string"), "SelectionStatus": _null("string"), "Relationships": empty}
-        return _fields(Id=i, BlockType=kind, **(own | more))
 
     def blocks(x):
-        n = x["n"]
-        cell = block(_text("C", n), "CELL", RowIndex=(F.floor((n - 1) / 2) + 1).cast("int"), ColumnIndex=((n - 1) % 2 + 1).cast("int"), ColumnSpan=F.when(x["p"] % 5 == 0, 2), EntityTypes=F.when(n <= 2, F.array(F.lit("COLUMN_HEADER"))).otherwise(F.array().cast("array<string>")), Relationships=link("CHILD", F.array(_text("W", n), _text("S", n))))
-        word = block(_text("W", n), "WORD", Text=_text("w", x["p"]))
-        mark = block(_text("S", n), "SELECTION_ELEMENT", SelectionStatus=F.when(x["s"] % 2 == 0, "SELECTED").otherwise("NOT_SELECTED"))
-        key = block(_text("K", n), "KEY_VALUE_SET", EntityTypes=F.array(F.lit("KEY")), Relationships=F.array(_fields(Type="CHILD", Ids=F.array(_text("W", n))), _fields(Type="VALUE", Ids=F.array(_text("V", n)))))
-        value = block(_text("V", n), "KEY_VALUE_SET", EntityTypes=F.array(F.lit("VALUE")), Relationships=link("CHILD", F.array(_text("S", n), _text("W", n))))
-        return F.array(cell, word, mark, key, value)
-
-    table = block(F.lit("T"), "TABLE", Relationships=link("CHILD", F.transform(L, lambda x: _text("C", x["n"]))))
-    return grouped(spark, sf_dir).select("doc_id", F.to_json(_fields(Blocks=F.concat(F.array(table), F.flatten(F.transform(L, blocks))))).alias("payload"))
+        n, maybe = x["n"], lambda pattern, *v: F.coalesce(_said(pattern, *v), F.lit(""))
+        span = F.when(x["p"] % 5 == 0, ',"ColumnSpan":2').otherwise("")
+        header = F.when(n <= 2, '"COLUMN_HEADER"').otherwise("")
+        return F.concat(
+            _said('{"Id":"C%","BlockType":"CELL","RowIndex":%,"ColumnIndex":%%,"EntityTypes":[%],"Relationships":[{"Type":"CHILD","Ids":["W%","S%"]}]}', n, F.floor((n - 1) / 2) + 1, (n - 1) % 2 + 1, span, header, n, n),
+            _said(',{"Id":"W%","BlockType":"WORD","EntityTypes":[]%,"Relationships":[]}', n, maybe(',"Text":"w%"', x["p"])),
+            _said(',{"Id":"S%","BlockType":"SELECTION_ELEMENT","EntityTypes":[],"SelectionStatus":"%","Relationships":[]}', n, F.when(x["s"] % 2 == 0, "SELECTED").otherwise("NOT_SELECTED")),
+            _said(',{"Id":"K%","BlockType":"KEY_VALUE_SET","EntityTypes":["KEY"],"Relationships":[{"Type":"CHILD","Ids":["W%"]},{"Type":"VALUE","Ids":["V%"]}]}', n, n, n),
+            _said(',{"Id":"V%","BlockType":"KEY_VALUE_SET","EntityTypes":["VALUE"],"Relationships":[{"Type":"CHILD","Ids":["S%","W%"]}]}', n, n, n),
+        )
+
+    cells = F.array_join(F.transform(L, lambda x: _said('"C%"', x["n"])), ",")
+    rest = F.array_join(F.transform(L, blocks), ",")
+    return grouped(spark, sf_dir).select("doc_id", _said('{"Blocks":[{"Id":"T","BlockType":"TABLE","EntityTypes":[],"Relationships":[{"Type":"CHILD","Ids":[%]}]},%]}', cells, rest).alias("payload"))
 
 
 @query(f"""WITH {LINED} SELECT doc_id, 'T' AS table_id, (n - 1) // 2 AS "row", (n - 1) % 2 AS "column", 1 AS row_span, CASE WHEN p % 5 = 0 THEN 2 ELSE 1 END AS column_span, 'w' || p || CASE WHEN s % 2 = 0 THEN ' ☒' ELSE '' END AS text, n <= 2 AS is_header FROM l""")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import re
 import struct
 import zipfile
 import zlib
@@ -150,3 +152,16 @@ def test_schemas_are_known_by_escaped_names_too(spark):
     said = [("a", '{"natur\\u0061l_text":"t"}'), ("b", '{"natural_text":"t"}'), ("c", "{}"), ("d", None), ("e", "")]
     rows = sniff.normalize(spark.createDataFrame(said, "doc_id string, payload string")).collect()
     assert sorted((r.doc_id, r.text) for r in rows) == [("a", "t"), ("b", "t")]
+
+
+def _graph_rows(spark, *documents):
+    return spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(documents)], "doc_id long, payload string")
+
+
+def test_payloads_are_told_apart_and_read_once(spark):
+    """Neither a condition on the schema nor the parsing by schema works out the payloads or the detection again."""
+    rows = _graph_rows(spark, {"natural_text": "a"}, {"no": 1})
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan(sniff.normalize(rows)) and not re.search("Join (Inner|LeftOuter)", plan(sniff.normalize(rows)))
+    once = plan(sniff.detect(rows)).count("$.ocr_results")
+    assert once > 0 and plan(sniff.normalize(rows)).count("$.ocr_results") == plan(sniff.detect(rows).where("provider = 'olmocr'")).count("$.ocr_results") == once
