@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import graph
+
 CELLS = ["doc_id", "table_id", "row", "column", "row_span", "column_span", "text", "is_header"]
 _BLOCK = "array<struct<Id:string,BlockType:string,Text:string,RowIndex:int,ColumnIndex:int,RowSpan:int,ColumnSpan:int,EntityTypes:array<string>,SelectionStatus:string,Relationships:array<struct<Type:string,Ids:array<string>>>>>"
 
@@ -13,47 +15,61 @@ def _whole(paths: list[str]) -> Column:
     return F.coalesce(*[F.get_json_object("payload", p) for p in paths], F.col("payload"))
 
 
-def _blocks(payloads: DataFrame) -> DataFrame:
-    return payloads.select("doc_id", F.explode(F.from_json(F.get_json_object("payload", "$.Blocks"), _BLOCK)).alias("b")).select("doc_id", "b.*")
-
-
-def _kids(blocks: DataFrame, kind: str = "CHILD") -> DataFrame:
-    """doc_id, parent, k and Id of what blocks lead to."""
-    linked = blocks.select("doc_id", F.col("Id").alias("parent"), F.explode(F.filter("Relationships", lambda r: r["Type"] == kind)).alias("r"))
-    return linked.select("doc_id", "parent", F.posexplode("r.Ids").alias("k", "Id"))
+def _in_graph(payloads: DataFrame, rows) -> DataFrame:
+    """rows(blocks, words) of each payload's block graph: lists of structs. Words are an index of the blocks with texts."""
+    word = lambda b: _word(b).isNotNull()
+    blocks = graph.parsed(F.col("payload"), "Blocks", _BLOCK)
+    return payloads.select("doc_id", F.inline(graph.once(blocks, lambda b: graph.indexed(b, lambda words: rows(b, words), word))))
 
 
-def _texts(blocks: DataFrame, kids: DataFrame) -> DataFrame:
-    """doc_id, parent and the joined words below it; a selected box reads as a cross, another as nothing."""
-    word = F.when(F.col("BlockType") == "SELECTION_ELEMENT", F.when(F.col("SelectionStatus") == "SELECTED", F.lit("☒"))).otherwise(F.col("Text"))
-    rows = kids.join(blocks.select("doc_id", "Id", word.alias("t")), ["doc_id", "Id"]).where("t is not null")
-    return rows.groupBy("doc_id", "parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), " ").alias("text"))
+def _word(b: Column) -> Column:
+    """A block's text; a selected box reads as a cross, another as nothing."""
+    return F.when(b["BlockType"] == "SELECTION_ELEMENT", F.when(b["SelectionStatus"] == "SELECTED", F.lit("☒"))).otherwise(b["Text"])
 
 
 def textract_cells(payloads: DataFrame) -> DataFrame:
     """Cells of block graphs: TABLE blocks lead to CELL blocks, and these to words. Rows and columns count from 0."""
-    blocks = _blocks(payloads)
-    kids = _kids(blocks)
-    tables = kids.join(blocks.where("BlockType = 'TABLE'").select("doc_id", F.col("Id").alias("parent")), ["doc_id", "parent"]).select("doc_id", F.col("parent").alias("table_id"), "Id")
-    cells = blocks.where("BlockType = 'CELL'").join(tables, ["doc_id", "Id"])
-    rows = cells.join(_texts(blocks, kids).withColumnRenamed("parent", "Id").withColumnRenamed("text", "words"), ["doc_id", "Id"], "left")
-    return rows.select("doc_id", "table_id", (F.col("RowIndex") - 1).alias("row"), (F.col("ColumnIndex") - 1).alias("column"), F.coalesce("RowSpan", F.lit(1)).alias("row_span"), F.coalesce("ColumnSpan", F.lit(1)).alias("column_span"), F.coalesce("words", F.lit("")).alias("text"), F.coalesce(F.array_contains("EntityTypes", "COLUMN_HEADER"), F.lit(False)).alias("is_header"))
+
+    def cell(c: Column, table: Column, words: Column) -> Column:
+        text = F.coalesce(graph.words(F.array(c), words, _word), F.lit(""))
+        header = F.coalesce(F.array_contains(c["EntityTypes"], "COLUMN_HEADER"), F.lit(False))
+        values = (table, c["RowIndex"] - 1, c["ColumnIndex"] - 1, F.coalesce(c["RowSpan"], F.lit(1)), F.coalesce(c["ColumnSpan"], F.lit(1)), text, header)
+        return F.struct(*[v.alias(n) for n, v in zip(CELLS[1:], values, strict=True)])
+
+    def of_table(t: Column, cells: Column, words: Column) -> Column:
+        named = graph.joined(F.transform(graph.kids(F.array(t)), lambda x: graph.found(cells, x["Id"])))
+        return F.transform(named, lambda c: cell(c, t["Id"], words))
+
+    def rows(blocks: Column, words: Column) -> Column:
+        tables = F.filter(blocks, lambda b: (b["BlockType"] == "TABLE") & b["Id"].isNotNull())
+        return graph.indexed(blocks, lambda cells: graph.joined(F.transform(tables, lambda t: of_table(t, cells, words))), lambda b: b["BlockType"] == "CELL")
+
+    return _in_graph(payloads, rows)
 
 
 def textract_fields(payloads: DataFrame) -> DataFrame:
     """Form fields of block graphs: KEY blocks with their words and those of the VALUE blocks they lead to."""
-    blocks = _blocks(payloads)
-    texts = _texts(blocks, _kids(blocks))
-    keys = blocks.where("BlockType = 'KEY_VALUE_SET' and array_contains(EntityTypes, 'KEY')").select("doc_id", F.col("Id").alias("parent"))
-    names = keys.join(texts.withColumnRenamed("text", "name"), ["doc_id", "parent"], "left")
-    values = _kids(blocks, "VALUE").join(texts.withColumnRenamed("parent", "Id"), ["doc_id", "Id"], "left").groupBy("doc_id", "parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("value"))
-    return names.join(values, ["doc_id", "parent"], "left").select("doc_id", F.col("parent").alias("field_id"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("value", F.lit("")).alias("value"))
+
+    def field(b: Column, values: Column, words: Column) -> Column:
+        text = lambda x: graph.words(graph.found(values, x["Id"]), words, _word)
+        parts = F.transform(graph.kids(F.array(b), "VALUE"), lambda x: F.struct(x["k"].alias("k"), text(x).alias("text")))
+        value = F.array_join(F.transform(F.sort_array(parts), lambda x: x["text"]), " ")
+        name = F.coalesce(graph.words(F.array(b), words, _word), F.lit(""))
+        return F.struct(b["Id"].alias("field_id"), name.alias("name"), F.coalesce(value, F.lit("")).alias("value"))
+
+    def rows(blocks: Column, words: Column) -> Column:
+        keys = F.filter(blocks, lambda b: (b["BlockType"] == "KEY_VALUE_SET") & F.array_contains(b["EntityTypes"], "KEY"))
+        leads = lambda b: F.size(b["Relationships"]) > 0
+        return graph.indexed(blocks, lambda values: F.transform(keys, lambda b: field(b, values, words)), leads)
+
+    return _in_graph(payloads, rows)
 
 
 def azure_cells(payloads: DataFrame) -> DataFrame:
     """Cells of a layout result's tables; header kinds tell headers."""
     shape = "array<struct<cells:array<struct<rowIndex:int,columnIndex:int,rowSpan:int,columnSpan:int,content:string,kind:string>>>>"
-    tables = payloads.select("doc_id", F.posexplode(F.from_json(F.get_json_object(_whole(["$.analyzeResult", "$.result.analyzeResult"]), "$.tables"), shape)).alias("t", "g"))
+    other = F.from_json(F.get_json_object(_whole(["$.analyzeResult", "$.result.analyzeResult"]), "$.tables"), shape)
+    tables = payloads.select("doc_id", F.posexplode(F.coalesce(graph.parsed(F.col("payload"), "analyzeResult", f"struct<tables:{shape}>")["tables"], other)).alias("t", "g"))
     rows = tables.select("doc_id", F.concat(F.lit("t"), "t").alias("table_id"), F.explode("g.cells").alias("c"))
     return rows.select("doc_id", "table_id", F.col("c.rowIndex").alias("row"), F.col("c.columnIndex").alias("column"), F.coalesce("c.rowSpan", F.lit(1)).alias("row_span"), F.coalesce("c.columnSpan", F.lit(1)).alias("column_span"), F.coalesce("c.content", F.lit("")).alias("text"), F.coalesce(F.col("c.kind").isin("columnHeader", "rowHeader"), F.lit(False)).alias("is_header"))
 
@@ -68,12 +84,18 @@ def _anchored(whole: Column, layout: Column) -> Column:
     return F.regexp_replace(F.coalesce(layout["textAnchor"]["content"], cut, F.lit("")), r"^\s+|\s+$", "")
 
 
+def _documents(payloads: DataFrame, shape: str) -> DataFrame:
+    """doc_id and d, a processed document; the array keeps what takes it apart from reading it again for each part."""
+    whole = F.coalesce(graph.parsed(F.col("payload"), "document", shape), F.from_json("payload", shape))
+    return payloads.select("doc_id", F.explode(F.array(whole)).alias("d"))
+
+
 def google_cells(payloads: DataFrame) -> DataFrame:
     """Cells of a processed document's tables, header rows first. A cell takes the place after those before it in its row;
     spans over rows are kept as they are said."""
     row = f"array<struct<cells:array<struct<rowSpan:int,colSpan:int,{_LAYOUT}>>>>"
     shape = f"struct<text:string,pages:array<struct<tables:array<struct<headerRows:{row},bodyRows:{row}>>>>>"
-    pages = payloads.select("doc_id", F.from_json(_whole(["$.document"]), shape).alias("d")).select("doc_id", F.col("d.text").alias("whole"), F.posexplode("d.pages").alias("p", "g"))
+    pages = _documents(payloads, shape).select("doc_id", F.col("d.text").alias("whole"), F.posexplode("d.pages").alias("p", "g"))
     tables = pages.select("doc_id", "whole", "p", F.posexplode("g.tables").alias("t", "t_"))
     heads = F.coalesce(F.size("t_.headerRows"), F.lit(0))
     both = F.concat(F.coalesce("t_.headerRows", F.array().cast(row)), F.coalesce("t_.bodyRows", F.array().cast(row)))
@@ -87,7 +109,7 @@ def google_fields(payloads: DataFrame) -> DataFrame:
     """Form fields of a processed document: the anchored texts of their names (without a last colon) and values."""
     anchor = _LAYOUT.removeprefix("layout:")
     shape = f"struct<text:string,pages:array<struct<formFields:array<struct<fieldName:{anchor},fieldValue:{anchor}>>>>>"
-    pages = payloads.select("doc_id", F.from_json(_whole(["$.document"]), shape).alias("d")).select("doc_id", F.col("d.text").alias("whole"), F.posexplode("d.pages").alias("p", "g"))
+    pages = _documents(payloads, shape).select("doc_id", F.col("d.text").alias("whole"), F.posexplode("d.pages").alias("p", "g"))
     rows = pages.select("doc_id", "whole", "p", F.posexplode("g.formFields").alias("k", "f"))
     name = F.regexp_replace(_anchored(F.col("whole"), F.col("f.fieldName")), r"\s*:$", "")
     return rows.select("doc_id", F.concat(F.lit("p"), "p", F.lit("f"), "k").alias("field_id"), name.alias("name"), _anchored(F.col("whole"), F.col("f.fieldValue")).alias("value"))

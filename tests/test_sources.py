@@ -158,6 +158,26 @@ def _graph_rows(spark, *documents):
     return spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(documents)], "doc_id long, payload string")
 
 
+def test_large_block_graphs_are_read_by_id_without_joins(spark):
+    """Beyond a few hundred blocks ids are halved; repeated ids count each; links to nothing give no word."""
+    n = 400
+    words = [{"Id": f"w{i}", "BlockType": "WORD", "Text": f"t{i}"} for i in range(n)] + [{"Id": "w7", "BlockType": "WORD", "Text": "again"}]
+    cells = [{"Id": f"c{i}", "BlockType": "CELL", "RowIndex": i + 1, "ColumnIndex": 1, "Relationships": [{"Type": "CHILD", "Ids": [f"w{i}", "none", f"w{n - 1 - i}"]}]} for i in range(n)]
+    table = {"Id": "t", "BlockType": "TABLE", "Relationships": [{"Type": "CHILD", "Ids": [f"c{i}" for i in range(n)] + ["none", None]}]}
+    keys = [{"Id": "k", "BlockType": "KEY_VALUE_SET", "EntityTypes": ["KEY"], "Relationships": [{"Type": "CHILD", "Ids": ["w1"]}, {"Type": "VALUE", "Ids": ["v", "none"]}]}, {"Id": "v", "BlockType": "KEY_VALUE_SET", "Relationships": [{"Type": "CHILD", "Ids": ["w7", "w2"]}]}]
+    lines = [{"Id": "l", "BlockType": "LINE", "Relationships": [{"Type": "CHILD", "Ids": ["w7", "w399"]}]}, {"Id": "l2", "BlockType": "LINE", "Relationships": []}]
+    rows = _graph_rows(spark, {"Blocks": [table, *cells, *words, *keys, *lines]}, {"Blocks": {"Id": "x", "BlockType": "LINE", "Text": "one"}})
+    found = tables.textract_cells(rows)
+    assert not re.search("Join (Inner|LeftOuter)", found._jdf.queryExecution().optimizedPlan().toString())
+    said = {r["row"]: r["text"] for r in found.collect()}
+    both = lambda i: "again t7" if i == 7 else f"t{i}"
+    assert said == {i: f"{both(i)} {both(n - 1 - i)}" for i in range(n)}
+    fields = tables.textract_fields(rows)
+    assert not re.search("Join (Inner|LeftOuter)", fields._jdf.queryExecution().optimizedPlan().toString())
+    assert [tuple(r) for r in fields.collect()] == [(0, "k", "t1", "again t7 t2")]
+    assert sorted((r.element_id, r.text) for r in sniff.normalize(rows).collect()) == [("l", "again t7 t399"), ("l2", None), ("x", "one")]
+
+
 def test_payloads_are_told_apart_and_read_once(spark):
     """Neither a condition on the schema nor the parsing by schema works out the payloads or the detection again."""
     rows = _graph_rows(spark, {"natural_text": "a"}, {"no": 1})
