@@ -31,13 +31,14 @@ def reading_order_key() -> list[Column]:
     return [F.col("reading_order").asc_nulls_last(), F.col("y0"), F.col("x0"), F.col("element_id")]
 
 
-def column_segments(flow: DataFrame, blockers: DataFrame, page: str) -> DataFrame:
-    """Add segment: how many blockers of the page have their middle above the element's and share a fifth of the narrower
-    width."""
-    other = blockers.select(page, *[F.col(c).alias(f"{c}2") for c in ("x0", "y0", "x1", "y1")])
-    met = flow.join(other, page).where(F.col("y02") + F.col("y12") < F.col("y0") + F.col("y1")).where(g.horizontal_overlap(g.box(), g.box(suffix="2")) >= 0.20)
-    counted = met.groupBy(page, "element_id").agg(F.count(F.lit(1)).alias("segment"))
-    return flow.join(counted, [page, "element_id"], "left").withColumn("segment", F.coalesce("segment", F.lit(0)))
+def column_segments(rows: DataFrame, blocks: Column, page: str) -> DataFrame:
+    """Add segment: how many of the page's rows that ``blocks`` is true for have their middle above the element's and share a
+    fifth of the narrower width. Each element is held against a list of its page's blockers, so nothing is joined. Rows without
+    a page have no blockers."""
+    box = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    listed = rows.withColumn("_blockers", F.collect_list(F.when(blocks & F.col(page).isNotNull(), box)).over(Window.partitionBy(page)))
+    above = lambda b: (b["y0"] + b["y1"] < F.col("y0") + F.col("y1")) & (g.horizontal_overlap(g.box(), _box(b)) >= 0.20)
+    return listed.withColumn("segment", F.size(F.filter("_blockers", above)).cast("long")).drop("_blockers")
 
 
 def page_regions(elements: DataFrame, page: str) -> DataFrame:
@@ -45,48 +46,84 @@ def page_regions(elements: DataFrame, page: str) -> DataFrame:
     region each, other special elements one each, and each column's flow is cut at the special elements that interrupt it.
     Result: page, region_id, region_kind, box, members (ids in order)."""
     known = elements.withColumn("region_kind", region_kind(F.col("kind"), F.col("role")))
-    special = known.where(F.col("region_kind").isNotNull())
-    flow = column_segments(known.where(F.col("region_kind").isNull()), special.where(F.col("region_kind").isin(*BLOCKING)), page)
     name = F.when(F.col("region_kind").isin(*GROUPED), F.col("region_kind")).otherwise(F.concat_ws(":", "region_kind", F.col("element_id").cast("string")))
-    special = special.withColumn("region_id", name)
-    flow = flow.withColumns({"region_kind": F.lit("column"), "region_id": F.concat_ws(":", F.lit("column"), F.col("column").cast("string"), F.col("segment").cast("string"))}).drop("segment")
-    rows = special.unionByName(flow)
+    column = F.concat_ws(":", F.lit("column"), F.col("column").cast("string"), F.col("segment").cast("string"))
+    rows = column_segments(known, F.col("region_kind").isin(*BLOCKING), page)
+    rows = rows.withColumns({"region_id": F.when(F.col("region_kind").isNull(), column).otherwise(name), "region_kind": F.coalesce("region_kind", F.lit("column"))})
     return rows.groupBy(page, "region_id", "region_kind").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.array_sort(F.collect_list("element_id")).alias("members"))
 
 
-def _paired(regions: DataFrame, page: str) -> DataFrame:
-    columns = ["region_id", "region_kind", "x0", "y0", "x1", "y1"]
-    return regions.select(page, *columns).join(regions.select(page, *[F.col(c).alias(f"{c}2") for c in columns]), page).where("region_id <> region_id2")
+def _box(x: Column) -> g.Box:
+    return tuple(x[c] for c in ("x0", "y0", "x1", "y1"))  # type: ignore[return-value]
+
+
+_EDGE = "array<struct<src:string,dst:string,relation:string,confidence:double,reason:string>>"
+
+
+def _edge(a: Column, b: Column, relation: Column, confidence: Column, reason: Column) -> Column:
+    return F.struct(a["region_id"].alias("src"), b["region_id"].alias("dst"), relation.alias("relation"), confidence.alias("confidence"), reason.alias("reason"))
+
+
+def _edges(regions: DataFrame, page: str, *kinds) -> DataFrame:
+    """Edges from each region to those of its page. Each is held against a list of its page's regions, so nothing is joined, and
+    what makes the regions is worked out once for all kinds of edges."""
+    one = F.struct("region_id", "region_kind", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    rows = regions.where(F.col(page).isNotNull()).select(page, one.alias("a")).withColumn("_all", F.collect_list("a").over(Window.partitionBy(page)))
+    others = F.filter("_all", lambda b: b["region_id"] != F.col("a.region_id"))
+    found = F.concat(*[kind(F.col("a"), F.col("_others")).cast(_EDGE) for kind in kinds])
+    return rows.select(page, "a", F.explode(F.array(others)).alias("_others")).select(page, F.inline(found))
+
+
+def _semantic(a: Column, others: Column) -> Column:
+    kind = a["region_kind"]
+
+    def reason(b: Column) -> Column:
+        to = b["region_kind"]
+        return F.when((kind == "header") & (to != "header"), "header").when((kind != "footer") & (to == "footer"), "footer").when(~kind.isin(*GROUPED) & (to == "footnote"), "footnote")
+
+    def edge(b: Column) -> Column:
+        note = reason(b) == "footnote"
+        return _edge(a, b, F.when(note, "footnote").otherwise("page_boundary"), F.when(note, 0.95).otherwise(1.0), F.concat(F.lit("semantic.page_"), reason(b)))
+
+    return F.transform(F.filter(others, lambda b: reason(b).isNotNull()), edge)
+
+
+def _precedence(a: Column, others: Column) -> Column:
+    flows = lambda x: ~x["region_kind"].isin(*GROUPED, "floating")
+    p = _box(a)
+
+    def before(b: Column) -> Column:
+        q = _box(b)
+        higher = (p[1] + p[3] < q[1] + q[3]) | ((p[1] + p[3] == q[1] + q[3]) & (a["region_id"] < b["region_id"]))
+        return flows(b) & higher & (g.horizontal_overlap(p, q) >= 0.20) & ~((p[3] > q[1]) & (g.vertical_overlap(p, q) >= 0.20))
+
+    def edge(b: Column) -> Column:
+        q = _box(b)
+        gap, scale = F.greatest(F.lit(0.0), q[1] - p[3]), F.greatest(p[3] - p[1], q[3] - q[1], F.lit(1.0))
+        confidence = F.greatest(F.lit(0.60), F.least(F.lit(0.95), 0.80 + 0.15 * F.least(F.lit(1.0), gap / scale)))
+        return _edge(a, b, F.lit("flow"), confidence, F.lit("geometry.vertical_precedence"))
+
+    return F.when(flows(a), F.transform(F.filter(others, before), edge)).otherwise(F.array().cast(_EDGE))
 
 
 def semantic_edges(regions: DataFrame, page: str) -> DataFrame:
     """Headers come before all other regions and footers after them, footnotes after all but these three. Of two reasons for
-    an edge the one with the higher relation, confidence and name stays. Result: page, src, dst, relation, confidence, reason."""
-    pairs = _paired(regions, page)
-    edge = lambda d, relation, confidence, reason: d.select(page, F.col("region_id").alias("src"), F.col("region_id2").alias("dst"), F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
-    parts = [
-        edge(pairs.where("region_kind = 'header' and region_kind2 <> 'header'"), "page_boundary", 1.0, "semantic.page_header"),
-        edge(pairs.where("region_kind <> 'footer' and region_kind2 = 'footer'"), "page_boundary", 1.0, "semantic.page_footer"),
-        edge(pairs.where("region_kind not in ('header', 'footer', 'footnote') and region_kind2 = 'footnote'"), "footnote", 0.95, "semantic.page_footnote"),
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    rank = F.struct((F.col("relation") == "footnote").alias("r"), F.col("confidence"), F.col("reason"))
-    best = rows.groupBy(page, "src", "dst").agg(F.max_by(F.struct("relation", "confidence", "reason"), rank).alias("b"))
-    return best.select(page, "src", "dst", "b.relation", "b.confidence", "b.reason")
+    an edge (header to footer) the header's stays. Result: page, src, dst, relation, confidence, reason."""
+    return _edges(regions, page, _semantic)
 
 
 def precedence_edges(regions: DataFrame, page: str) -> DataFrame:
     """Of two regions that share a fifth of the narrower width the one whose middle is higher (ties: the lesser id) comes
     first, unless they overlap by a fifth of the lesser height. Confidence is 0.80 and up to 0.15 more for the gap between
     them, over the greater height. Headers, footers, footnotes and floating regions have no part in it."""
-    flows = regions.where(~F.col("region_kind").isin("header", "footer", "footnote", "floating"))
-    a, b = g.box(), g.box(suffix="2")
-    middle, middle2 = a[1] + a[3], b[1] + b[3]
-    met = _paired(flows, page).where((middle < middle2) | ((middle == middle2) & (F.col("region_id") < F.col("region_id2")))).where(g.horizontal_overlap(a, b) >= 0.20)
-    met = met.where(~((a[3] > b[1]) & (g.vertical_overlap(a, b) >= 0.20)))
-    gap, scale = F.greatest(F.lit(0.0), b[1] - a[3]), F.greatest(a[3] - a[1], b[3] - b[1], F.lit(1.0))
-    confidence = F.greatest(F.lit(0.60), F.least(F.lit(0.95), 0.80 + 0.15 * F.least(F.lit(1.0), gap / scale)))
-    return met.select(page, F.col("region_id").alias("src"), F.col("region_id2").alias("dst"), F.lit("flow").alias("relation"), confidence.alias("confidence"), F.lit("geometry.vertical_precedence").alias("reason"))
+    return _edges(regions, page, _precedence)
+
+
+def page_edges(regions: DataFrame, page: str) -> DataFrame:
+    """Both kinds of edges. They close no cycle: every edge leads forward in one order of the page's regions, headers first, then
+    flowing regions by middle and id, then footnotes, then footers (floating ones stand between headers and footnotes and meet no
+    flowing one)."""
+    return _edges(regions, page, _semantic, _precedence)
 
 
 def caption_links(captions: DataFrame, figures: DataFrame, page: str) -> DataFrame:

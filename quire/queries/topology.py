@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import OBS_SQL, observations
-from ..operators import graphs, topology
+from ..operators import topology
 from ..registry import query
 
 KINDS = ["header", "paragraph", "table", "figure", "caption", "footnote", "page_number"]
@@ -44,7 +44,7 @@ def regions_of(spark, sf_dir):
 def column_segments(spark, sf_dir):
     rows = laid_out(spark, sf_dir)
     typed = rows.withColumn("rk", topology.region_kind(F.col("kind"), F.col("role")))
-    return topology.column_segments(typed.where("rk is null"), typed.where(F.col("rk").isin(*topology.BLOCKING)), "page_id").select("page_id", "element_id", "segment")
+    return topology.column_segments(typed, F.col("rk").isin(*topology.BLOCKING), "page_id").where("rk is null").select("page_id", "element_id", "segment")
 
 
 @query(f"WITH {REGIONS} SELECT * FROM regions")
@@ -64,10 +64,8 @@ def precedence_edges(spark, sf_dir):
 
 @query(f"WITH {PRECEDENCE} SELECT {EDGE} FROM semantic UNION ALL SELECT {EDGE} FROM precedence")
 def reading_graph(spark, sf_dir):
-    """Both kinds of edges without those that close a cycle; headers, body, footnotes and footers in this order close none."""
-    regions = regions_of(spark, sf_dir)
-    edges = topology.semantic_edges(regions, "page_id").unionByName(topology.precedence_edges(regions, "page_id"))
-    return graphs.acyclic(edges, "page_id").withColumn("confidence", F.round("confidence", 9))
+    """Both kinds of edges; none closes a cycle (page_edges() says why), so graphs.acyclic() has nothing to leave out."""
+    return topology.page_edges(regions_of(spark, sf_dir), "page_id").withColumn("confidence", F.round("confidence", 9))
 
 
 @query(f"WITH {LAID} SELECT page_id, element_id, row_number() OVER (PARTITION BY page_id ORDER BY reading_order NULLS LAST, y0, x0, element_id) - 1 AS place FROM laid")

@@ -259,3 +259,22 @@ def test_many_providers_are_ranked_as_few(spark):
     assert Counter(r.request for r in many.collect()) == {1: 1200, 2: 1200}
     few = routing.rank_providers(requests, providers.limit(1000), ["tables"]).select("request", "provider", "score").exceptAll(many.select("request", "provider", "score"))
     assert few.count() == 0
+
+
+def test_edges_of_regions_need_no_join_and_close_no_cycle(spark):
+    """What makes the regions is worked out once for both kinds of edges, and every edge leads forward."""
+    import random
+    import re
+
+    from quire.operators import graphs, topology
+
+    rng = random.Random(7)
+    kinds = ["header", "column", "column", "table", "floating", "footnote", "footer", "caption"]
+    rows = [(p, f"r{i}", kinds[rng.randrange(8)], *(lambda x, y: (x, y, x + rng.randrange(1, 40), y + rng.randrange(1, 40)))(float(rng.randrange(40)), float(rng.randrange(40)))) for p in range(40) for i in range(12)]
+    regions = spark.createDataFrame(rows, "page_id long, region_id string, region_kind string, x0 double, y0 double, x1 double, y1 double")
+    edges = topology.page_edges(regions, "page_id")
+    assert not re.search("Join (Inner|LeftOuter)", edges._jdf.queryExecution().optimizedPlan().toString())
+    both = topology.semantic_edges(regions, "page_id").unionByName(topology.precedence_edges(regions, "page_id"))
+    found = sorted(edges.collect())
+    assert found == sorted(both.collect()) == sorted(graphs.acyclic(edges, "page_id").collect()) and len(found) > 1000
+    assert {r.reason for r in found} == {"semantic.page_header", "semantic.page_footer", "semantic.page_footnote", "geometry.vertical_precedence"}
