@@ -37,16 +37,20 @@ def misplaced_banners(placements: DataFrame, doc: str) -> DataFrame:
     text (white space and case apart) stands in the document again, in the top 12 % of the content, after a block that ends
     the page with its own folio (``n/total``). Result: doc, block_index, page, to_page."""
     key = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    in_doc, in_page = Window.partitionBy(doc).orderBy("block_index"), Window.partitionBy(doc, "page").orderBy(F.col("block_index").desc())
-    rows = placements.withColumn("_key", key).withColumns({
-        "_n": F.count(F.lit(1)).over(Window.partitionBy(doc, "_key")), "_last": F.row_number().over(in_page) == 1,
-        "_before": F.lag("text").over(in_doc), "_at": F.lag("block_index").over(in_doc),
-    })
+    in_doc = Window.partitionBy(doc).orderBy("block_index")
     folio = r"(?<!\d)(\d{1,4})\s*/\s*(\d{1,4})(?!\d)"
     part = lambda k: F.regexp_extract("_before", folio, k).try_cast("int")
-    rows = rows.where("_last and page < pages and y0 is not null").where(F.col("kind").isin("paragraph", "heading") & (F.length("text") <= 180) & F.col("text").rlike(r"(?i)https?://|www\."))
-    rows = rows.where((F.col("_n") >= 2) & (F.col("y0") <= F.col("content_top") + F.round(F.col("content_height") * 0.12)) & (F.col("_at") == F.col("block_index") - 1))
-    return rows.where((part(1) == F.col("page")) & (part(2) == F.col("pages"))).select(doc, "block_index", "page", (F.col("page") + 1).alias("to_page"))
+    rows = placements.withColumns({"_before": F.lag("text").over(in_doc), "_at": F.lag("block_index").over(in_doc), "_page": F.lag("page").over(in_doc), "_next": F.lead("page").over(in_doc)})
+    link = F.col("text").rlike(r"(?i)https?://|www\.")
+    fits = F.col("kind").isin("paragraph", "heading") & (F.length("text") <= 180) & (F.col("page") < F.col("pages")) & (F.col("y0") <= F.col("content_top") + F.round(F.col("content_height") * 0.12))
+    fits = fits & (F.col("_at") == F.col("block_index") - 1) & (part(1) == F.col("page")) & (part(2) == F.col("pages")) & ~F.col("_next").eqNullSafe(F.col("page"))
+    # A text stands in the document again only among those with a link, and a page goes on only where a run of its blocks begins:
+    # no other blocks are sorted again.
+    rows = rows.select(doc, "block_index", "page", F.when(link, key).alias("_key"), F.coalesce(link & fits, F.lit(False)).alias("_fits"), (~F.col("_page").eqNullSafe(F.col("page"))).alias("_begins"))
+    rows = rows.where("_key is not null or _begins")
+    rows = rows.withColumn("_n", F.count("_key").over(Window.partitionBy(doc, "_key"))).where("_begins or (_fits and _n >= 2)")
+    last = F.max("block_index").over(Window.partitionBy(doc, "page"))
+    return rows.withColumn("_last", last).where("_fits and _n >= 2 and _last = block_index").select(doc, "block_index", "page", (F.col("page") + 1).alias("to_page"))
 
 
 def structural_roles(blocks: DataFrame, doc: str) -> DataFrame:
@@ -60,8 +64,9 @@ def structural_roles(blocks: DataFrame, doc: str) -> DataFrame:
     text, colon = F.col("text"), F.rtrim("text").endswith(":")
     section = text.rlike(r"(?i)^(?:(?:phần|phan|section|part)\s+[\wIVXLCDM.-]+\s*[:.)]|(?:[IVXLCDM]+|\d+)[.)]\s+)")
     rows = blocks.withColumns({"_colon": colon, "_quote": text.rlike(r"^\(\d+\)\s+"), "_section": (F.col("kind") == "heading") & section})
-    rows = rows.withColumn("_run", F.sum(F.when(F.col("_quote") == F.coalesce(F.lag("_quote").over(order), F.lit(False)), 0).otherwise(1)).over(order))
-    rows = rows.withColumn("_long", F.col("_quote") & (F.count(F.lit(1)).over(Window.partitionBy(doc, "_run")) >= 3))
+    # Three quoted blocks in a row, this one among them: no window but that of the document's order is needed.
+    near = {k: F.coalesce(F.lag("_quote", k).over(order), F.lit(False)) for k in (-2, -1, 1, 2)}
+    rows = rows.withColumn("_long", F.col("_quote") & ((near[1] & near[2]) | (near[1] & near[-1]) | (near[-1] & near[-2])))
     rows = rows.withColumns({
         "_before": F.coalesce(F.lag("_long").over(order), F.lit(False)), "_after": F.coalesce(F.lead("_long").over(order), F.lit(False)), "_group": F.coalesce(F.lead("starts_group").over(order), F.lit(False)),
         "_first": F.min(F.when(F.col("_section"), F.col("block_index"))).over(Window.partitionBy(doc)), "_field": (F.col("kind") == "paragraph") & (F.length(F.trim(text)) <= 48) & F.trim(text).endswith(":"),

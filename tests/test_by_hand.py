@@ -278,3 +278,31 @@ def test_edges_of_regions_need_no_join_and_close_no_cycle(spark):
     found = sorted(edges.collect())
     assert found == sorted(both.collect()) == sorted(graphs.acyclic(edges, "page_id").collect()) and len(found) > 1000
     assert {r.reason for r in found} == {"semantic.page_header", "semantic.page_footer", "semantic.page_footnote", "geometry.vertical_precedence"}
+
+
+def _sorts(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+
+
+def test_roles_need_the_order_of_blocks_only(spark):
+    """One sort, so that a task holds its blocks once; quoted runs of one to four."""
+    from quire.operators import revision
+
+    said = ["(1) a", "x", "(1) a", "(2) b", "x", "(1) a", "(2) b", "(3) c", "(a note)", "(1) a", "(2) b", "(3) c", "(4) d"]
+    blocks = spark.createDataFrame([(d, i, "paragraph", x, False) for d in (1, 2) for i, x in enumerate(said)], "doc long, block_index int, kind string, text string, starts_group boolean")
+    out = revision.structural_roles(blocks, "doc")
+    assert _sorts(out) == 1
+    found = {(r.doc, r.block_index): r.role for r in out.collect()}
+    assert {k: v for k, v in found.items() if v} == {(d, i): "attribution" if i == 8 else "quoted_passage" for d in (1, 2) for i in range(5, 13)}
+
+
+def test_banners_of_pages_that_go_on_later(spark):
+    """A page that is taken up again after another one has its end there; other sorts see links and beginnings only."""
+    from quire.operators import revision
+
+    rows = [(1, "p. 1 / 3"), (1, "www.a.org"), (2, "p. 2 / 3"), (2, "WWW.a.org "), (3, "x"), (2, "late"), (1, "p. 1 / 3"), (1, "www.b.org"), (3, "www.b.org")]
+    placed = spark.createDataFrame([(7, i, p, "paragraph", x, 5, 0, 1000, 3) for i, (p, x) in enumerate(rows)], "doc long, block_index int, page int, kind string, text string, y0 int, content_top int, content_height int, pages int")
+    out = revision.misplaced_banners(placed, "doc")
+    assert [tuple(r) for r in out.collect()] == [(7, 7, 1, 2)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_begins" in plan
