@@ -185,15 +185,27 @@ def consensus_boxes(matches: DataFrame, units: DataFrame) -> DataFrame:
     the page that most sources agree on, and how many do."""
     met = matches.join(units.drop("kind", "text", "confidence"), ["doc_id", "source"]).where("position >= first and position < end")
     boxes = met.groupBy("doc_id", "block_index", "source", "page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("score").alias("confidence"))
-    votes = boxes.groupBy("doc_id", "block_index", "page").agg(F.count_distinct("source").alias("sources"), F.sum("confidence").alias("s"))
-    page = votes.groupBy("doc_id", "block_index").agg(F.max_by(F.struct("page", "sources"), F.struct("sources", F.round("s", 9), (-F.col("page")).alias("p"))).alias("v")).select("doc_id", "block_index", "v.page", "v.sources")
-    kept = boxes.join(page, ["doc_id", "block_index", "page"])
-    out = page
-    from .consensus import weighted_median
+    # The boxes of a block are as few as its sources and their pages, so one list of them gives the page and the medians.
+    one = F.struct("page", "source", "x0", "y0", "x1", "y1", "confidence")
+    rows = boxes.groupBy("doc_id", "block_index").agg(F.sort_array(F.collect_list(one)).alias("_b")).where("doc_id is not null and block_index is not null")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-    for c in ("x0", "y0", "x1", "y1"):
-        out = out.join(weighted_median(kept, ["doc_id", "block_index"], c).withColumnRenamed("median", c), ["doc_id", "block_index"])
-    return out
+    def vote(page: Column) -> Column:
+        own = F.filter("_b", lambda x: x["page"].eqNullSafe(page))
+        known = F.filter(F.transform(own, lambda x: x["confidence"]), lambda c: c.isNotNull())
+        sources = F.size(F.array_distinct(F.filter(F.transform(own, lambda x: x["source"]), lambda x: x.isNotNull()))).cast("long")
+        return F.struct(sources.alias("sources"), F.when(F.size(known) > 0, F.round(total(known), 9)).alias("s"), (-page).alias("p"), page.alias("page"))
+
+    rows = rows.withColumn("_v", F.array_max(F.transform(F.array_distinct(F.transform("_b", lambda x: x["page"])), vote)))
+    rows = rows.select("doc_id", "block_index", F.col("_v.page").alias("page"), F.col("_v.sources").alias("sources"), F.filter("_b", lambda x: x["page"] == F.col("_v.page")).alias("_k")).where("page is not null")
+    weight = lambda some: F.round(total(F.transform(some, lambda x: F.coalesce(x["confidence"], F.lit(0.5)))), 9)
+
+    def median(c: str) -> Column:
+        upto = lambda v: weight(F.filter("_k", lambda x: x[c].isNull() | (x[c] <= v)))
+        values = F.filter(F.array_distinct(F.transform("_k", lambda x: x[c])), lambda v: v.isNotNull())
+        return F.array_min(F.filter(values, lambda v: upto(v) * 2 >= weight(F.col("_k"))))
+
+    return rows.select("doc_id", "block_index", "page", "sources", *[median(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 def rejected(blocks: DataFrame, found: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -205,8 +217,7 @@ def rejected(blocks: DataFrame, found: DataFrame, chosen: DataFrame) -> DataFram
 
 def exact_anchors(blocks: DataFrame, units: DataFrame, longest: int = 8) -> DataFrame:
     """Blocks whose text is that of one run only, and of no other block of the document: an equi-join on the text."""
-    runs = sequences.spans(units.withColumn("k", F.concat_ws("/", "doc_id", "source", "page")), "k", "position", "text", longest).select("k", "first", t.normalized(F.col("span_text")).alias("key"))
-    runs = runs.join(units.select(F.concat_ws("/", "doc_id", "source", "page").alias("k"), "doc_id", "source").distinct(), "k")
+    runs = sequences.spans(units, ["doc_id", "source", "page"], "position", "text", longest).select("doc_id", "source", "first", t.normalized(F.col("span_text")).alias("key"))
     one_run = runs.groupBy("doc_id", "source", "key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where("n = 1").drop("n")
     one_block = blocks.select("doc_id", "block_index", t.normalized(F.col("text")).alias("key")).groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min("block_index").alias("block_index")).where("n = 1 and key <> ''").drop("n")
     return one_block.join(one_run, ["doc_id", "key"]).select("doc_id", "source", "block_index", "first")

@@ -84,12 +84,14 @@ def carried_label(rows: DataFrame, keys: list[str], order: str, label: str, rese
     return rows.withColumn("group_label", F.last(label, ignorenulls=True).over(Window.partitionBy(*keys, "section").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def spans(rows: DataFrame, page: str, order: str, text: str, longest: int = 8) -> DataFrame:
-    """All runs of up to ``longest`` neighbouring texts of a page, joined by a space: first, size and span_text."""
-    w = Window.partitionBy(page).orderBy(order).rowsBetween(0, longest - 1)
-    ahead = rows.select(page, F.col(order).alias("first"), F.collect_list(text).over(w).alias("_t"))
-    sizes = ahead.select(page, "first", "_t", F.explode(F.sequence(F.lit(1), F.size("_t"))).alias("size"))
-    return sizes.select(page, "first", "size", F.array_join(F.slice("_t", 1, F.col("size")), " ").alias("span_text"))
+def spans(rows: DataFrame, page: str | list[str], order: str, text: str, longest: int = 8) -> DataFrame:
+    """All runs of up to ``longest`` neighbouring texts of a page (named by a column or several), joined by a space: first, size
+    and span_text."""
+    keys = [page] if isinstance(page, str) else page
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(0, longest - 1)
+    ahead = rows.select(*keys, F.col(order).alias("first"), F.collect_list(text).over(w).alias("_t"))
+    sizes = ahead.select(*keys, "first", "_t", F.explode(F.sequence(F.lit(1), F.size("_t"))).alias("size"))
+    return sizes.select(*keys, "first", "size", F.array_join(F.slice("_t", 1, F.col("size")), " ").alias("span_text"))
 
 
 def anchors(blocks: DataFrame, found: DataFrame, key: str, place: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..fixtures import LINES_SQL, OBS_SQL, lines, observations, table
+from ..fixtures import LINES_SQL, OBS_SQL, document_lines, lines, observations, table
 from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import alignment, metrics, routing, sequences
@@ -84,10 +84,9 @@ UNITS = f"""{LINES_SQL}, u AS (SELECT l_orderkey // 4 AS doc_id, 'src' || (l_ord
 
 
 def units(spark, sf_dir):
-    rows = lines(spark, sf_dir).withColumn("doc_id", F.floor(F.col("l_orderkey") / 4))
+    rows = document_lines(spark, sf_dir, 4, F.col("l_orderkey") % 2 == 1).withColumnRenamed("doc", "doc_id")
     p, s = F.col("l_partkey"), F.col("l_suppkey")
-    order = Window.partitionBy("doc_id", F.col("l_orderkey") % 2).orderBy("l_orderkey", "l_linenumber")
-    return rows.select("doc_id", F.concat(F.lit("src"), (F.col("l_orderkey") % 2).cast("string")).alias("source"), F.col("l_orderkey").alias("page"), (F.row_number().over(order) - 1).cast("long").alias("position"), F.lit("text").alias("kind"), F.concat(F.lit("unit "), p % 6).alias("text"), F.lit(0.9).alias("confidence"), (p % 50).cast("double").alias("x0"), (s % 70).cast("double").alias("y0"), (p % 50 + 20).cast("double").alias("x1"), (s % 70 + 9).cast("double").alias("y1"))
+    return rows.select("doc_id", F.concat(F.lit("src"), (F.col("l_orderkey") % 2).cast("string")).alias("source"), F.col("l_orderkey").alias("page"), F.col("position").cast("long").alias("position"), F.lit("text").alias("kind"), F.concat(F.lit("unit "), p % 6).alias("text"), F.lit(0.9).alias("confidence"), (p % 50).cast("double").alias("x0"), (s % 70).cast("double").alias("y0"), (p % 50 + 20).cast("double").alias("x1"), (s % 70 + 9).cast("double").alias("y1"))
 
 
 @query(f"""WITH {UNITS}, r AS (SELECT a.doc_id, a.source, a.position AS first, a.text || ' ' || b.text AS key FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.source = b.source AND a.page = b.page AND b.position = a.position + 1 UNION ALL SELECT doc_id, source, position, text FROM u),

@@ -306,3 +306,21 @@ def test_banners_of_pages_that_go_on_later(spark):
     assert [tuple(r) for r in out.collect()] == [(7, 7, 1, 2)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "_begins" in plan
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boxes_and_anchors_of_units_are_joined_once(spark):
+    from quire.operators import alignment
+
+    units = spark.createDataFrame([("d", "a", 1, i, "text", x, 0.9, float(i), 0.0, i + 1.0, 1.0) for i, x in enumerate(["x", "Y z", "x", "w"])] + [("d", None, 2, 0, "text", "x", 0.9, 5.0, 5.0, 6.0, 6.0)], "doc_id string, source string, page int, position long, kind string, text string, confidence double, x0 double, y0 double, x1 double, y1 double")
+    blocks = spark.createDataFrame([("d", 0, "x  y Z"), ("d", 1, "w"), ("d", 2, "x")], "doc_id string, block_index int, text string")
+    anchors = alignment.exact_anchors(blocks, units, 2)
+    assert _plan(anchors).count("Join ") == 1
+    assert sorted((r.source or "", r.block_index, r.first) for r in anchors.collect()) == [("", 2, 0), ("a", 0, 0), ("a", 1, 3)]
+    matches = spark.createDataFrame([("d", "a", 0, 0, 2, 0.5), ("d", "a", 1, 3, 9, None)], "doc_id string, source string, block_index int, first int, end int, score double")
+    boxes = alignment.consensus_boxes(matches, units)
+    assert _plan(boxes).count("Join ") == 1
+    assert sorted(tuple(r) for r in boxes.collect()) == [("d", 0, 1, 1, 0.0, 0.0, 2.0, 1.0), ("d", 1, 1, 1, 3.0, 0.0, 4.0, 1.0)]
