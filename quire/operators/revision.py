@@ -162,16 +162,25 @@ def plan_geometry(placements: DataFrame, slots: DataFrame, keys: list[str]) -> D
     """Measures of a plan by page: placements (keys, y0, y1; null without a place) and the source's rows (keys, y0, y1). A source
     row is covered if placed rows overlap it by 90 % of the lesser height. Result: keys, placements, placed, slots, covered and
     span_ratio (the share of the rows' span that placements reach; 1 without rows, 0 without placements)."""
-    placed = placements.where("y0 is not null").select(*keys, F.col("y0").alias("p0"), F.col("y1").alias("p1"))
-    numbered = slots.withColumn("_slot", F.row_number().over(Window.partitionBy(*keys).orderBy("y0", "y1")))
-    met = numbered.join(placed, keys).where(F.greatest(F.lit(0.0), F.least("y1", "p1") - F.greatest("y0", "p0")) / F.greatest(F.lit(1e-9), F.least(F.col("y1") - F.col("y0"), F.col("p1") - F.col("p0"))) >= 0.90)
-    covered = met.groupBy(*keys).agg(F.count_distinct("_slot").alias("covered"))
-    ends = slots.groupBy(*keys).agg(F.count(F.lit(1)).alias("slots"), F.min("y0").alias("s0"), F.max("y1").alias("s1"))
-    own = placements.groupBy(*keys).agg(F.count(F.lit(1)).alias("placements"), F.count("y0").alias("placed"), F.min("y0").alias("m0"), F.max("y1").alias("m1"))
-    rows = own.join(ends, keys, "full").join(covered, keys, "left").na.fill(0, ["placements", "placed", "slots", "covered"])
-    shared = F.greatest(F.lit(0.0), F.least("s1", "m1") - F.greatest("s0", "m0"))
-    ratio = F.when(F.col("slots") == 0, 1.0).when(F.col("m0").isNull(), 0.0).otherwise(shared / F.greatest(F.lit(1.0), F.col("s1") - F.col("s0")))
-    return rows.withColumn("span_ratio", ratio).select(*keys, "placements", "placed", "slots", "covered", "span_ratio")
+    box, none = F.struct(F.col("y0").cast("double").alias("y0"), F.col("y1").cast("double").alias("y1")), F.lit(None).cast("struct<y0:double,y1:double>")
+    both = placements.select(*keys, box.alias("placement"), none.alias("slot")).unionByName(slots.select(*keys, none.alias("placement"), box.alias("slot")))
+    return page_geometry(both, keys)
+
+
+def page_geometry(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """plan_geometry() of rows with a placement, a source's row (slot) or both (structs of y0 and y1, else null): a page's are
+    gathered by one shuffle at most and held against each other in lists."""
+    p, s = F.col("placement"), F.col("slot")
+    lists = rows.groupBy(*keys).agg(
+        F.count(p).alias("placements"), F.count(p["y0"]).alias("placed"), F.min(p["y0"]).alias("m0"), F.max(p["y1"]).alias("m1"), F.count(s).alias("slots"), F.min(s["y0"]).alias("s0"), F.max(s["y1"]).alias("s1"),
+        F.collect_list(F.when(p["y0"].isNotNull(), p)).alias("_p"), F.collect_list(s).alias("_s"),
+    )
+    shared = lambda a, b: F.greatest(F.lit(0.0), F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]))
+    meets = lambda a, b: shared(a, b) / F.greatest(F.lit(1e-9), F.least(a["y1"] - a["y0"], b["y1"] - b["y0"])) >= 0.90
+    lists = lists.withColumn("covered", F.size(F.filter("_s", lambda a: F.exists("_p", lambda b: meets(a, b)))).cast("long"))
+    reach = F.greatest(F.lit(0.0), F.least("s1", "m1") - F.greatest("s0", "m0"))
+    ratio = F.when(F.col("slots") == 0, 1.0).when(F.col("m0").isNull(), 0.0).otherwise(reach / F.greatest(F.lit(1.0), F.col("s1") - F.col("s0")))
+    return lists.select(*keys, "placements", "placed", "slots", "covered", ratio.alias("span_ratio"))
 
 
 def geometry_gates(measures: DataFrame, keys: list[str], coverage: float = 0.85) -> DataFrame:

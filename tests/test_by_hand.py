@@ -312,6 +312,16 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_rows_of_a_page_are_covered_without_joins(spark):
+    from quire.operators import revision
+
+    placed = spark.createDataFrame([(1, 0.0, 10.0), (1, 20.0, 30.0), (1, None, None), (2, None, None), (3, 0.0, 5.0)], "page long, y0 double, y1 double")
+    slots = spark.createDataFrame([(1, 0.5, 9.5), (1, 0.5, 9.5), (1, 24.0, 40.0), (2, 0.0, 4.0), (4, 0.0, 2.0)], "page long, y0 double, y1 double")
+    out = revision.plan_geometry(placed, slots, ["page"])
+    assert "Join " not in _plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 3, 2, 3, 2, 29.5 / 39.5), (2, 1, 0, 1, 0, 0.0), (3, 1, 1, 0, 0, 1.0), (4, 0, 0, 1, 0, 0.0)]
+
+
 def test_boxes_and_anchors_of_units_are_joined_once(spark):
     from quire.operators import alignment
 
