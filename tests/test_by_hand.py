@@ -312,6 +312,26 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_elements_without_a_partner_are_those_of_no_pair(spark):
+    """Against correlated_pairs(), with boxes over several cells, none, and of no source; without a join."""
+    import random
+    import re
+
+    from quire.operators import matching
+
+    rng = random.Random(3)
+    place = lambda: (float(rng.randrange(-80, 150)), float(rng.randrange(0, 150)))
+    rows = [(p, i, rng.choice(["a", "b", None]), rng.choice(["text", "title", "table", "unknown"]), x, y, x + rng.randrange(1, 200), y + rng.randrange(1, 90)) for p in range(20) for i in range(9) for x, y in [place()]]
+    rows += [(1, 90, "a", "text", None, 1.0, None, 2.0), (1, 91, "b", "text", 1.0, None, 2.0, None), (None, 92, "a", "text", 0.0, 0.0, 9.0, 9.0), (None, 93, "b", "text", 0.0, 0.0, 9.0, 9.0)]
+    rows = spark.createDataFrame(rows, "page_id long, element_id long, source string, kind string, x0 double, y0 double, x1 double, y1 double")
+    met = matching.correlated_pairs(rows, least=0.1)
+    hit = met.select("page_id", "element_id").union(met.select("page_id", "element_id2")).distinct()
+    out = matching.unmatched(rows, least=0.1)
+    some = lambda d: sorted(d.select("element_id", "page_id").na.fill(-1).collect())
+    assert some(out) == some(rows.join(hit, ["page_id", "element_id"], "left_anti")) and hit.count() > 20
+    assert not re.search("Join (Inner|Left)", _plan(out))
+
+
 def test_rows_of_a_page_are_covered_without_joins(spark):
     from quire.operators import revision
 
