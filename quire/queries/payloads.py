@@ -28,7 +28,10 @@ def coerced_boxes(spark, sf_dir):
         said('{"x":%s,"y":%s,"width":%s,"height":%s}', x0, y0, _shown(F.col("x1") - F.col("x0")), _shown(F.col("y1") - F.col("y0"))), said('{"bbox":[%s,%s,%s,%s]}', x1, y1, x0, y0),
         said("[%s,%s,%s,%s]", x0, y0, x1, y1), said('{"polygon":[[%s,%s],[%s,%s],[%s,%s]]}', x0, y0, x1, y0, x1, y1), said('{"poly":[%s,%s,%s,%s,%s,%s,%s,%s]}', x0, y1, x1, y1, x1, y0, x0, y0), F.lit('{"bbox":"none","text":"x"}'),
     ]
-    box = payloads.coerced_box(F.element_at(F.array(*ways), (F.col("element_id") % 8 + 1).cast("int")))
+    stated = F
+    for k, way in enumerate(ways):  # a choice of one: an array would have all of them worked out
+        stated = stated.when(F.col("element_id") % 8 == k, way)
+    box = payloads.coerced_box(stated)
     return rows.select("page_id", "element_id", box.alias("b")).select("page_id", "element_id", "b.*")
 
 

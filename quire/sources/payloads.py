@@ -57,18 +57,21 @@ def _from_list(value: Column) -> Column:
     return F.when(value.rlike(r"^\s*\[\s*\["), _once(pairs, from_points)).otherwise(_once(numbers, from_flat))
 
 
-def _by_names(value: Column) -> list[Column]:
-    """Boxes by named corners, then by place and size."""
+def _by_names(value: Column, names: Column) -> list[Column]:
+    """Boxes by named corners, then by place and size, of an object with these names at its top."""
     sized = lambda v: _ordered(v["x"], v["y"], v["x"] + v["w"], v["y"] + v["h"])
     placed = F.struct(*[_number(_at(value, f"$.{c}")).alias(c[0]) for c in ("x", "y", "width", "height")])
-    return [*[_ordered(*[_number(_at(value, f"$.{c}")) for c in names]) for names in CORNERS], _once(placed, sized)]
+    corners = [F.when(F.array_contains(names, some[0]), _ordered(*[_number(_at(value, f"$.{c}")) for c in some])) for some in CORNERS]
+    return [*corners, F.when(F.array_contains(names, "x"), _once(placed, sized))]
 
 
 def coerced_box(payload: Column) -> Column:
     """The box (struct of x0, y0, x1, y1; null if none) that a JSON value states: by corners, by place and size, by a list of
-    four numbers, flat pairs or points, or by any of these one level down."""
-    inner = lambda value: F.when(value.isNotNull(), F.coalesce(*_by_names(value), _from_list(value)))
-    whole = lambda value: F.coalesce(*_by_names(value), *[_once(_at(value, f"$.{name}"), inner) for name in HOLDERS], _from_list(value))
+    four numbers, flat pairs or points, or by any of these one level down. An object's names are read once, and only what it has
+    is looked for in it."""
+    inner = lambda value: F.when(value.isNotNull(), _once(F.json_object_keys(value), lambda names: F.coalesce(*_by_names(value, names), _from_list(value))))
+    held = lambda value, names: [F.when(F.array_contains(names, name), _once(_at(value, f"$.{name}"), inner)) for name in HOLDERS]
+    whole = lambda value: _once(F.json_object_keys(value), lambda names: F.coalesce(*_by_names(value, names), *held(value, names), _from_list(value)))
     return _once(payload, whole)
 
 

@@ -354,3 +354,14 @@ def test_boxes_and_anchors_of_units_are_joined_once(spark):
     boxes = alignment.consensus_boxes(matches, units)
     assert _plan(boxes).count("Join ") == 1
     assert sorted(tuple(r) for r in boxes.collect()) == [("d", 0, 1, 1, 0.0, 0.0, 2.0, 1.0), ("d", 1, 1, 1, 3.0, 0.0, 4.0, 1.0)]
+
+
+def test_only_the_box_names_of_a_payload_are_looked_for(spark):
+    from quire.sources import payloads
+
+    said = ['{"left":1,"top":2,"right":3,"bottom":4}', '{"x":1,"y":2,"width":3,"height":4}', '{"x0":1}', '{"region":{"xmin":5,"ymin":6,"xmax":1,"ymax":2}}', "[1,2,3,4]", '{"x\\u0030":1,"y0":2,"x1":3,"y1":4}', "{", None]
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, payload string")
+    out = rows.select("i", payloads.coerced_box(rows.payload).alias("b"))
+    assert "array_contains" in _plan(out)
+    found = {r.i: r.b and tuple(r.b) for r in out.collect()}
+    assert found == {0: (1, 2, 3, 4), 1: (1, 2, 4, 6), 2: None, 3: (1, 2, 5, 6), 4: (1, 2, 3, 4), 5: (1, 2, 3, 4), 6: None, 7: None}
