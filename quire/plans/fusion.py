@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded
 from ..operators import matching
 
 
@@ -17,13 +16,12 @@ def fuse(observations: DataFrame) -> DataFrame:
     """Cluster each page (matching.fuse_pages) and reduce every cluster: page_id, cluster, reading_order (from 0), kind,
     box, text, votes, confidence and sources.
 
-    A cluster has at most one observation of a source, so all of its reducers work on one list of them, gathered by one
-    shuffle: the same results as consensus.fuse_boxes, choose_type, choose_text (by the folded key) and noisy_or.
+    A cluster has at most one observation of a source, so all of its reducers work on one list of them, gathered by at most
+    one shuffle: the same results as consensus.fuse_boxes, choose_type, choose_text (by the folded key) and noisy_or.
     """
-    clusters = matching.fuse_pages(observations)
-    rows = observations.join(clusters, ["page_id", "element_id", "source"])
+    rows = matching.clustered(observations)
     sure = F.coalesce("confidence", F.lit(0.5))
-    one = F.struct("source", "element_id", "kind", "text", folded("text").alias("key"), "confidence", sure.alias("w"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    one = F.struct("source", "element_id", "kind", "text", "key", "confidence", sure.alias("w"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
     rows = rows.select("page_id", "cluster", one.alias("o")).groupBy("page_id", "cluster").agg(F.array_sort(F.collect_list("o")).alias("o"))
     weights = F.transform("o", lambda x: F.greatest(x["w"], F.lit(0.01)))
     edge = lambda c: F.transform("o", lambda x: x[c] * F.greatest(x["w"], F.lit(0.01)))

@@ -365,3 +365,23 @@ def test_only_the_box_names_of_a_payload_are_looked_for(spark):
     assert "array_contains" in _plan(out)
     found = {r.i: r.b and tuple(r.b) for r in out.collect()}
     assert found == {0: (1, 2, 3, 4), 1: (1, 2, 4, 6), 2: None, 3: (1, 2, 5, 6), 4: (1, 2, 3, 4), 5: (1, 2, 3, 4), 6: None, 7: None}
+
+
+def test_fused_rows_pass_through_whole_without_a_join(spark):
+    """Pages over several batches, unknown and odd numbers; and assignments of single rows or columns against all choices."""
+    from quire.operators import matching
+    from quire.plans import fusion
+
+    rows = [(p, i, f"src{i % 3}", "text", 0.0, 40.0 * (i // 3), 60.0, 40.0 * (i // 3) + 30, (None, float("nan"), 0.5)[i % 3], f"Line {i // 3} of {p}") for p in range(6) for i in range(9 if p != 2 else 60)]
+    rows = spark.createDataFrame(rows, "page_id long, element_id long, source string, kind string, x0 double, y0 double, x1 double, y1 double, confidence double, text string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = matching.clustered(rows).collect()
+        assert "Join " not in _plan(fusion.fuse(rows))
+        assert len(fusion.fuse(rows).collect()) == 5 * 3 + 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(out) == 5 * 9 + 60 and all(r.cluster == r.element_id // 3 and r.key == r.text.lower() for r in out)
+    assert all((r.confidence is None, r.confidence != r.confidence, r.confidence == 0.5)[r.element_id % 3] for r in out)
+    assert matching.assign({(0, 3): 0.5, (0, 2): 0.5, (0, 9): 0.1}) == [(0, 2)] and matching.assign({(4, 1): 0.2, (5, 1): 0.9}) == [(5, 1)] and matching.assign({(7, 8): 0.1}, whole=False) == [(7, 8)]
